@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webloom.llm import exact_dedup, mixing
+from webloom.llm import exact_dedup, langid, mixing, ngram_join, sentencepiece_codec
 from webloom.llm.common import Scratch
+from webloom.llm.queries import vocabulary
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter, and those that no language claims, go; lang becomes the language predicted."""
+    found = langid.identify(docs, langid.train(docs)).where("not rejected")
+    return found.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +21,28 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of near copies the smallest doc_id stays."""
+    return ngram_join.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: rows are repeated, left out, or cut at a source's exact budget."""
     return mixing.mix_documents(docs)
 
 
-STAGES = [("exact_dedup", dedup_exact), ("mixing", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece encoding: doc_id, source, lang and the ids of each text."""
+    return sentencepiece_codec.encode_documents(docs.select("doc_id", "source", "lang", "text"), vocabulary("piece_bpe_32k.model")).drop("text")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", dedup_exact),
+    ("ngram_jaccard_join", dedup_near),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
 
 #: A learned classifier and a tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, langid, mixing, ngram_join, sentencepiece_codec, substring_dedup, token_counts
+from . import ann, exact_dedup, html_extract, langid, mixing, ngram_join, sentencepiece_codec, sharding, substring_dedup, token_counts
+from .common import Scratch
 
 
 
@@ -27,6 +28,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars and tier, rows and version of the shard that each row of the compacted store is in."""
+    store = sharding.sharded(table(spark, sf_dir, "documents"), f"{Scratch(spark, 'shards').root}/store", target=32 << 20)
+    m = store.manifest()
+    if not m["shards"]:
+        return table(spark, sf_dir, "documents").selectExpr("doc_id", "n_chars", "'' as shard", "0 as tier", "0L as shard_rows", "0L as added")
+    rows = store.read().select("doc_id", "n_chars", "shard")
+    shards = spark.createDataFrame([(s["name"], s["tier"], s["rows"], s["added"]) for s in m["shards"]], "shard string, tier int, shard_rows long, added long")
+    return rows.join(shards, "shard")
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -52,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op4_ngram_join, op5_sentencepiece, op6_exact_dedup, op8_nearest_neighbours, op9_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_html_extraction, op4_ngram_join, op5_sentencepiece, op6_exact_dedup, op7_sharding, op8_nearest_neighbours, op9_mixing, op10_token_counts)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SIZE = r"CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT)"
