@@ -38,7 +38,7 @@ from .token_counts import slices
 from .words import Words, differences, mix, pack, unpack
 
 N, PERCENT = 4, 85
-FREQUENT, SEVERAL, ALL, PIVOTS = 1 << 17, 4, 32, 3
+FREQUENT, SEVERAL, ALL, PIVOTS = 1 << 19, 2, 32, 3
 #: Texts are handled so many characters at a time; entries of a block of the product; ids that may be broadcast.
 SLICE, BLOCK, MOST_IDS = 2 << 20, 3_000_000, 1_000_000
 _S2 = np.uint64(0xE7037ED1A0B428DB)
