@@ -1,4 +1,337 @@
-"""The queries over the driver's tables, by name, and the SQL that gives the same rows."""
+"""The queries over the driver's tables, by name, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-SQL: dict = {}
+`documents` stand for crawled pages (source as origin, doc_id modulo 7 as depth), `pages` for fetched HTML,
+`orders` for a link graph (a customer's order links to the customer of the next order), and `events` for job
+telemetry (a user is a job).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.functions import pages as P
+from webloom.functions import status as S
+from webloom.functions import text as X
+from webloom.operators import crawl, index, search, status
+from webloom.sources import files
+
+TERMS = ["the", "thou", "les", "und", "9", "para"]
+QUERY = "The thou, LES und-the 9 para"
+NOW = 1706659200
+PAGE, SIZE = 3, 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("origin_url"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("current_url"), (F.col("doc_id") % 7).cast("int").alias("depth"), "text", "doc_id"
+    )
+
+
+def _index(spark, sf_dir, terms=None):
+    """Postings of documents. With terms, words are filtered in the array, before they are exploded: a filter isn't pushed below that."""
+    docs, words = _documents(spark, sf_dir), X.tokenize(F.col("text"))
+    if terms:
+        words = F.filter(words, lambda w: w.isin(terms))
+    rows = index.postings(docs, words, F.lit(0))
+    return rows.withColumn("seq", F.substring("current_url", 5, 20).cast("bigint"))
+
+
+def tokenize(spark, sf_dir):
+    words = X.tokenize(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(words)).cast("bigint").alias("n_distinct"))
+
+
+def build_inverted_index(spark, sf_dir):
+    return _index(spark, sf_dir).select("word", F.col("seq").alias("doc_id"), "frequency")
+
+
+def bucket_word(spark, sf_dir):
+    return _index(spark, sf_dir).select("word", "bucket").distinct()
+
+
+def shard_stats(spark, sf_dir):
+    return index.shard_stats(_index(spark, sf_dir))
+
+
+def parse_query(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(X.parse_query(F.col("text"))).alias("pos", "term"))
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def term_filter(spark, sf_dir):
+    return index.lookup(_index(spark, sf_dir, TERMS), TERMS).select("word", F.col("seq").alias("doc_id"), "frequency")
+
+
+def valid_postings(spark, sf_dir):
+    rows = _index(spark, sf_dir).withColumns({"frequency": F.col("frequency") - 1, "origin_url": F.when(F.col("seq") % 5 == 0, "").otherwise(F.col("origin_url"))})
+    return files.valid_postings(rows).select("word", F.col("seq").alias("doc_id"), "frequency")
+
+
+def bucket_pruned_lookup(spark, sf_dir):
+    return index.lookup(_index(spark, sf_dir, ["thou", "9"]), ["thou", "9"]).select("bucket", "word", F.col("seq").alias("doc_id"), "frequency")
+
+
+def _ranked(spark, sf_dir, sort_by):
+    results = search.scored(search.match(_index(spark, sf_dir, TERMS), X.query_terms(QUERY)))
+    # The matching URLs of one query, ranked as a whole.
+    w = search.Window.orderBy(*search.order(sort_by))
+    return results.withColumn("rank", F.row_number().over(w).cast("bigint"))
+
+
+def search_triples(spark, sf_dir):
+    return _ranked(spark, sf_dir, "frequency").select("rank", F.col("url").alias("relevant_url"), "origin_url", "depth")
+
+
+def search_frequency(spark, sf_dir):
+    return _ranked(spark, sf_dir, "Frequency ").select("rank", "url", "origin_url", "depth", "frequency")
+
+
+def search_relevance(spark, sf_dir):
+    return _ranked(spark, sf_dir, "relevance").select("rank", "url", "origin_url", "depth", "frequency", "relevance_score")
+
+
+def _page(spark, sf_dir, page):
+    results = search.scored(search.match(_index(spark, sf_dir, TERMS), X.query_terms(QUERY)))
+    return search.page_of(results, search.order("relevance"), page, SIZE).select("rank", "url", "relevance_score", "page", "page_size", "total", "total_pages", "has_prev", "has_next")
+
+
+def search_page(spark, sf_dir):
+    return _page(spark, sf_dir, PAGE)
+
+
+def search_page_past_end(spark, sf_dir):
+    return _page(spark, sf_dir, 1_000_000)
+
+
+def first_origin(spark, sf_dir):
+    """Documents of a language as the rows of one URL."""
+    langs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"))
+    rows = index.lookup(_index(spark, sf_dir, TERMS), TERMS).join(langs.withColumnRenamed("doc_id", "seq"), "seq").withColumn("current_url", F.col("lang"))
+    return search.match(rows, TERMS).select("url", "origin_url", "depth", "frequency")
+
+
+def search_all_terms(spark, sf_dir):
+    """Documents that hold every one of two terms."""
+    rows = index.lookup(_index(spark, sf_dir, ["the", "thou"]), ["the", "thou"])
+    return rows.groupBy(F.col("current_url").alias("url")).agg(F.countDistinct("word").alias("n"), F.sum("frequency").alias("frequency")).where("n = 2").drop("n")
+
+
+def document_frequency(spark, sf_dir):
+    return _index(spark, sf_dir).groupBy("word").agg(F.countDistinct("current_url").alias("df"), F.sum("frequency").alias("total_frequency"))
+
+
+def html_tokens(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(P.parse_page(F.col("html"))["words"]).alias("word"))
+    return pages.groupBy("page_id", "word").agg(F.count("*").alias("frequency"))
+
+
+def _links(spark, sf_dir):
+    return index.page_links(table(spark, sf_dir, "pages"))
+
+
+def extract_links(spark, sf_dir):
+    return _links(spark, sf_dir).select("url", F.col("pos").cast("bigint").alias("pos"), "href")
+
+
+def normalize_url(spark, sf_dir):
+    return _links(spark, sf_dir).select("url", F.col("pos").cast("bigint").alias("pos"), "target")
+
+
+def fetch_outcome(spark, sf_dir):
+    links = _links(spark, sf_dir).where("target is not null").select(F.col("target").alias("url"))
+    pages = table(spark, sf_dir, "pages")
+    # The seeds are fetched too.
+    return crawl.fetch_outcome(links.unionByName(pages.select("url")), pages).select("url", "ok")
+
+
+def crawl_counters(spark, sf_dir):
+    done = fetch_outcome(spark, sf_dir)
+    return crawl.counters(done, table(spark, sf_dir, "pages").where("page_id % 3 = 0").select(F.concat("url", F.lit("/old")).alias("url")))
+
+
+def visited_dedupe(spark, sf_dir):
+    links = _links(spark, sf_dir).select(F.col("target").alias("url")).where("url is not null")
+    return crawl.unseen(links, table(spark, sf_dir, "pages").select("url"))
+
+
+def _graph(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return crawl.lead_over(orders, "o_orderkey", "o_custkey").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("pos"), F.col("next").alias("dst"))
+
+
+def _seed(spark, sf_dir):
+    return table(spark, sf_dir, "orders").agg(F.min("o_custkey").alias("url"))
+
+
+def bfs_depth(spark, sf_dir):
+    return crawl.bfs(_graph(spark, sf_dir), _seed(spark, sf_dir), 3).select("url", "depth")
+
+
+def bfs_max_pages(spark, sf_dir):
+    return crawl.bfs(_graph(spark, sf_dir), _seed(spark, sf_dir), 3, max_pages=40).select("url", "depth")
+
+
+def bfs_visited(spark, sf_dir):
+    """A crawl after another that had visited every fifth page, with failures."""
+    every = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url")).distinct()
+    old, bad = every.where("url % 5 = 1 and url % 10 != 1"), every.where("url % 7 = 2")
+    return crawl.bfs(_graph(spark, sf_dir), _seed(spark, sf_dir), 3, visited=old, failed=bad).select("url", "depth", "ok")
+
+
+def _load(spark, sf_dir):
+    """Orders as a queue of each customer: enqueued by price, dequeued otherwise."""
+    orders = table(spark, sf_dir, "orders").withColumn("change", F.when(F.col("o_totalprice") > 150000, 1).otherwise(-1).cast("bigint"))
+    return crawl.queue_depth(orders, ["o_orderkey"], F.col("change"), "o_custkey")
+
+
+def queue_depth(spark, sf_dir):
+    return _load(spark, sf_dir).select("o_orderkey", "o_custkey", "waiting")
+
+
+def throttle_delay(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 11).alias("waiting"))
+    return orders.withColumn("delay_ms", F.round(S.throttle_delay(F.col("waiting"), F.lit(10)) * 1000).cast("bigint"))
+
+
+def fetch_schedule(spark, sf_dir):
+    """Each customer's orders as a host's pages, five a second."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return crawl.fetch_schedule(orders, ["o_orderkey"], 5.0, "o_custkey")
+
+
+def _events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    message = F.when(F.col("event_type") == "error", F.concat(F.lit("throttle: "), F.col("event_id"))).otherwise(F.concat("event_type", F.lit(" "), F.col("event_id")))
+    return e.select(
+        F.col("user_id").alias("crawler_id"), F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), message.alias("message"), "event_type", (F.col("event_type") == "error").alias("failed")
+    )
+
+
+def _states(spark, sf_dir):
+    state = F.when(F.col("event_type") == "purchase", "finished").when(F.col("event_type") == "signup", "initializing").otherwise("running")
+    return status.snapshots(_events(spark, sf_dir), state)
+
+
+def state_snapshot(spark, sf_dir):
+    s = _states(spark, sf_dir)
+    return s.select("crawler_id", "state", "updated_at", "pages_processed", "pages_indexed", "pages_failed", F.element_at("logs", -1).alias("last_log"), F.size("logs").cast("bigint").alias("n_logs"))
+
+
+def effective_state(spark, sf_dir):
+    s = _states(spark, sf_dir)
+    return s.select("crawler_id", S.effective_state(F.col("state"), F.col("updated_at"), F.col("crawler_id") % 3 == 0, F.lit(NOW)).alias("state"))
+
+
+def back_pressure_status(spark, sf_dir):
+    return _states(spark, sf_dir).select("crawler_id", S.back_pressure(F.col("logs")).alias("back_pressure"), S.back_pressure(F.slice("logs", 1, 3)).alias("at_start"))
+
+
+def job_history(spark, sf_dir):
+    s = _states(spark, sf_dir).withColumns({"origin": F.lit(None).cast("string"), "queue_size": F.lit(None).cast("bigint")})
+    return status.history(s)
+
+
+def latest_job(spark, sf_dir):
+    return status.latest(_states(spark, sf_dir))
+
+
+def poll_delta(spark, sf_dir):
+    d = status.poll_delta(_states(spark, sf_dir), NOW - 86400, 40, NOW)
+    return d.select("crawler_id", "state", "log_count", "done", "back_pressure", "changed", F.size("new_logs").cast("bigint").alias("n_new"), F.element_at(F.concat("new_logs", F.array(F.lit(""))), 1).alias("first_new"))
+
+
+def incremental_append(spark, sf_dir):
+    rows = _index(spark, sf_dir)
+    both = index.incremental(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"))
+    return both.groupBy("word").agg(F.count("*").alias("n_rows"), F.sum("frequency").alias("total_frequency"))
+
+
+_NAMES = (
+    tokenize, build_inverted_index, bucket_word, shard_stats, parse_query, term_filter, valid_postings, bucket_pruned_lookup, search_triples, search_frequency, search_relevance, search_page, search_page_past_end,
+    first_origin, search_all_terms, document_frequency, html_tokens, extract_links, normalize_url, fetch_outcome, crawl_counters, visited_dedupe, bfs_depth, bfs_max_pages, bfs_visited, queue_depth, throttle_delay,
+    fetch_schedule, state_snapshot, effective_state, back_pressure_status, job_history, latest_job, poll_delta, incremental_append,
+)
+QUERIES = {f.__name__: f for f in _NAMES}
+
+# SQL
+
+_TOKENS = "regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')"
+_IDX = f"""idx AS (SELECT lower(w) AS word, doc_id, source AS origin_url, 'doc/' || doc_id AS url, CAST(doc_id % 7 AS INTEGER) AS depth, CAST(count(*) AS BIGINT) AS frequency,
+  CASE WHEN regexp_matches(lower(w), '^[a-z]') THEN lower(w)[1] WHEN regexp_matches(w, '^[0-9]') THEN 'num' ELSE 'other' END AS bucket
+  FROM (SELECT doc_id, source, unnest({_TOKENS}) AS w FROM documents) GROUP BY ALL)"""
+_IN = "word IN (" + ", ".join(f"'{t}'" for t in TERMS) + ")"
+_HIT = f"""{_IDX}, hit AS (SELECT url, arg_min(origin_url, bucket || '/' || printf('%020d', doc_id)) AS origin_url, min(depth) AS depth, CAST(sum(frequency) AS BIGINT) AS frequency,
+  CAST(sum(frequency) * 10 + 1000 - min(depth) * 5 AS BIGINT) AS relevance_score FROM idx WHERE {_IN} AND origin_url <> '' GROUP BY url)"""
+_REL, _FREQ = "relevance_score DESC, frequency DESC, depth, url", "frequency DESC, depth, url"
+
+
+def _page_sql(page: int) -> str:
+    return f"""WITH {_HIT}, r AS (SELECT *, row_number() OVER (ORDER BY {_REL}) AS rank, count(*) OVER () AS total FROM hit),
+p AS (SELECT *, CAST(ceil(total / {SIZE}.0) AS BIGINT) AS total_pages, CAST(least({page}, ceil(total / {SIZE}.0)) AS BIGINT) AS page FROM r)
+SELECT rank, url, relevance_score, page, CAST({SIZE} AS BIGINT) AS page_size, total, total_pages, page > 1 AS has_prev, page < total_pages AS has_next FROM p WHERE rank > (page - 1) * {SIZE} AND rank <= page * {SIZE}"""
+
+
+_LINKS = """l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS pos FROM pages),
+links AS (SELECT url, CAST(pos AS BIGINT) AS pos, replace(h, '&amp;', '&') AS href, regexp_replace(regexp_replace(regexp_extract(url, '^(https?://[^/]+)', 1) || replace(h, '&amp;', '&'), '#.*$', ''), '\\?$', '') AS target FROM l)"""
+_FETCH = f"{_LINKS}, fetched AS (SELECT DISTINCT u AS url, u IN (SELECT url FROM pages WHERE html IS NOT NULL) AS ok FROM (SELECT target AS u FROM links UNION ALL SELECT url FROM pages))"
+_EDGES = "e AS (SELECT o_custkey AS src, o_orderkey AS pos, lead(o_custkey) OVER (ORDER BY o_orderkey) AS dst FROM orders)"
+_STATES = f"""ev AS (SELECT user_id AS crawler_id, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type, CASE WHEN event_type = 'error' THEN 'throttle: ' || event_id ELSE event_type || ' ' || event_id END AS message FROM events),
+st AS (SELECT crawler_id, CASE arg_max(event_type, seq) WHEN 'purchase' THEN 'finished' WHEN 'signup' THEN 'initializing' ELSE 'running' END AS state, max(ts) AS updated_at, CAST(count(*) AS BIGINT) AS pages_processed,
+  CAST(count(*) FILTER (event_type <> 'error') AS BIGINT) AS pages_indexed, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS pages_failed, list(message ORDER BY seq)[-500:] AS logs FROM ev GROUP BY crawler_id)"""
+_EFFECTIVE = "CASE WHEN state = 'finished' THEN state WHEN {alive} THEN state WHEN " + f"{NOW} - updated_at > 20 THEN 'interrupted' ELSE state END"
+_PRESSURE = "CASE WHEN len(logs) = 0 THEN 'unknown' WHEN len(list_filter({logs}, lambda x: contains(lower(x), 'throttle:') OR contains(lower(x), 'back-pressure active'))) > 0 THEN 'active' ELSE 'normal' END"
+
+SQL = {
+    "tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(list_transform(t, lambda x: lower(x)))) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)",
+    "build_inverted_index": f"WITH {_IDX} SELECT word, doc_id, frequency FROM idx",
+    "bucket_word": f"WITH {_IDX} SELECT DISTINCT word, bucket FROM idx",
+    "shard_stats": f"WITH {_IDX} SELECT bucket, count(*) AS n_rows, count(DISTINCT word) AS n_words, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM idx GROUP BY bucket",
+    "parse_query": f"""WITH t AS (SELECT conv_id, turn, unnest({_TOKENS}) AS w, generate_subscripts({_TOKENS}, 1) AS i FROM conversations),
+f AS (SELECT conv_id, turn, lower(w) AS term, min(i) AS i FROM t GROUP BY conv_id, turn, lower(w))
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS BIGINT) AS pos, term FROM f""",
+    "term_filter": f"WITH {_IDX} SELECT word, doc_id, frequency FROM idx WHERE {_IN}",
+    "valid_postings": f"WITH {_IDX} SELECT word, doc_id, frequency - 1 AS frequency FROM idx WHERE frequency > 1 AND doc_id % 5 <> 0 AND origin_url <> ''",
+    "bucket_pruned_lookup": f"WITH {_IDX} SELECT bucket, word, doc_id, frequency FROM idx WHERE word IN ('thou', '9')",
+    "search_triples": f"WITH {_HIT} SELECT row_number() OVER (ORDER BY {_FREQ}) AS rank, url AS relevant_url, origin_url, depth FROM hit",
+    "search_frequency": f"WITH {_HIT} SELECT row_number() OVER (ORDER BY {_FREQ}) AS rank, url, origin_url, depth, frequency FROM hit",
+    "search_relevance": f"WITH {_HIT} SELECT row_number() OVER (ORDER BY {_REL}) AS rank, url, origin_url, depth, frequency, relevance_score FROM hit",
+    "search_page": _page_sql(PAGE),
+    "search_page_past_end": _page_sql(1_000_000),
+    "first_origin": f"""WITH {_IDX} SELECT coalesce(lang, 'none') AS url, arg_min(origin_url, bucket || '/' || printf('%020d', idx.doc_id)) AS origin_url, min(depth) AS depth, CAST(sum(frequency) AS BIGINT) AS frequency
+FROM idx JOIN documents d ON idx.doc_id = d.doc_id WHERE {_IN} AND origin_url <> '' GROUP BY 1""",
+    "search_all_terms": f"WITH {_IDX} SELECT url, CAST(sum(frequency) AS BIGINT) AS frequency FROM idx WHERE word IN ('the', 'thou') GROUP BY url HAVING count(DISTINCT word) = 2",
+    "document_frequency": f"WITH {_IDX} SELECT word, count(DISTINCT url) AS df, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM idx GROUP BY word",
+    "html_tokens": """WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, 'var t="</p>"', 'var t=" p "'), '<!--.*?-->', ' ', 'gs'), '<[^<>]*>', ' ', 'g'), '&(copy|middot|quot|nbsp|lt|gt);', ' ', 'g'), '&amp;?', ' ', 'g') AS x FROM pages)
+SELECT page_id, lower(w) AS word, CAST(count(*) AS BIGINT) AS frequency FROM (SELECT page_id, unnest(regexp_extract_all(x, '[A-Za-z0-9]+')) AS w FROM t) GROUP BY ALL""",
+    "extract_links": f"WITH {_LINKS} SELECT url, pos, href FROM links",
+    "normalize_url": f"WITH {_LINKS} SELECT url, pos, target FROM links",
+    "fetch_outcome": f"WITH {_FETCH} SELECT url, ok FROM fetched",
+    "crawl_counters": f"""WITH {_FETCH} SELECT count(*) AS pages_processed, count(*) FILTER (ok) AS pages_indexed, count(*) FILTER (NOT ok) AS pages_failed,
+  (SELECT count(DISTINCT u) FROM (SELECT url AS u FROM fetched UNION ALL SELECT url || '/old' FROM pages WHERE page_id % 3 = 0)) AS visited_count FROM fetched""",
+    "visited_dedupe": f"WITH {_LINKS} SELECT DISTINCT target AS url FROM links WHERE target NOT IN (SELECT url FROM pages)",
+    "bfs_depth": f"""WITH RECURSIVE {_EDGES}, b(url, k) AS (SELECT min(o_custkey), 0 FROM orders UNION SELECT dst, k + 1 FROM b JOIN e ON src = url WHERE k < 3 AND dst IS NOT NULL)
+SELECT url, CAST(min(k) AS INTEGER) AS depth FROM b GROUP BY url""",
+    "bfs_max_pages": f"""WITH RECURSIVE {_EDGES}, b(url, k, path) AS (SELECT min(o_custkey), 0, [CAST(0 AS BIGINT)] FROM orders UNION ALL SELECT dst, k + 1, list_append(path, pos) FROM b JOIN e ON src = url WHERE k < 3 AND dst IS NOT NULL),
+m AS (SELECT url, min(k) AS k FROM b GROUP BY url), f AS (SELECT b.url, b.k, min(path) AS path FROM b JOIN m ON b.url = m.url AND b.k = m.k GROUP BY b.url, b.k)
+SELECT url, CAST(k AS INTEGER) AS depth FROM f QUALIFY row_number() OVER (ORDER BY k, path) <= 40""",
+    "bfs_visited": f"""WITH RECURSIVE {_EDGES}, b(url, k) AS (SELECT min(o_custkey), 0 FROM orders HAVING NOT (min(o_custkey) % 5 = 1 AND min(o_custkey) % 10 <> 1)
+  UNION SELECT dst, k + 1 FROM b JOIN e ON src = url WHERE k < 3 AND dst IS NOT NULL AND url % 7 <> 2 AND NOT (dst % 5 = 1 AND dst % 10 <> 1))
+SELECT url, CAST(min(k) AS INTEGER) AS depth, url % 7 <> 2 AS ok FROM b GROUP BY url""",
+    "queue_depth": "SELECT o_orderkey, o_custkey, CAST(sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE -1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS waiting FROM orders",
+    "throttle_delay": "SELECT o_orderkey, o_orderkey % 11 AS waiting, CAST(CASE WHEN o_orderkey % 11 < 7 THEN 0 ELSE (o_orderkey % 11 - 7) * 80 END AS BIGINT) AS delay_ms FROM orders",
+    "fetch_schedule": "SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS DOUBLE) / CAST(5 AS DOUBLE) AS start_s FROM orders",
+    "state_snapshot": f"WITH {_STATES} SELECT crawler_id, state, updated_at, pages_processed, pages_indexed, pages_failed, logs[-1] AS last_log, CAST(len(logs) AS BIGINT) AS n_logs FROM st",
+    "effective_state": f"WITH {_STATES} SELECT crawler_id, {_EFFECTIVE.format(alive='crawler_id % 3 = 0')} AS state FROM st",
+    "back_pressure_status": f"WITH {_STATES} SELECT crawler_id, {_PRESSURE.format(logs='logs[-25:]')} AS back_pressure, {_PRESSURE.format(logs='logs[1:3]')} AS at_start FROM st",
+    "job_history": f"WITH {_STATES} SELECT crawler_id, '' AS origin, state, updated_at, pages_indexed, CAST(0 AS BIGINT) AS queue_size FROM st",
+    "latest_job": f"WITH {_STATES} SELECT crawler_id, updated_at FROM st ORDER BY updated_at DESC, crawler_id DESC LIMIT 1",
+    "poll_delta": f"""WITH {_STATES}, p AS (SELECT *, {_EFFECTIVE.format(alive='false')} AS now_state, pages_processed AS log_count, logs[greatest(40 - (pages_processed - len(logs)), 0) + 1:] AS new_logs FROM st)
+SELECT crawler_id, now_state AS state, log_count, now_state IN ('finished', 'interrupted', 'unknown') AS done, {_PRESSURE.format(logs='logs[-25:]')} AS back_pressure,
+  updated_at > {NOW - 86400} OR log_count > 40 OR now_state IN ('finished', 'interrupted', 'unknown') AS changed, CAST(len(new_logs) AS BIGINT) AS n_new, coalesce(new_logs[1], '') AS first_new FROM p""",
+    "incremental_append": f"WITH {_IDX} SELECT word, count(*) AS n_rows, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM idx GROUP BY word",
+}
