@@ -14,8 +14,9 @@ whole, by their sets.
 
 A shingle that more than ALL documents share isn't expanded into all pairs: some of its documents, a few in
 each range of sizes, are compared with all the rest, and the list is kept. After components are found, only
-documents of such a list that are outside its largest component are compared with the others, so no link
-between components is lost while pairs inside one are never made.
+documents of such a list that are outside its largest component are compared with the others, DOCS by DOCS
+in a product of their whole rows that gives only links between components: none of these is lost, while
+pairs inside a component are never made.
 
 Order: the shingles that are found several times in slices of the input are counted over the whole input;
 the FREQUENT most frequent are broadcast (8 bytes each). The order changes the work, never the result.
@@ -41,6 +42,8 @@ N, PERCENT = 4, 85
 FREQUENT, SEVERAL, ALL, PIVOTS = 1 << 19, 2, 32, 3
 #: Texts are handled so many characters at a time; entries of a block of the product; ids that may be broadcast.
 SLICE, BLOCK, MOST_IDS = 2 << 20, 3_000_000, 1_000_000
+#: Rows and columns of the blocks in which the documents of a long list are compared.
+DOCS, COLUMNS = 256, 8192
 _S2 = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -236,6 +239,52 @@ def _similar(n: int, percent: int):
     return run
 
 
+def _overlaps(x: tuple, kx: int, y: tuple, ky: int) -> np.ndarray:
+    """The product of two blocks of rows: shared shingles of each pair, added up COLUMNS columns at a time."""
+    both = np.intersect1d(x[1], y[1])
+    out = np.zeros((kx, ky), np.float32)
+    for lo in range(0, len(both), COLUMNS):
+        part = both[lo : lo + COLUMNS]
+        sides = []
+        for (of, key), k in ((x, kx), (y, ky)):
+            at = np.minimum(np.searchsorted(part, key), len(part) - 1)
+            hit = part[at] == key
+            m = np.zeros((k, len(part)), np.float32)
+            m[of[hit], at[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _cell(n: int, percent: int):
+    """Links between a block of documents outside their list's largest component and a block of the list; only those that join components that the cell has not joined yet."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        (dx, cx, x), (dy, cy, y) = ((t.column("doc").to_pylist(), t.column("component").to_pylist(), sets([s or "" for s in t.column("text").to_pylist()], n)) for t in (left, right))
+        sx, sy = np.bincount(x[0], minlength=len(dx)), np.bincount(y[0], minlength=len(dy))
+        shared = _overlaps(x, len(dx), y, len(dy)).astype(np.int64)
+        near = (shared > 0) & (100 * shared >= percent * (sx[:, None] + sy[None, :] - shared))
+        joined: dict[int, int] = {}
+
+        def root(c):
+            while joined.setdefault(c, c) != c:
+                c = joined[c]
+            return c
+
+        out = []
+        for i, j in zip(*(v.tolist() for v in np.nonzero(near))):
+            p, q = root(cx[i]), root(cy[j])
+            if p != q:
+                joined[p] = q
+                out.append((dx[i], dy[j]))
+        return pa.table(list(map(list, zip(*out))) if out else [[]] * 2, schema=schema)
+
+    return run
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """For a join: a hint to broadcast ids, if they are at most MOST_IDS; beyond that the join shuffles."""
     return F.broadcast(ids) if ids.limit(MOST_IDS + 1).count() <= MOST_IDS else ids
@@ -281,13 +330,21 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
     edges = scratch.write(links.unionByName(ties))
     found = components(edges, scratch)
     lists = scratch.write(product.where("list is not null").select("list", F.col("a").alias("doc"), F.col("na").alias("size")).distinct().join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
-    top = lists.groupBy("list", "component").agg(F.count("*").alias("m")).groupBy("list").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    odd = scratch.write(lists.join(top, "list").where("component != top").select("list", "doc", "size", "component"))
-    if odd.limit(1).count():
-        o = odd.select("list", F.col("doc").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"))
-        more = o.join(lists, "list").where(f"cx != component and 100 * least(sx, size) >= {percent} * greatest(sx, size)")
-        more = more.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        edges = edges.unionByName(_verified(scratch.write(more), docs, scratch, n, percent))
+    parts = lists.groupBy("list", "component").agg(F.count("*").alias("m")).groupBy("list").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.sum("m").alias("k"), F.max("m").alias("most"), F.count("*").alias("parts"))
+    blocks = lambda c: F.ceil(c / DOCS).cast("int")
+    several = parts.where("parts > 1").select("list", "top", blocks(F.col("k")).alias("nb"), blocks(F.col("k") - F.col("most")).alias("no"))
+    members = scratch.write(lists.join(several, "list"))
+    if members.limit(1).count():
+        ids = scratch.write(members.select(F.col("doc").alias("doc_id")).distinct())
+        texts = docs.join(_few(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")
+        held = scratch.write(members.join(texts, "doc"))
+        place = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        odd = held.where("component != top").select("list", place("no").alias("i"), every("nb").alias("j"), "doc", "component", "text")
+        against = held.select("list", place("nb").alias("j"), every("no").alias("i"), "doc", "component", "text")
+        cell = ["list", "i", "j"]
+        more = odd.groupBy(*cell).cogroup(against.groupBy(*cell)).applyInArrow(_cell(n, percent), "a long, b long")
+        edges = edges.unionByName(scratch.write(more.distinct()))
         found = components(edges, scratch)
     # Only classes in a component of several, or with several rows, say more than a row's own id.
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
