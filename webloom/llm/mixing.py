@@ -81,8 +81,8 @@ def cuts(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> tuple[DataFram
     per = F.when(F.col("source_size") > 0, F.col("source_size"))
     sources = targets(sized, scratch, weights, limit).withColumns({"epochs": F.coalesce(F.least(F.expr("floor(target + 0.5)").cast("long"), F.col("source_size") * limit) / per, F.lit(0)).cast("long")})
     sources = scratch.write(sources.withColumn("rest", F.least(budget, F.col("source_size") * limit) - F.col("epochs") * F.col("source_size")).drop("weight"))
-    # About 4096 documents a range, by the first bits of the key.
-    bits = max(4, min(MOST_RANGES.bit_length() - 1, (sized.count() // 4096).bit_length()))
+    # About 512 documents a range, by the first bits of the key.
+    bits = max(4, min(MOST_RANGES.bit_length() - 1, (sized.count() // 512).bit_length()))
     ranges = sized.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), 16 - bits))
     sums = scratch.write(ranges.groupBy("source", "range").agg(F.sum("size").alias("words")))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
