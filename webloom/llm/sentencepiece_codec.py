@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import bpe
 from .token_counts import slices
 
-MOST, LONG, SPACE = 200_000, 96, "▁"
+MOST, LONG, SPACE = 500_000, 96, "▁"
 
 
 class Codec:

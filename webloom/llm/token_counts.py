@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from . import bpe
 
-LIMIT, MOST, SLICE = 512, 250_000, 1 << 20
+LIMIT, MOST, SLICE = 512, 500_000, 1 << 20
 #: The split of byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE = r"\t-\r "
