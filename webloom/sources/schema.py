@@ -1,14 +1,12 @@
-"""Schemas of the stored relations."""
+"""Schemas of the stored relations, as DDL."""
 
-from pyspark.sql import types as T
-
-POSTING = T.StructType.fromDDL("word string, origin_url string, current_url string, depth int, frequency bigint, ts bigint")
+POSTING = "word string, origin_url string, current_url string, depth int, frequency bigint, ts bigint"
 #: What a line may hold before numbers are cast.
-RAW_POSTING = T.StructType.fromDDL("word string, origin_url string, current_url string, depth string, frequency string, ts string")
-STATE = T.StructType.fromDDL(
+RAW_POSTING = "word string, origin_url string, current_url string, depth string, frequency string, ts string"
+STATE = (
     "crawler_id string, origin string, state string, depth_limit int, queue_size int, queue array<struct<url: string, depth: int>>, visited_count int, "
     "visited_pages array<string>, pages_processed int, pages_indexed int, pages_failed int, logs array<string>, updated_at bigint"
 )
-PAGE = T.StructType.fromDDL("url string, html string")
-JOB_EVENT = T.StructType.fromDDL("crawler_id string, seq bigint, ts bigint, message string")
-EDGE = T.StructType.fromDDL("src string, pos int, dst string")
+PAGE = "url string, html string"
+JOB_EVENT = "crawler_id string, seq bigint, ts bigint, message string"
+EDGE = "src string, pos int, dst string"
