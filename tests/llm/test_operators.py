@@ -210,7 +210,7 @@ def test_html(spark):
         '<table><tr><td>c<td>d</table><p>unclosed<div class="ad">buy</div><pre>k  l</pre></div><section id="comments"><p>{long}</p></section></div><footer>foot</footer><script>if (a<b) {{"</p>"}}</script></body></html>'
     ).format(long="w " * 90)
     short = '<body><div class="post p3"><p>tiny</p></div><div class="more"><p>much longer text in another place of the page</p></div>'
-    rows = [(1, "http://h/1", page), (2, "http://h/2", page), (3, "http://h/3", short.replace('<div class="post', '<div class="wrap"><div class="post', 1)), (4, None, None), (5, "x", ""), (5, "x", ""), (6, "http://o/", "plain")]
+    rows = [(1, "http://h/1", page), (2, "http://h/2", page), (3, "http://h/3", short.replace('<div class="post', '<div class="wrap has-sidebar"><div class="post', 1)), (4, None, None), (5, "x", ""), (5, "x", ""), (6, "http://o/", "plain")]
     got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, text int")).collect()}
     assert got[1] == got[2] == "Head One & twobold x y a b c d unclosed k l" and (got[4], got[5], got[6]) == ("", "", "plain")
     assert got[3] == "tiny"  # the other pages of its host decide
