@@ -107,6 +107,30 @@ def test_ngram_join(spark, odd):
     assert {r.component_id for r in with_null} == {4}
 
 
+def test_counts_bound_the_overlap():
+    """Counts by bin never discard a pair that is similar, sizes beyond a byte included."""
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    texts = []
+    for size in (5, 60, 400, 90_000):
+        base = [f"w{rnd.randint(0, 10 * size)}" for _ in range(size)]
+        for share in (0, 0.01, 0.03, 0.05, 0.5, 1):
+            texts.append(" ".join(f"z{rnd.random()}" if rnd.random() < share else w for w in base))
+    ids = list(range(len(texts)))
+    rows = pa.Table.from_batches(ngram_join._counts(4)(iter([pa.record_batch([pa.array(ids), pa.array(texts)], ["doc_id", "text"])]))).to_pylist()
+    assert [r["doc_id"] for r in rows] == ids and rows[-1]["bins"] is None and rows[0]["bins"] is not None
+    pairs = [(a, b) for a in ids for b in ids if a < b and rows[a]["n"] and rows[b]["n"]]
+    column = lambda name, side: pa.array([rows[p[side]][name] for p in pairs])
+    batch = pa.record_batch([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs]), column("n", 0), column("n", 1), column("bins", 0), column("bins", 1)], ["a", "b", "na", "nb", "ba", "bb"])
+    kept = {(r["a"], r["b"]) for b in ngram_join._possible(85)(iter([batch])) for r in b.to_pylist()}
+    both = pa.record_batch([batch.column(0), batch.column(1), pa.array([texts[a] for a, _ in pairs]), pa.array([texts[b] for _, b in pairs])], ["a", "b", "ta", "tb"])
+    similar = {(r["a"], r["b"]) for b in ngram_join._similar(4, 85)(iter([both])) for r in b.to_pylist()}
+    assert similar and similar <= kept
+    small = {p for p in pairs if max(p) < 18}
+    assert len(kept & small) < len(small) / 2
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)]

@@ -9,8 +9,9 @@ with shingles that many documents share at the end, rarest first. So the product
 of each row. It is made by block, a range of shingles: each shingle's documents are paired if their sizes
 allow it, and a pair's count of shared columns is added up over all blocks. If the order ends one row's
 part first, all of its matches there are counted, so the overlap is at most that count and the rest of the
-row: pairs that can't reach the overlap that their sizes ask for are discarded. The others are compared
-whole, by their sets.
+row: pairs that can't reach the overlap that their sizes ask for are discarded. For the others, each row's
+shingles are counted in BINS by hash: two rows share at most the sum of the smaller counts, and pairs for
+which that is too little go as well. What is left is compared whole, by their sets.
 
 A shingle that more than ALL documents share isn't expanded into all pairs: some of its documents, a few in
 each range of sizes, are compared with all the rest, and the list is kept. After components are found, only
@@ -44,6 +45,8 @@ FREQUENT, SEVERAL, ALL, PIVOTS = 1 << 19, 2, 32, 3
 SLICE, BLOCK, MOST_IDS = 2 << 20, 3_000_000, 1_000_000
 #: Rows and columns of the blocks in which the documents of a long list are compared.
 DOCS, COLUMNS = 256, 8192
+#: Counts of a row's shingles by hash, a byte each.
+BINS = 256
 _S2 = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -212,6 +215,41 @@ def _product(percent: int):
     return run
 
 
+def _counts(n: int):
+    """A row's size and its counts by bin; null where a count doesn't fit a byte."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("bins", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            ids, at = b.column("doc_id"), 0
+            for texts in slices(b.column("text").to_pylist(), SLICE):
+                of, key = sets(texts, n)
+                k = len(texts)
+                counts = np.bincount(of * BINS + (key % np.uint64(BINS)).astype(np.int64), minlength=k * BINS).reshape(k, BINS)
+                fits = counts.max(1) < 256
+                bins = [c.tobytes() if f else None for c, f in zip(counts.astype(np.uint8), fits)]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, k), pa.array(np.bincount(of, minlength=k), pa.int64()), pa.array(bins, pa.binary())], schema=schema)
+                at += k
+
+    return run
+
+
+def _possible(percent: int):
+    """Keeps the pairs whose counts by bin allow the overlap that their sizes ask for."""
+
+    def run(batches):
+        for b in batches:
+            left, right = b.column("ba").to_pylist(), b.column("bb").to_pylist()
+            known = np.array([x is not None and y is not None for x, y in zip(left, right)], bool)
+            x, y = (np.frombuffer(b"".join(v for v, k in zip(side, known) if k), np.uint8).reshape(-1, BINS) for side in (left, right))
+            sizes = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            good = ~known
+            good[known] = (100 + percent) * np.minimum(x, y).sum(1, dtype=np.int64) >= percent * sizes[known]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _similar(n: int, percent: int):
     """Keeps the pairs whose whole sets are similar."""
 
@@ -290,13 +328,21 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(MOST_IDS + 1).count() <= MOST_IDS else ids
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+def _rows_of(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     ids = scratch.write(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = scratch.write(docs.join(_few(ids), "doc_id", "left_semi").select("doc_id", "text"))
+    return docs.join(_few(ids), "doc_id", "left_semi").select("doc_id", "text")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    counts = scratch.write(_rows_of(pairs, docs, scratch).mapInArrow(_counts(n), "doc_id long, n long, bins binary"))
+    side = lambda c: counts.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"b{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    pairs = scratch.write(both.mapInArrow(_possible(percent), "a long, b long").distinct())
+    scratch.drop(counts)
+    texts = scratch.write(_rows_of(pairs, docs, scratch))
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     links = scratch.write(both.mapInArrow(_similar(n, percent), "a long, b long").distinct())
-    scratch.drop(ids)
     scratch.drop(texts)
     return links
 
