@@ -402,4 +402,5 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs whose doc_id is their component's; rows without an id or words stay. All columns."""
     gone = linked(docs, **how).where("component_id != doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    gone = Scratch(docs.sparkSession, "gone").write(gone)
+    return docs.join(_few(gone), docs["doc_id"] == F.col("__id"), "left_anti")
