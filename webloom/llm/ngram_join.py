@@ -42,7 +42,9 @@ from .words import Words, differences, mix, pack, unpack
 N, PERCENT = 4, 85
 FREQUENT, SEVERAL, ALL, PIVOTS = 1 << 19, 2, 32, 3
 #: Texts are handled so many characters at a time; entries of a block of the product; ids that may be broadcast.
-SLICE, BLOCK, MOST_IDS = 2 << 20, 3_000_000, 1_000_000
+SLICE, BLOCK, MOST_IDS = 1 << 20, 1_000_000, 1_000_000
+#: Pairs of a block that are held before those that repeat are added up.
+PAIRS = 1 << 18
 #: Rows and columns of the blocks in which the documents of a long list are compared.
 DOCS, COLUMNS = 256, 8192
 #: Counts of a row's shingles by hash, a byte each.
@@ -157,7 +159,20 @@ def _product(percent: int):
         h, doc, size = h[new], doc[new], size[new]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         length = np.diff(np.r_[start, len(h)])
-        found, stars, groups = [], [], {}
+        found, stars, groups, out = [], [], {}, []
+
+        def add_up(rows: list, star: bool, least: int = 0) -> None:
+            if sum(p.shape[1] for p in rows) <= least:
+                return
+            p = np.concatenate(rows, axis=1)
+            rows.clear()
+            swap = p[0] > p[1]
+            p[:, swap] = p[:, swap][[1, 0, 3, 2]]
+            p = p[:, np.lexsort((p[1], p[0]))]
+            first = np.flatnonzero(np.r_[True, (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])])
+            count = np.diff(np.r_[first, p.shape[1]])
+            p = p[:, first]
+            out.append(pa.table([*map(pa.array, p), pa.array(count, pa.int64()), pa.array([star] * len(first), pa.bool_()), pa.nulls(len(first), pa.int64())], schema=_PAIRS))
 
         def root(x):
             while groups.setdefault(x, x) != x:
@@ -176,6 +191,7 @@ def _product(percent: int):
                         x, y = at[ok] + i, at[ok] + j
                         if len(x):
                             found.append(np.stack([doc[x], doc[y], size[x], size[y]]))
+                    add_up(found, False, PAIRS)
                 continue
             for s in at:
                 d, z = doc[s : s + k], size[s : s + k]
@@ -188,25 +204,15 @@ def _product(percent: int):
                         m = int(ok.sum())
                         stars.append(np.stack([np.full(m, d[p]), d[ok], np.full(m, z[p]), z[ok]]))
                     lo = hi
+                add_up(stars, True, PAIRS)
                 first = root(int(d[0]))
                 for x, y in zip(d.tolist(), z.tolist()):
                     member[x] = y
                     r = root(x)
                     if r != first:
                         groups[r] = first
-        out = []
-        for rows, star in ((found, False), (stars, True)):
-            if not rows:
-                continue
-            p = np.concatenate(rows, axis=1)
-            swap = p[0] > p[1]
-            p[:, swap] = p[:, swap][[1, 0, 3, 2]]
-            order = np.lexsort((p[1], p[0]))
-            p = p[:, order]
-            first = np.flatnonzero(np.r_[True, (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])])
-            count = np.diff(np.r_[first, p.shape[1]])
-            p = p[:, first]
-            out.append(pa.table([*map(pa.array, p), pa.array(count, pa.int64()), pa.array([star] * len(first), pa.bool_()), pa.nulls(len(first), pa.int64())], schema=_PAIRS))
+        add_up(found, False)
+        add_up(stars, True)
         if member:
             m = len(member)
             out.append(pa.table([pa.array(list(member), pa.int64()), pa.nulls(m, pa.int64()), pa.array(list(member.values()), pa.int64()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_())), pa.array([root(x) for x in member], pa.int64())], schema=_PAIRS))
