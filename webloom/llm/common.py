@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +80,23 @@ def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     cond = [left[c].eqNullSafe(renamed[f"__{c}"]) for c in on]
     out = left.join(renamed, cond, how)
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__{c}" for c in on])
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on after a task, beside later stages of the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run):
+    """A function for mapInArrow that gives back memory when its task ends."""
+
+    def ends(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return ends

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .token_counts import slices
 
 BITS, WIDTH, EPOCHS, RATE, PER_LANG, MOST_LANGS, REJECTED, HALF = 16, 16, 6, 8.0, 1200, 256, 0.0005, 0.5
@@ -168,7 +169,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())], [*cols, "lang_pred", "score", "rejected"])
 
     schema = docs.select(*cols).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.select(*cols).mapInArrow(run, schema)
+    return docs.select(*cols).mapInArrow(trimmed(run), schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

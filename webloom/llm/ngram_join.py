@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, give_back, trimmed
 from .components import components
 from .token_counts import slices
 from .words import Words, differences, mix, pack, unpack
@@ -42,7 +42,7 @@ from .words import Words, differences, mix, pack, unpack
 N, PERCENT = 4, 85
 FREQUENT, SEVERAL, ALL, PIVOTS = 1 << 19, 2, 32, 3
 #: Texts are handled so many characters at a time; entries of a block of the product; ids that may be broadcast.
-SLICE, BLOCK, MOST_IDS = 1 << 20, 1_000_000, 1_000_000
+SLICE, BLOCK, MOST_IDS = 1 << 20, 3_000_000, 1_000_000
 #: Pairs of a block that are held before those that repeat are added up.
 PAIRS = 1 << 18
 #: Rows and columns of the blocks in which the documents of a long list are compared.
@@ -150,7 +150,7 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("
 def _product(percent: int):
     """The product's share of one block: pairs with counts; for long lists, pairs with a few documents, and (list, document) rows as a, na."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def product(table: pa.Table) -> pa.Table:
         n = table.column("n").to_pylist()
         h, doc, size = (np.concatenate([f(b.as_py(), k) for b, k in zip(table.column(c), n)]) for c, f in (("h", lambda b, k: np.cumsum(unpack(b, k, np.uint64))), ("doc", lambda b, k: unpack(b, k, np.int64)), ("size", lambda b, k: unpack(b, k, np.uint32).astype(np.int64))))
         order = np.lexsort((doc, size, h))
@@ -218,6 +218,12 @@ def _product(percent: int):
             out.append(pa.table([pa.array(list(member), pa.int64()), pa.nulls(m, pa.int64()), pa.array(list(member.values()), pa.int64()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_())), pa.array([root(x) for x in member], pa.int64())], schema=_PAIRS))
         return pa.concat_tables(out) if out else _PAIRS.empty_table()
 
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return product(table)
+        finally:
+            give_back()
+
     return run
 
 
@@ -340,15 +346,15 @@ def _rows_of(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
-    counts = scratch.write(_rows_of(pairs, docs, scratch).mapInArrow(_counts(n), "doc_id long, n long, bins binary"))
+    counts = scratch.write(_rows_of(pairs, docs, scratch).mapInArrow(trimmed(_counts(n)), "doc_id long, n long, bins binary"))
     side = lambda c: counts.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"b{c}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    pairs = scratch.write(both.mapInArrow(_possible(percent), "a long, b long").distinct())
+    pairs = scratch.write(both.mapInArrow(trimmed(_possible(percent)), "a long, b long").distinct())
     scratch.drop(counts)
     texts = scratch.write(_rows_of(pairs, docs, scratch))
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    links = scratch.write(both.mapInArrow(_similar(n, percent), "a long, b long").distinct())
+    links = scratch.write(both.mapInArrow(trimmed(_similar(n, percent)), "a long, b long").distinct())
     scratch.drop(texts)
     return links
 
@@ -357,7 +363,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
     """doc_id, n_shingles, component_id for each row."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = scratch.write(docs.mapInArrow(_describe(n), "doc_id long, n long, d1 long, d2 long, h long, c long"))
+    described = scratch.write(docs.mapInArrow(trimmed(_describe(n)), "doc_id long, n long, d1 long, d2 long, h long, c long"))
     rows = described.where("n is not null").select("doc_id", "n", "d1", "d2")
     classes = scratch.write(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")))
     often = described.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
@@ -370,7 +376,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
     copies = scratch.write(copies.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"))
     entries = (classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1).alias("e")).first().e or 0) // block
     alone = docs.join(_few(copies), "doc_id", "left_anti")
-    columns = alone.mapInArrow(_columns(n, percent, frequent, int(entries).bit_length()), "at long, n long, h binary, doc binary, size binary")
+    columns = alone.mapInArrow(trimmed(_columns(n, percent, frequent, int(entries).bit_length())), "at long, n long, h binary, doc binary, size binary")
     product = scratch.write(columns.groupBy("at").applyInArrow(_product(percent), "a long, b long, na long, nb long, shared long, star boolean, list long"))
     pairs = product.where("b is not null").groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("na", "nb", "star")), F.sum("shared").alias("shared"))
     asked = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
