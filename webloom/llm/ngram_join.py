@@ -43,6 +43,8 @@ N, PERCENT = 4, 85
 FREQUENT, SEVERAL, ALL, PIVOTS = 1 << 19, 2, 32, 3
 #: Texts are handled so many characters at a time; entries of a block of the product; ids that may be broadcast.
 SLICE, BLOCK, MOST_IDS = 2 << 20, 3_000_000, 1_000_000
+#: A block's entries are sorted and paired in 2^PARTS ranges, one after another; its long lists are joined over all of them.
+PARTS = 3
 #: Pairs of a block that are held before those that repeat are added up.
 PAIRS = 1 << 18
 #: Rows and columns of the blocks in which the documents of a long list are compared.
@@ -71,6 +73,16 @@ def sets(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return of, key
 
 
+def _sets_of_many(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """sets() of any number of texts, made SLICE characters at a time."""
+    found, at = [], 0
+    for run in slices(texts, SLICE):
+        of, key = sets(run, n)
+        found.append((of + at, key))
+        at += len(run)
+    return tuple(map(np.concatenate, zip(*found)))
+
+
 def _digests(of: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.bincount(of, minlength=k)
     total = [np.r_[np.uint64(0), np.cumsum(mix(key ^ s), dtype=np.uint64)] for s in (np.uint64(0), _S2)]
@@ -110,7 +122,7 @@ def _needed(n, percent):
 
 def _columns(n: int, percent: int, frequent, block_bits: int):
     """Each slice's entries (shingle, document, size), by block."""
-    schema = pa.schema([("at", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("doc", pa.binary()), ("size", pa.binary())])
+    schema = pa.schema([("at", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("doc", pa.binary()), ("size", pa.binary())])
 
     def run(batches):
         often, place = frequent.value
@@ -135,15 +147,35 @@ def _columns(n: int, percent: int, frequent, block_bits: int):
                 order = np.argsort(h, kind="stable")
                 h, d = h[order], d[order]
                 doc = np.array([i or 0 for i in own], np.int64)[d]
-                block = h >> np.uint64(64 - block_bits) if block_bits else np.zeros(len(h), np.uint64)
-                edges = np.flatnonzero(np.diff(block)) + 1
-                rows = [(int(block[x]), int(y - x), pack(differences(h[x:y])), pack(doc[x:y]), pack(size[d[x:y]].astype(np.uint32))) for x, y in zip(np.r_[0, edges], np.r_[edges, len(h)]) if y > x]
+                part = h >> np.uint64(64 - block_bits - PARTS)
+                edges = np.flatnonzero(np.diff(part)) + 1
+                rows = [(*divmod(int(part[x]), 1 << PARTS), int(y - x), pack(differences(h[x:y])), pack(doc[x:y]), pack(size[d[x:y]].astype(np.uint32))) for x, y in zip(np.r_[0, edges], np.r_[edges, len(h)]) if y > x]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
 
 
+def _shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, documents and sizes of the entries whose shingle several documents have, in that order."""
+    n = table.column("n").to_pylist()
+    h, doc, size = (np.empty(sum(n), t) for t in (np.uint64, np.int64, np.uint32))
+    at = 0
+    for k, x, y, z in zip(n, table.column("h"), table.column("doc"), table.column("size")):
+        np.cumsum(unpack(x.as_py(), k, np.uint64), out=h[at : at + k])
+        doc[at : at + k] = unpack(y.as_py(), k, np.int64)
+        size[at : at + k] = unpack(z.as_py(), k, np.uint32)
+        at += k
+    order = np.lexsort((doc, size, h))
+    h = h[order]
+    doc = doc[order]
+    size = size[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
+    same = h[1:] == h[:-1]
+    keep = new & (np.r_[False, same] | np.r_[same, False])
+    return h[keep], doc[keep], size[keep].astype(np.int64)
+
+
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("shared", pa.int64()), ("star", pa.bool_()), ("list", pa.int64())])
 
 
@@ -151,14 +183,6 @@ def _product(percent: int):
     """The product's share of one block: pairs with counts; for long lists, pairs with a few documents, and (list, document) rows as a, na."""
 
     def product(table: pa.Table) -> pa.Table:
-        n = table.column("n").to_pylist()
-        h, doc, size = (np.concatenate([f(b.as_py(), k) for b, k in zip(table.column(c), n)]) for c, f in (("h", lambda b, k: np.cumsum(unpack(b, k, np.uint64))), ("doc", lambda b, k: unpack(b, k, np.int64)), ("size", lambda b, k: unpack(b, k, np.uint32).astype(np.int64))))
-        order = np.lexsort((doc, size, h))
-        h, doc, size = h[order], doc[order], size[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
-        h, doc, size = h[new], doc[new], size[new]
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        length = np.diff(np.r_[start, len(h)])
         found, stars, groups, out = [], [], {}, []
 
         def add_up(rows: list, star: bool, least: int = 0) -> None:
@@ -180,37 +204,47 @@ def _product(percent: int):
             return x
 
         member: dict[int, int] = {}
-        for k in np.unique(length):
-            if k < 2:
-                continue
-            at = start[length == k]
-            if k <= ALL:
-                for i in range(k - 1):
-                    for j in range(i + 1, k):
-                        ok = (100 * size[at + i] >= percent * size[at + j]) & (doc[at + i] != doc[at + j])
-                        x, y = at[ok] + i, at[ok] + j
-                        if len(x):
-                            found.append(np.stack([doc[x], doc[y], size[x], size[y]]))
-                    add_up(found, False, PAIRS)
-                continue
-            for s in at:
-                d, z = doc[s : s + k], size[s : s + k]
-                lo = 0
-                while lo < k:
-                    hi = int(np.searchsorted(percent * z, 100 * z[lo], side="right"))
-                    luck = np.argsort(mix(d[lo:hi].view(np.uint64)))[:PIVOTS] + lo
-                    for p in luck:
-                        ok = (100 * np.minimum(z, z[p]) >= percent * np.maximum(z, z[p])) & (d != d[p])
-                        m = int(ok.sum())
-                        stars.append(np.stack([np.full(m, d[p]), d[ok], np.full(m, z[p]), z[ok]]))
-                    lo = hi
-                add_up(stars, True, PAIRS)
-                first = root(int(d[0]))
-                for x, y in zip(d.tolist(), z.tolist()):
-                    member[x] = y
-                    r = root(x)
-                    if r != first:
-                        groups[r] = first
+
+        def pair_up(h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> None:
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            length = np.diff(np.r_[start, len(h)])
+            for k in np.unique(length):
+                if k < 2:
+                    continue
+                at = start[length == k]
+                if k <= ALL:
+                    for i in range(k - 1):
+                        for j in range(i + 1, k):
+                            ok = (100 * size[at + i] >= percent * size[at + j]) & (doc[at + i] != doc[at + j])
+                            x, y = at[ok] + i, at[ok] + j
+                            if len(x):
+                                found.append(np.stack([doc[x], doc[y], size[x], size[y]]))
+                        add_up(found, False, PAIRS)
+                    continue
+                for s in at:
+                    d, z = doc[s : s + k], size[s : s + k]
+                    lo = 0
+                    while lo < k:
+                        hi = int(np.searchsorted(percent * z, 100 * z[lo], side="right"))
+                        luck = np.argsort(mix(d[lo:hi].view(np.uint64)))[:PIVOTS] + lo
+                        for p in luck:
+                            ok = (100 * np.minimum(z, z[p]) >= percent * np.maximum(z, z[p])) & (d != d[p])
+                            m = int(ok.sum())
+                            stars.append(np.stack([np.full(m, d[p]), d[ok], np.full(m, z[p]), z[ok]]))
+                        lo = hi
+                    add_up(stars, True, PAIRS)
+                    first = root(int(d[0]))
+                    for x, y in zip(d.tolist(), z.tolist()):
+                        member[x] = y
+                        r = root(x)
+                        if r != first:
+                            groups[r] = first
+
+        part = table.column("part").to_numpy()
+        for k in np.unique(part):
+            entries = _shared(table.filter(pa.array(part == k)))
+            if len(entries[0]):
+                pair_up(*entries)
         add_up(found, False)
         add_up(stars, True)
         if member:
@@ -310,10 +344,10 @@ def _cell(n: int, percent: int):
     """Links between a block of documents outside their list's largest component and a block of the list; only those that join components that the cell has not joined yet."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        (dx, cx, x), (dy, cy, y) = ((t.column("doc").to_pylist(), t.column("component").to_pylist(), sets([s or "" for s in t.column("text").to_pylist()], n)) for t in (left, right))
+        (dx, cx, x), (dy, cy, y) = ((t.column("doc").to_pylist(), t.column("component").to_pylist(), _sets_of_many(t.column("text").to_pylist(), n)) for t in (left, right))
         sx, sy = np.bincount(x[0], minlength=len(dx)), np.bincount(y[0], minlength=len(dy))
         shared = _overlaps(x, len(dx), y, len(dy)).astype(np.int64)
         near = (shared > 0) & (100 * shared >= percent * (sx[:, None] + sy[None, :] - shared))
@@ -332,6 +366,12 @@ def _cell(n: int, percent: int):
                 out.append((dx[i], dy[j]))
         return pa.table(list(map(list, zip(*out))) if out else [[]] * 2, schema=schema)
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return cell(left, right)
+        finally:
+            give_back()
+
     return run
 
 
@@ -376,7 +416,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
     copies = scratch.write(copies.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"))
     entries = (classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1).alias("e")).first().e or 0) // block
     alone = docs.join(_few(copies), "doc_id", "left_anti")
-    columns = alone.mapInArrow(trimmed(_columns(n, percent, frequent, int(entries).bit_length())), "at long, n long, h binary, doc binary, size binary")
+    columns = alone.mapInArrow(trimmed(_columns(n, percent, frequent, int(entries).bit_length())), "at long, part long, n long, h binary, doc binary, size binary")
     product = scratch.write(columns.groupBy("at").applyInArrow(_product(percent), "a long, b long, na long, nb long, shared long, star boolean, list long"))
     pairs = product.where("b is not null").groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("na", "nb", "star")), F.sum("shared").alias("shared"))
     asked = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
