@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import trimmed
-from .token_counts import slices
+from .token_counts import slices, texts_of
 
 BITS, WIDTH, EPOCHS, RATE, PER_LANG, MOST_LANGS, REJECTED, HALF = 16, 16, 6, 8.0, 1200, 256, 0.0005, 0.5
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         for b in batches:
             langs, scores = [], []
-            for texts in slices(b.column("text").to_pylist()):
+            for texts in slices(texts_of(b)):
                 x, y = m.predict(texts)
                 langs += x
                 scores += y

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, give_back, trimmed
 from .components import components
-from .token_counts import slices
+from .token_counts import slices, texts_of
 from .words import Words, differences, mix, pack, unpack
 
 N, PERCENT = 4, 85
@@ -97,7 +97,7 @@ def _describe(n: int):
     def run(batches):
         for b in batches:
             ids, at = b.column("doc_id"), 0
-            for texts in slices(b.column("text").to_pylist(), SLICE):
+            for texts in slices(texts_of(b), SLICE):
                 of, key = sets(texts, n)
                 size, d1, d2 = _digests(of, key, len(texts))
                 _, alone = np.unique(d1, return_index=True)
@@ -128,7 +128,7 @@ def _columns(n: int, percent: int, frequent, block_bits: int):
         often, place = frequent.value
         for b in batches:
             ids, at = b.column("doc_id").to_pylist(), 0
-            for texts in slices(b.column("text").to_pylist(), SLICE):
+            for texts in slices(texts_of(b), SLICE):
                 own = ids[at : at + len(texts)]
                 at += len(texts)
                 of, key = sets(texts, n)
@@ -268,7 +268,7 @@ def _counts(n: int):
     def run(batches):
         for b in batches:
             ids, at = b.column("doc_id"), 0
-            for texts in slices(b.column("text").to_pylist(), SLICE):
+            for texts in slices(texts_of(b), SLICE):
                 of, key = sets(texts, n)
                 k = len(texts)
                 counts = np.bincount(of * BINS + (key % np.uint64(BINS)).astype(np.int64), minlength=k * BINS).reshape(k, BINS)

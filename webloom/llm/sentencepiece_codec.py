@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import bpe
-from .token_counts import slices
+from .token_counts import slices, texts_of
 
-MOST, LONG, SPACE = 500_000, 96, "▁"
+#: Segments kept; longer ones are streamed; texts are split so many characters at a time.
+MOST, LONG, SLICE, SPACE = 500_000, 96, 1 << 18, "▁"
 
 
 class Codec:
@@ -119,7 +120,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         codec = Codec.of(data.value)
         for b in batches:
             at = 0
-            for run in slices(b.column("text").to_pylist()):
+            for run in slices(texts_of(b), SLICE):
                 ids = codec.encode(run)
                 part = b.slice(at, len(run))
                 at += len(run)
@@ -152,7 +153,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         codec = Codec.of(data.value)
         for b in batches:
             n, sha, same = [], [], []
-            for run in slices(b.column("text").to_pylist()):
+            for run in slices(texts_of(b), SLICE):
                 for text, ids in zip(run, codec.encode(run)):
                     n.append(len(ids))
                     sha.append(hashlib.sha256(ids.tobytes()).hexdigest())

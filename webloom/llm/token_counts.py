@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterable
 from itertools import accumulate
 
 import numpy as np
@@ -116,7 +117,12 @@ class PrefixCounts:
         return size
 
 
-def slices(texts: list[str | None], most: int = SLICE):
+def texts_of(batch: pa.RecordBatch):
+    """A batch's texts one by one, so that no second copy of all of them is held."""
+    return (x.as_py() for x in batch.column("text"))
+
+
+def slices(texts: Iterable[str | None], most: int = SLICE):
     """Runs of texts of about `most` characters, null as empty."""
     run, n = [], 0
     for t in texts:
@@ -137,7 +143,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     def count(batches):
         counter = Counter.of(data.value)
         for b in batches:
-            n = [x for run in slices(b.column("text").to_pylist()) for x in counter.counts(run)]
+            n = [x for run in slices(texts_of(b)) for x in counter.counts(run)]
             n = pa.array(n, pa.int64())
             size = pc.fill_null(pc.cast(pc.binary_length(b.column("text")), pa.int64()), 0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
