@@ -27,8 +27,7 @@ from pyspark.sql import types as T
 from . import bpe
 from .token_counts import slices, texts_of
 
-#: Segments kept; longer ones are streamed; texts are split so many characters at a time.
-MOST, LONG, SLICE, SPACE = 500_000, 96, 1 << 18, "▁"
+MOST, LONG, SPACE = 500_000, 96, "▁"
 
 
 class Codec:
@@ -120,7 +119,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         codec = Codec.of(data.value)
         for b in batches:
             at = 0
-            for run in slices(texts_of(b), SLICE):
+            for run in slices(texts_of(b)):
                 ids = codec.encode(run)
                 part = b.slice(at, len(run))
                 at += len(run)
@@ -153,7 +152,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         codec = Codec.of(data.value)
         for b in batches:
             n, sha, same = [], [], []
-            for run in slices(texts_of(b), SLICE):
+            for run in slices(texts_of(b)):
                 for text, ids in zip(run, codec.encode(run)):
                     n.append(len(ids))
                     sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
