@@ -260,6 +260,28 @@ def test_sharding(spark, tmp_path):
     assert key(store.read()) == key(docs)
 
 
+def test_registered_sharding(spark, sf, monkeypatch, tmp_path):
+    """The query appends several arrivals and merges runs of them, more than once."""
+    stores, sharded = [], sharding.sharded
+    monkeypatch.setattr(sharding, "sharded", lambda *a, **b: stores.append(sharded(*a, **b)) or stores[-1])
+    got = queries.op7_sharding(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted((r.doc_id, r.n_chars) for r in got) == sorted(map(tuple, docs.select("doc_id", "n_chars").collect()))
+    assert max(r.tier for r in got) >= 2 and stores[0].version() > 16
+
+
+def test_small_shards(spark, tmp_path):
+    """Shards of an arrival are small in bytes, whatever its partitions; a row too long for one is alone."""
+    rnd = random.Random(6)
+    docs = documents(spark, [(k, f"{rnd.getrandbits(8000 if k < 300 else 80):x}") for k in range(600)] + [(900, f"{rnd.getrandbits(200_000):x}")]).orderBy("doc_id").coalesce(1)
+    store = sharding.Store(spark, f"file://{tmp_path}/s", target=160_000)
+    for _ in range(2):
+        shards = store.append(docs)["shards"]
+        assert len(shards) > 8 and all(s["bytes"] <= 20_000 or s["rows"] == 1 for s in shards)
+    key = lambda d: sorted(map(repr, d.select(*docs.columns).collect()))
+    assert key(store.read()) == key(docs.union(docs))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

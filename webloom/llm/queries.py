@@ -45,8 +45,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars and tier, rows and version of the shard that each row of the compacted store is in."""
-    store = sharding.sharded(table(spark, sf_dir, "documents"), f"{Scratch(spark, 'shards').root}/store", target=32 << 20)
+    """doc_id, n_chars and tier, rows and version of the shard that each row of the compacted store is in, after 16 arrivals."""
+    store = sharding.sharded(table(spark, sf_dir, "documents"), f"{Scratch(spark, 'shards').root}/store", arrivals=16, target=32 << 20)
     m = store.manifest()
     if not m["shards"]:
         return table(spark, sf_dir, "documents").selectExpr("doc_id", "n_chars", "'' as shard", "0 as tier", "0L as shard_rows", "0L as added")

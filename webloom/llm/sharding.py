@@ -1,8 +1,9 @@
 """Sharding by size-tiered compaction.
 
 A store is a folder of immutable Parquet shards and of manifests, each a complete list of the shards of one
-version. An arrival is appended as small shards of at most ROWS rows. Compaction looks for runs: shards of
-one tier (sizes within a factor FAN) of which there are at least FAN, or that together fill a target file.
+version. An arrival is appended as small shards of at most ROWS rows and a SMALL-th of the target in bytes;
+files that come out larger are written again in pieces. Compaction looks for runs: shards of one tier
+(sizes within a factor FAN) of which there are at least FAN, or that together fill a target file.
 Each run is merged into one file of about TARGET bytes by one task that reads only that run, so nothing is
 shuffled; a shard of half the target size or more is left alone. Files that no manifest lists are never
 read, so a job that fails, or an executor that is lost, leaves the last version as it is.
@@ -26,7 +27,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TARGET, FAN, ROWS, AT_ONCE = 128 << 20, 4, 1_000_000, 8
+TARGET, FAN, SMALL, ROWS, AT_ONCE = 128 << 20, 4, 8, 1_000_000, 8
 
 
 class Conflict(RuntimeError):
@@ -85,10 +86,27 @@ class Store:
         return [{"name": f"{folder}/{n}", "rows": rows[n], "bytes": sizes[n], "tier": tier} for n in names if rows.get(n)]
 
     def append(self, arrival: DataFrame) -> dict:
-        """Adds an arrival as small shards, a file for each of its partitions."""
-        base, folder = self.manifest(), f"a-{uuid.uuid4().hex[:12]}"
-        arrival.write.option("compression", "zstd").option("maxRecordsPerFile", ROWS).parquet(f"{self.root}/shards/{folder}")
-        return self.commit(base, self._files(folder, 0), set())
+        """Adds an arrival as small shards: of each of its partitions, files of at most a SMALL-th of the target."""
+        base, folder, most = self.manifest(), f"a-{uuid.uuid4().hex[:12]}", max(1, self.target // SMALL)
+        # The rows there are say how many rows a file can hold; the first arrival has none to go by.
+        rows, size = (sum(s[k] for s in base["shards"]) for k in ("rows", "bytes"))
+        fit = min(ROWS, max(1, most * rows // size)) if size else ROWS
+        arrival.write.option("compression", "zstd").option("maxRecordsPerFile", fit).parquet(f"{self.root}/shards/{folder}")
+        added, todo = [], self._files(folder, 0)
+        while todo:
+            large = [s for s in todo if s["bytes"] > most and s["rows"] > 1]
+            added += [s for s in todo if s not in large]
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                todo = [x for xs in pool.map(lambda s: self._pieces(s, most), large) for x in xs]
+        return self.commit(base, added, set())
+
+    def _pieces(self, shard: dict, most: int) -> list[dict]:
+        """A shard that isn't listed yet, written again as at least two files of about `most` bytes; the old file goes."""
+        path, folder = f"{self.root}/shards/{shard['name']}", f"a-{uuid.uuid4().hex[:12]}"
+        fit = max(1, shard["rows"] // -(-shard["bytes"] // most))
+        self.spark.read.parquet(path).coalesce(1).write.option("compression", "zstd").option("maxRecordsPerFile", fit).parquet(f"{self.root}/shards/{folder}")
+        self.fs.delete(self.path(path), False)
+        return self._files(folder, shard["tier"])
 
     def tier(self, size: int) -> int:
         t = 0
@@ -156,12 +174,12 @@ class Store:
 
 
 def sharded(docs: DataFrame, root: str, arrivals: int = 1, target: int = TARGET, fan: int = FAN) -> Store:
-    """A store of docs at root: each of the arrivals (by a hash of doc_id) appended, then compacted until no run is left."""
+    """A store of docs at root: after each of the arrivals (by a hash of doc_id) is appended, runs are merged until none is left."""
     store = Store(docs.sparkSession, root, target, fan)
     for k in range(arrivals):
         mine = docs if arrivals == 1 else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k)
         store.append(mine)
-    while (before := store.version()) != store.compact()["version"]:
-        if store.version() > before:
-            store.vacuum(1)
+        while (before := store.version()) != store.compact()["version"]:
+            if store.version() > before:
+                store.vacuum(1)
     return store
