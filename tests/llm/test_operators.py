@@ -241,6 +241,26 @@ def test_html(spark):
     assert html_extract.extract("a < b &lt; c") == "a < b < c" and html_extract.extract("<div hidden>x</div><p>y") == "y"
 
 
+def test_html_beside_the_best(spark):
+    """Text beside the container with most points belongs to the article, by page and by host."""
+    long, less = "long " * 100, "less " * 66
+    pages = {
+        f"<article><h1>Head</h1><div><p>{long}</div></article>": f"Head {long}",
+        f"<main><div class=a><h1>Head</h1></div><div class=b><p>{long}</div></main><div class=c>{less}</div>": f"Head {long}",
+        **{f"<div class=post><div class=in><p>Intro</p><{t}>{long}</{t}></div></div><div class=c>by me</div>": f"Intro {long}" for t in ("ul", "blockquote", "section", "div")},
+        f"<div class=post><p>Intro</p><table><tr><td>{long}</table></div>": f"Intro {long}",
+        f"<div><section><p>{long}</section><section><p>{less}</section></div>": f"{long}{less}",
+        f"<div><section class=x><p>{long}</section><section class=y><p>{less}</section></div>": f"{long}{less}",
+        f"<div><section class=x><p>{long}</section><section class=y><a href=z>{less}</a></section></div>": long,
+        f"<div class=post><p>{long}</div><div class=post><p>{less}</div><div class=c>by me</div>": f"{long}{less}",
+    }
+    for source, want in pages.items():
+        assert html_extract.extract("<body>" + source) == want.strip()
+    rows = [(9 * h + k, f"http://h{h}/{k}", "<body>" + source) for h, source in enumerate(pages) for k in range(3)]
+    got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {9 * h + k: want.strip() for h, want in enumerate(pages.values()) for k in range(3)}
+
+
 def test_sharding(spark, tmp_path):
     docs = documents(spark, [(k, f"text {k}" * 50) for k in range(400)] + [(None, None), (1, "x")])
     store = sharding.Store(spark, f"file://{tmp_path}/s", target=40_000, fan=3)

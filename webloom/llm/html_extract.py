@@ -3,11 +3,14 @@
 1. Each page is read into blocks of text, each under a chain of containers. A block that isn't in a menu,
    header, footer, sidebar, notice, advert, form, script, style or reader's comment gives its containers
    points: its characters outside links, whole to the nearest, half to the next, a quarter to the next.
+   From the container with most points a page climbs to the outermost article or main around it; without
+   one, to the highest ancestor that adds wanted text: text of its own, or a child with a heading or a
+   SHARE-th of what is held so far, more of it outside links than in them.
 2. A container's path is the tags and classes from the body down to it, generalised: no numbers, only the
-   classes without digits. Each page votes for the path of its best container. Spark adds up votes by host
-   and path; a host's TOP paths with most votes win, more points first among equals.
-3. Each page is read again and gives the text of its best container on the first winning path that has any;
-   without one, of its own best container.
+   classes without digits. Each page votes for the path of the container it climbed to. Spark adds up votes
+   by host and path; a host's TOP paths with most votes win, more points first among equals.
+3. Each page is read again and gives the text of all its containers on the first winning path that has any;
+   without one, on the path that it votes for itself.
 
 So a page with a long sidebar or a short article follows the other pages of its host. A host's paths are few
 strings; they are broadcast if there are at most MOST_HOSTS of them, and joined by a shuffle beyond.
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TOP, MOST_HOSTS = 3, 200_000
+TOP, MOST_HOSTS, SHARE = 3, 200_000, 5
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _words = lambda s: frozenset(s.split())
@@ -37,6 +40,7 @@ VOID = _words("area base br col embed hr img input link meta param source track
 BLOCKS = _words("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul caption")
 CONTAINERS = _words("article body div main section td blockquote center table tbody tr figure dl ul ol")
 CLOSES_P = BLOCKS - _words("body html head option legend caption summary td th tr tbody thead tfoot")
+HEADINGS = _words("h1 h2 h3 h4 h5 h6")
 ALONE = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "option": "select", "tr": "table", "td": "tr table", "th": "tr table"}
 #: Elements, roles and words in a class or id of what isn't main text.
 NEVER = RAW | _words("nav footer aside menu form button input select textarea dialog head title search object canvas audio video datalist label")
@@ -82,11 +86,12 @@ def _name(tag: str, a: dict[str, str]) -> str:
 
 
 class Page:
-    """Blocks (text, containers from the outermost) and the points and path of each container."""
+    """Blocks (text, containers from the outermost, characters outside links, whether a heading), and the points, path and chain of each container."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, tuple[int, ...], int, bool]] = []
         self.paths: list[str] = ["body"]
+        self.chains: list[tuple[int, ...]] = [(0,)]
         self.points: dict[int, float] = defaultdict(float)
         self._read(source)
 
@@ -101,8 +106,8 @@ class Page:
             if held:
                 text = " ".join("".join(held).split())
                 if text:
-                    self.blocks.append((text, chain))
-                    p = max(0.0, len(text) - in_links)
+                    p = max(0, len(text) - in_links)
+                    self.blocks.append((text, chain, p, any(t[0] in HEADINGS for t in stack)))
                     for k, c in enumerate(reversed(chain[-3:])):
                         self.points[c] += p / (1 << k)
             held, in_links = [], 0
@@ -188,26 +193,64 @@ class Page:
             if tag in CONTAINERS and tag != "body" and not off:
                 self.paths.append(f"{self.paths[chain[-1]]}/{_name(tag, a)}")
                 chain = (*chain, len(self.paths) - 1)
+                self.chains.append(chain)
             links += tag == "a"
             stack.append((tag, chain, off, article))
         flush()
 
-    def best(self, path: str | None = None) -> int | None:
-        """The container with most points, of those on a path; articles count half as much again."""
-        own = [c for c in self.points if path is None or self.paths[c] == path]
-        weight = lambda c: self.points[c] * (1.5 if re.search(r"/(article|main)[^/]*$", self.paths[c]) else 1)
-        return max(own, key=lambda c: (weight(c), -c), default=None)
+    def best(self) -> int | None:
+        """The container with most points; articles count half as much again."""
+        weight = lambda c: self.points[c] * (1.5 if self._named(c) else 1)
+        return max(self.points, key=lambda c: (weight(c), -c), default=None)
+
+    def _named(self, c: int) -> bool:
+        return bool(re.search(r"/(article|main)[^/]*$", self.paths[c]))
+
+    def climbed(self, c: int) -> int:
+        """The container around c that holds the text beside it, or c."""
+        if named := [k for k in self.chains[c] if self._named(k)]:
+            return named[0]
+        for above in reversed(self.chains[c][:-1]):
+            if self._adds(above, c):
+                c = above
+        return c
+
+    def _adds(self, above: int, c: int) -> bool:
+        """Whether above has wanted text outside c and the other containers on its path, which are taken with it."""
+        at, below, held = len(self.chains[above]) - 1, len(self.chains[c]) - 1, 0
+        pieces = defaultdict(lambda: [0, 0, False])  # of each child: characters, those outside links, whether a heading is there
+        for text, chain, plain, heading in self.blocks:
+            if len(chain) > below and self.paths[chain[below]] == self.paths[c]:
+                held += plain
+            elif chain[at : at + 1] == (above,):
+                if len(chain) == at + 1:
+                    if 2 * plain > len(text):
+                        return True
+                else:
+                    p = pieces[chain[at + 1]]
+                    p[0] += len(text)
+                    p[1] += plain
+                    p[2] |= heading
+        return any(2 * plain > n and (heading or SHARE * plain >= held) for n, plain, heading in pieces.values())
+
+    def vote(self) -> tuple[str | None, float | None]:
+        """The path of the container climbed to, and the points of the best."""
+        c = self.best()
+        return (None, None) if c is None else (self.paths[self.climbed(c)], float(self.points[c]))
 
-    def text(self, container: int | None) -> str:
-        return " ".join(t for t, chain in self.blocks if container in chain) if container is not None else ""
+    def text(self, path: str | None) -> str:
+        """The text of all containers on a path."""
+        own = {c for c, p in enumerate(self.paths) if p == path}
+        at = path.count("/") if path else 0
+        return " ".join(t for t, chain, _, _ in self.blocks if len(chain) > at and chain[at] in own)
 
 
 def extract(source: str | None, paths=()) -> str:
     page = Page(source or "")
     for p in paths:
-        if found := page.text(page.best(p)):
+        if found := page.text(p):
             return found
-    return page.text(page.best())
+    return page.text(page.vote()[0])
 
 
 def _host(url) -> F.Column:
@@ -218,10 +261,9 @@ def _vote(batches):
     for b in batches:
         path, points = [], []
         for s in b.column("html").to_pylist():
-            page = Page(s or "")
-            c = page.best()
-            path.append(None if c is None else page.paths[c])
-            points.append(None if c is None else page.points[c])
+            p, n = Page(s or "").vote()
+            path.append(p)
+            points.append(n)
         yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(path, pa.string()), pa.array(points, pa.float64())], ["host", "path", "points"])
 
 
