@@ -261,6 +261,13 @@ def test_html_beside_the_best(spark):
     assert got == {9 * h + k: want.strip() for h, want in enumerate(pages.values()) for k in range(3)}
 
 
+def test_html_drawings():
+    for drawing in ('<svg class="i"/>', "<svg/>", "<math />", "<SVG width=1 hidden/>", "<svg><svg><text>no</text></svg><text>no</text></svg>", "<svg><math/><title>no</title></svg>", "<svg><!-- </svg> --><text>no</text></svg>", "<svg href=/a/><text>no</text></svg>", "<svg class=i>", "<math>"):
+        page = f"<article><p>one {drawing} two</p><p>three</p></article>"
+        assert html_extract.extract(page) == "one two three"
+        assert html_extract.extract(f"{page}<script>'<svg>'</script><article><p><svg><text>no</text></svg>four</p></article>") == "one two three four"
+
+
 def test_sharding(spark, tmp_path):
     docs = documents(spark, [(k, f"text {k}" * 50) for k in range(400)] + [(None, None), (1, "x")])
     store = sharding.Store(spark, f"file://{tmp_path}/s", target=40_000, fan=3)

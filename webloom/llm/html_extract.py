@@ -52,6 +52,9 @@ WORDS = _words(
 )
 KEEP = _words("has with no without")
 _SPLIT = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+#: Raw elements whose tags nest, and which "/>" closes; not after an unquoted value, as the slash is part of it.
+DRAWN = _words("svg math")
+_ALONE_END = re.compile(r"""(?:^|[\s"'])/\Z|\s[^\s=]+/\Z""")
 _CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW | {"title", "textarea"}}
 
 
@@ -85,6 +88,27 @@ def _name(tag: str, a: dict[str, str]) -> str:
     return ".".join([tag, *(c for c in classes if not any(x.isdigit() for x in c))])
 
 
+def _drawn_ends(s: str, at: int) -> dict[int, int]:
+    """For each svg and math from `at` on that is closed: where it starts, and where what follows it starts."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = defaultdict(list)
+    while m := _TOKEN.search(s, at):
+        at = m.end()
+        tag, rest = (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+        if tag in DRAWN:
+            if m[1] or m[4]:
+                if opened[tag]:
+                    out[opened[tag].pop()] = at
+            elif _ALONE_END.search(rest):
+                out[m.start()] = at
+            else:
+                opened[tag].append(m.start())
+        elif tag in _CLOSING and not (m[1] or m[4] or _ALONE_END.search(rest)):
+            if e := _CLOSING[tag].search(s, at):
+                at = e.start()
+    return out
+
+
 class Page:
     """Blocks (text, containers from the outermost, characters outside links, whether a heading), and the points, path and chain of each container."""
 
@@ -100,6 +124,7 @@ class Page:
         stack: list[tuple[str, tuple[int, ...], bool, bool]] = []
         held, in_links, links = [], 0, 0
         chain, off, article = (0,), False, False
+        drawn: dict[int, int] | None = None
 
         def flush() -> None:
             nonlocal held, in_links
@@ -161,6 +186,12 @@ class Page:
                 elif tag in ("br", "wbr") and not off:
                     held.append(" " if tag == "br" else "")
                 continue
+            if tag in DRAWN:
+                # Without an end only the tag is skipped: text and HTML after it are shown.
+                if drawn is None:
+                    drawn = _drawn_ends(s, m.start())
+                at = drawn.get(m.start(), at)
+                continue
             if tag in _CLOSING:
                 # Their content isn't markup.
                 if tag == "title":
