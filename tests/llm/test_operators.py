@@ -77,6 +77,19 @@ def test_substring_dedup(spark, odd):
         assert sorted((key(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
 
 
+def test_substring_dedup_of_many_rows(spark, odd):
+    """Documents without windows don't count, and bound a chunk by their number."""
+    import pyarrow as pa
+
+    n, text = (1 << 20) + 2, " ".join(f"w{k}" for k in range(90))
+    c = substring_dedup._Chunk(pa.table([pa.array(range(n)), pa.array([None] * (n - 2) + [text] * 2, pa.string())], ["doc_id", "text"]), 50)
+    cells, several, place = c.cells(0, 40)
+    want = np.unique(substring_dedup.mix(c.key + substring_dedup._ROW[0]) >> np.uint64(24))
+    assert cells.tolist() == want.tolist() and several.all() and (place[:41] == place[41:]).all()
+    one, many = (sorted(map(repr, substring_dedup.remove_repeats(documents(spark, odd), **how).collect())) for how in ({}, {"rows": 2}))
+    assert one == many
+
+
 def _components(rows, n=4, percent=85):
     sets = {}
     for i, t in rows:

@@ -1,6 +1,6 @@
 """Substring dedup: repeated windows of WINDOW words by a count-min prefilter and an exact second pass.
 
-Documents are dealt into chunks of about CHUNK bytes by a hash of their id.
+Documents are dealt into chunks of about CHUNK bytes, and of about ROWS rows at most, by a hash of their id.
 
 1. Each chunk makes its partition sketch: for each of DEPTH hash rows, which cells its windows fall in, and
    whether from one document or more (counts stop at two). A sketch is sparse, so a chunk sends sorted cells
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .words import Words, differences, mix, pack, unpack
 
-WINDOW, CHUNK, DEPTH, SPARE, BLOCK = 50, 4 << 20, 2, 4, 4 << 20
+WINDOW, CHUNK, ROWS, DEPTH, SPARE, BLOCK = 50, 4 << 20, 1 << 16, 2, 4, 4 << 20
 _ROW = (np.uint64(0), np.uint64(0x632BE59BD9B4E019), np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x5851F42D4C957F2D))
 
 
@@ -52,6 +52,10 @@ class _Chunk:
         self.words = Words(self.texts)
         self.first, self.key = self.words.runs(window)
         self.window_doc = self.doc[self.words.text[self.first]] if len(self.first) else np.zeros(0, np.int64)
+        # Numbers of documents that have windows, however many have none: they share 64 bits with a cell.
+        self.number = np.cumsum(np.r_[0, self.window_doc[1:] != self.window_doc[:-1]]) if len(self.first) else self.window_doc
+        if len(self.number) and self.number[-1] >> 20:
+            raise ValueError("a chunk has more than 2^20 documents with windows: choose a smaller chunk")
 
     def second(self, window: int) -> np.ndarray:
         return self.words.runs(window, 1)[1]
@@ -59,7 +63,7 @@ class _Chunk:
     def cells(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sorted distinct cells, whether several documents fall in each, each window's place among them)."""
         cell = mix(self.key + _ROW[row]) >> np.uint64(64 - bits)
-        both = (cell << np.uint64(20)) | self.window_doc.astype(np.uint64)
+        both = (cell << np.uint64(20)) | self.number.astype(np.uint64)
         both.sort()
         both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
         of = both >> np.uint64(20)
@@ -202,13 +206,14 @@ def _kept(window: int, texts: bool, id_type: pa.DataType):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, chunk: int = CHUNK, depth: int = DEPTH, spare: int = SPARE, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, chunk: int = CHUNK, depth: int = DEPTH, spare: int = SPARE, block: int = BLOCK, rows: int = ROWS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256, or with texts the kept words joined by one space."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    total = docs.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("rows")).first()
+    size = total.size or 0
     windows = max(1024, size // 6)
     bits = min(44, (spare * windows - 1).bit_length())
     block_bits = max(0, (windows // block).bit_length()) if windows > block else 0
-    chunks = size // chunk + 1
+    chunks = max(size // chunk, total.rows // rows) + 1
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     by_chunk = lambda df: df.groupBy("chunk")
     sketch = by_chunk(dealt).applyInArrow(_sketch(window, depth, bits, block_bits), "at long, chunk long, n long, cells binary, several binary")
