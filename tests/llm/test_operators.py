@@ -202,6 +202,16 @@ def test_language_id(spark):
     assert langid.fit([], []).predict(["a"]) == (["und"], [0.0])
 
 
+def test_many_languages(spark):
+    """Every language is trained, or none."""
+    rows = [(1000 * k + j, f"wort{k} " * 3, f"l{k}", "s", None, "p", 1, 2, "i") for k in range(300) for j in range(6)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    assert len(learned) > 256 and set(langid.train(docs).langs) == learned
+    with pytest.raises(ValueError):
+        langid.train(docs, most_langs=256)
+
+
 def test_mixing(spark, odd):
     rnd = random.Random(4)
     rows = [(i, " ".join(["w"] * rnd.randint(0, 40)) if i % 9 else None, None, None if i % 50 == 0 else f"s{int(rnd.random() ** 2 * 6)}", i) for i in range(900)]

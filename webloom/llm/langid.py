@@ -10,7 +10,8 @@ is fitted, so that scores are probabilities, and a threshold below which at most
 predicted texts fall, and never above HALF. A text with a lower score is rejected.
 
 As both layers are linear, their product is one row of len(langs) numbers for each bucket; it is broadcast
-(2^BITS rows, whatever the data) and executors add up rows.
+(2^BITS rows, whatever the data) and executors add up rows. All languages are trained; with more than
+MOST_LANGS the table would be larger than 256 MB, and train() raises ValueError.
 
 Only text is an input of a prediction. Learned are rows with text, lang and doc_id of which crc32(doc_id as
 text) mod 5 isn't 0. Null texts and texts without a letter give `und`, score 0, and are rejected; so is
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import trimmed
 from .token_counts import slices, texts_of
 
-BITS, WIDTH, EPOCHS, RATE, PER_LANG, MOST_LANGS, REJECTED, HALF = 16, 16, 6, 8.0, 1200, 256, 0.0005, 0.5
+BITS, WIDTH, EPOCHS, RATE, PER_LANG, MOST_LANGS, REJECTED, HALF = 16, 16, 6, 8.0, 1200, 1023, 0.0005, 0.5
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
 _FOLD[97:123] = np.arange(97, 123)
@@ -139,11 +140,13 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
+def train(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Model:
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs + 1).collect()
     if not counts:
         return fit([], [])
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} languages: the model would be too large")
     # Half as many again as asked for are read, by their hash; then the smallest hashes are taken.
     luck = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30))
     few = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(int((1 << 30) * min(1.0, 1.5 * per_lang / r["count"]))))])
