@@ -174,6 +174,23 @@ def test_token_counts():
     assert counter.bpe.prefix_counts(b"hello")[-1] == 1
 
 
+def test_prefix_counts_are_looked_up(monkeypatch):
+    """Once the counts at each byte are stored, no prefix is encoded again."""
+    from tokenizers import Tokenizer
+
+    lib, counter = Tokenizer.from_file(BYTES), token_counts.Counter(open(BYTES, "rb").read())
+    text = "It's unquestionably  straightforward, größte Überraschung<|endoftext|>antidisestablishmentarianism"
+    p = token_counts.PrefixCounts(counter, text)
+    first = [p.at(k) for k in range(len(text) + 1)], [p.fit(n) for n in range(p.tokens[-1] + 2)]
+    assert first[0] == [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    size = lambda t: len(t) if t in counter.added else 0
+    ids = lib.encode(text, add_special_tokens=False).ids
+    ends = np.cumsum([0, *(len(counter.bpe.codes[i]) if counter.bpe.codes[i] else size("<|endoftext|>") for i in ids)]).tolist()
+    assert first[1] == [*ends, ends[-1]]
+    monkeypatch.setattr(counter, "bpe", None)
+    assert first == ([p.at(k) for k in range(len(text) + 1)], [p.fit(n) for n in range(p.tokens[-1] + 2)])
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 

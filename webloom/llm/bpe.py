@@ -200,9 +200,17 @@ class Bpe:
 
     def prefix_counts(self, segment) -> np.ndarray:
         """The number of tokens of every prefix, the empty one first."""
+        return self.prefixes(segment)[0]
+
+    def prefixes(self, segment) -> tuple[np.ndarray, np.ndarray]:
+        """(the number of tokens of every prefix, the empty one first; where each token of the whole ends)."""
         s = Stream(self)
         s.feed(segment, commit=False)
-        return np.array(s.count, np.int64)
+        ends, p = [], len(segment)
+        while p > 0:
+            ends.append(p)
+            p -= s.step[p]
+        return np.array(s.count, np.int64), np.array(ends[::-1], np.int64)
 
 
 def _gather(columns: list[np.ndarray], pos: np.ndarray, row: np.ndarray) -> np.ndarray:

@@ -1,10 +1,13 @@
 """Token counts by prefix dynamic programming.
 
 A text is split as the byte-level tokenizer splits it; within a part, the number of tokens of every prefix
-comes from shorter prefixes (bpe.py), so one pass stores the exact count at each byte. Counts, truncation
-to a number of tokens and the cost of a prefix are then looked up; no prefix is encoded again.
+comes from shorter prefixes (bpe.py), so one pass gives the exact count at each byte. A text's total needs
+only the last count of each part, and token_counts() stores no others. PrefixCounts looks up truncation to
+a number of tokens and the cost of a prefix in the counts at each byte of the part that is cut, which are
+stored when it is first asked about; a cut that splits the text otherwise makes new parts, counted likewise.
 
-Parts repeat, so each worker keeps the counts of those it has met, MOST of them at a time. The vocabulary
+Parts repeat, so each worker keeps the totals of those it has met, MOST of them at a time, and the counts at
+each byte of parts of SLICE bytes together. The vocabulary
 file is broadcast: its size doesn't depend on the data.
 
 Null texts are empty: 0 bytes, 0 tokens. An added token's string inside a text is one token, as is the
@@ -45,6 +48,8 @@ class Counter:
         self.bpe, self.added = bpe.from_tokenizer_json(data)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known: dict[str, int] = {}
+        self.stored: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.stored_bytes = 0
 
     @classmethod
     def of(cls, data: bytes) -> Counter:
@@ -80,6 +85,16 @@ class Counter:
             if a in self.known:
                 self.known[a] = 1
 
+    def prefixes(self, part: str) -> tuple[np.ndarray, np.ndarray]:
+        """The token counts at each byte of a part that is no added token, and where its tokens end."""
+        if part not in self.stored:
+            data = part.encode()
+            if self.stored_bytes + len(data) > SLICE:
+                self.stored, self.stored_bytes = {}, 0
+            self.stored[part] = self.bpe.prefixes(data)
+            self.stored_bytes += len(data)
+        return self.stored[part]
+
     def counts(self, texts: list[str]) -> list[int]:
         split = [self.parts(t) for t in texts]
         self.learn(set().union(*split))
@@ -88,7 +103,7 @@ class Counter:
 
 
 class PrefixCounts:
-    """The token counts of a text's prefixes: at the ends of its parts, and within a part where asked."""
+    """The token counts of a text's prefixes: at the ends of its parts, and at each byte of the parts asked about."""
 
     def __init__(self, counter: Counter, text: str):
         self.counter, self.text = counter, text
@@ -98,22 +113,26 @@ class PrefixCounts:
         self.tokens = list(accumulate((counter.known[p] for p in self.parts), initial=0))
 
     def at(self, chars: int) -> int:
-        """How many tokens text[:chars] has. Only the last parts can be split otherwise at the cut; they are counted anew."""
+        """How many tokens text[:chars] has. Only the last parts can be split otherwise at the cut; they are split anew."""
         k = max(0, bisect_right(self.ends, chars) - 1)
         while k and (self.parts[k - 1].isspace() or self.ends[k] == chars and k == len(self.ends) - 1 and chars < len(self.text)):
             k -= 1
         if k:
             k -= 1
-        return self.tokens[k] + self.counter.counts([self.text[self.ends[k] : chars]])[0]
+        n, at, added = self.tokens[k], self.ends[k], self.counter.added
+        for p in self.counter.parts(self.text[at:chars]):
+            k = bisect_right(self.ends, at) - 1
+            whole = self.parts[k] if self.ends[k] == at and self.parts[k] not in added and self.parts[k].startswith(p) else p
+            n += 1 if p in added else int(self.counter.prefixes(whole)[0][len(p.encode())])
+            at += len(p)
+        return n
 
     def fit(self, limit: int) -> int:
         """The number of bytes that the first `limit` tokens hold."""
         k = bisect_right(self.tokens, limit) - 1
         size = len(self.text[: self.ends[k]].encode())
         if k < len(self.parts) and (left := limit - self.tokens[k]):
-            part = self.parts[k].encode()
-            _, ids = self.counter.bpe.encode([part])
-            size += sum(len(self.counter.bpe.codes[t]) for t in ids[:left])
+            size += int(self.counter.prefixes(self.parts[k])[1][left - 1])
         return size
 
 
