@@ -22,7 +22,7 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of near copies the smallest doc_id stays."""
+    """N-gram Jaccard join with op4's values (4 words, 85 %): of each group of near copies the smallest doc_id stays."""
     return ngram_join.one_of_each(docs)
 
 
