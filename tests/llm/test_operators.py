@@ -363,3 +363,48 @@ def test_pipeline(spark):
             assert docs.columns == before.columns
     codec = sentencepiece_codec.Codec.of(open(PIECES, "rb").read())
     assert [codec.decode(r.ids) for r in docs.orderBy("doc_id", F.size("ids")).collect()] == [r.text or "" for r in before.orderBy("doc_id", F.length("text")).collect()]
+
+
+def test_token_queries_match_the_libraries(spark, odd):
+    """Through the queries' functions: nulls, empty and long texts, repeated rows, clashing columns, added tokens."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rows = odd + [(60 + k, t) for k, t in enumerate(_texts()[::6])] + [(None, None), (200, "word " * 3000), (201, "a<|endoftext|>" * 300), (202, "日本" * 900)]
+    docs, lib = documents(spark, rows), Tokenizer.from_file(BYTES)
+    key = lambda i: -1 if i is None else i
+    text = lambda t: (t or "").encode()
+    ids = {t: lib.encode(t or "", add_special_tokens=False).ids for _, t in rows}
+    for limit in (512, 7):
+        got = sorted((key(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs, BYTES, limit).collect())
+        assert got == sorted((key(i), len(text(t)), len(ids[t]), len(ids[t]) > limit) for i, t in rows)
+        fit = sorted((key(r.doc_id), r.fit_bytes) for r in token_counts.token_counts(docs, BYTES, limit).collect())
+        size = lambda x: len(lib.id_to_token(x)) if x != 50256 else len("<|endoftext|>")  # noqa: E731 a character stands for a byte
+        assert fit == sorted((key(i), sum(map(size, ids[t][:limit]))) for i, t in rows)
+        cut = sorted((key(r.doc_id), r.text) for r in token_counts.truncated(docs, BYTES, limit).collect())
+        assert cut == sorted((key(i), text(t)[: sum(map(size, ids[t][:limit]))].decode(errors="ignore")) for i, t in rows)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = [(key(i), len(x), hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest(), sp.decode(x) == (t or "")) for i, t in rows for x in [sp.encode(t or "")]]
+    assert sorted((key(r.doc_id), r.n_tokens, r.ids_sha256, r.round_trip) for r in sentencepiece_codec.digests(docs, PIECES).collect()) == sorted(want)
+
+
+def test_memo_is_bounded():
+    m = bpe.Memo(20_000)
+    for k in range(40):
+        keys = {"hot", *(f"k{k}x{j}" for j in range(10))}
+        m.put(new := m.missing(keys), [b"v"] * len(new))
+        assert keys <= m.now.keys() and m.held <= 20_000 and len(m.old) <= 10_000 // m.EACH + len(keys)
+    assert "hot" not in m.missing({"hot"})
+
+
+def test_windows_and_streams_agree():
+    b = sentencepiece_codec.Codec(open(PIECES, "rb").read()).bpe
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("▁aetinghsr日\0é") for _ in range(rnd.randint(0, 40))) for _ in range(500)]
+    counts, ids = b.paths(texts)
+    assert np.split(ids, np.cumsum(counts)[:-1])[7].tolist() == b.encode(texts[7])
+    assert ids.tolist() == [t for x in texts for t in b.encode(x)]
+    _, steps, n = b.windows(texts)
+    for k, x in enumerate(texts[:50]):
+        assert b.prefixes(x) == (n[: len(x) + 1, k].tolist(), steps[: len(x) + 1, k].tolist())
+        assert b.prefix_counts(x).tolist() == [len(b.encode(x[:i])) for i in range(len(x) + 1)]

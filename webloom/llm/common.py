@@ -68,6 +68,19 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def free_name(names: list[str], stem: str) -> str:
+    """A column name that none of names is."""
+    taken = {c.lower() for c in names}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def word_count(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 

@@ -8,11 +8,15 @@ largest sum of scores: a step is allowed where its piece agrees with the one bef
 which leaves one path to each position and gives the library's ids.
 
 Where no piece goes across (before a space that follows something else, around line ends) all paths meet,
-whatever comes after. So the text between two such boundaries has the same ids wherever it stands, and each
-worker keeps those it has met, MOST at a time. Longer stretches are streamed.
+whatever comes after. So the text between two such boundaries has the same ids wherever it stands: a text is
+read from boundary to boundary, and commits at each. A stretch that is longer than the window is streamed; the
+windows of shorter ones are filled side by side, AT_ONCE of them (bpe.Bpe.windows), and their ids committed at
+their ends. The ids of a stretch are kept for when it comes again, KEPT bytes at most, until the task ends.
 
 Null and empty texts have no ids. Decoding gives the text back but for U+2581, which stands for a space, and
-ids of no piece, which give U+FFFD. Rows stay as they are, in any number; other columns pass encode_documents().
+ids of no piece, which give U+FFFD. Very long texts and stretches are read whole. Rows stay as they are, in
+any number; a table without rows gives none. Other columns pass encode_documents(), whatever their names,
+but one named ids, which is replaced; the others read doc_id and text (or ids) only.
 """
 
 from __future__ import annotations
@@ -25,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import bpe
+from .common import quoted, trimmed
 from .token_counts import slices, texts_of
 
-MOST, LONG, SPACE = 500_000, 96, "▁"
+KEPT, AT_ONCE, SPACE = 96 << 20, 1 << 15, "▁"
 
 
 class Codec:
@@ -36,57 +41,67 @@ class Codec:
     def __init__(self, data: bytes):
         self.bpe, self.fallback = bpe.from_sentencepiece(data)
         self.cut = bpe.cut_pattern(self.bpe)
-        self.known: dict[str, bytes] = {}
-        self.byte_of = {t: b for b, t in enumerate(self.fallback)}
+        self.known = bpe.Memo(KEPT)
         self.text_of = [c or "" for c in self.bpe.codes]
+        self.byte_of = {t: b for b, t in enumerate(self.fallback)}
 
     @classmethod
     def of(cls, data: bytes) -> Codec:
+        """The codec of this process; what it keeps of texts goes when a task ends."""
         if (k := hash(data)) not in cls._known:
             cls._known[k] = cls(data)
         return cls._known[k]
 
-    def _final(self, ids, segment: str) -> bytes:
+    def forget(self) -> None:
+        self.known.forget()
+        self.bpe.fitting.clear()
+
+    def _final(self, ids: list[int], segment: str) -> bytes:
         """Ids as 4 bytes each; what is outside the vocabulary becomes its bytes."""
-        n, out, at = self.bpe.n, [], 0
+        out, at, other = [], 0, self.bpe.n
         for t in ids:
-            size = 1 if t == n else len(self.bpe.codes[t])
-            if t == n:
+            if t == other:
                 out += [self.fallback[x] for x in segment[at].encode("utf-8", "replace")] if self.fallback else [0]
             else:
                 out.append(t)
-            at += size
+            at += self.bpe.size[t]
         return np.array(out, "<i4").tobytes()
 
     def stream(self, segment: str) -> bytes:
-        s = bpe.Stream(self.bpe)
-        return self._final(s.feed(segment) + s.finish(), segment)
+        return self._final(self.bpe.encode(segment), segment)
 
     def learn(self, segments: set[str]) -> None:
-        if len(self.known) + len(segments) > MOST:
-            self.known = {k: self.known[k] for k in segments if k in self.known}
-        new = [s for s in segments if s not in self.known]
-        short = [s for s in new if len(s) <= LONG]
-        counts, ids = self.bpe.encode(short)
-        raw, at = ids.astype("<i4").tobytes(), 0
-        odd = np.add.reduceat(ids == self.bpe.n, np.cumsum(counts) - counts) if len(short) else []
-        for s, c, o in zip(short, counts.tolist(), odd):
-            self.known[s] = self._final(ids[at : at + c].tolist(), s) if o else raw[4 * at : 4 * (at + c)]
-            at += c
-        for s in new:
-            if len(s) > LONG:
-                self.known[s] = self.stream(s)
+        """Encodes stretches between boundaries: those within a window many at a time, longer ones as streams."""
+        new = self.known.missing(segments)
+        short = [x for x in new if len(x) <= self.bpe.longest]
+        for lo in range(0, len(short), AT_ONCE):
+            part = short[lo : lo + AT_ONCE]
+            counts, ids = self.bpe.paths(part)
+            ends = np.cumsum(counts)
+            odd = np.unique(np.searchsorted(ends, np.flatnonzero(ids == self.bpe.n), side="right"))
+            raw, cuts = ids.astype("<i4").tobytes(), [0, *(4 * ends).tolist()]
+            self.known.put(part, [raw[x:y] for x, y in zip(cuts, cuts[1:])])
+            for k in odd.tolist():
+                self.known.now[part[k]] = self._final(ids[ends[k] - counts[k] : ends[k]].tolist(), part[k])
+        for x in new:
+            if len(x) > self.bpe.longest:
+                self.known.put([x], [self.stream(x)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         parts = [self.cut.findall(t) if self.cut else [t] * bool(t) for t in marked]
         self.learn(set().union(*parts))
-        get = self.known.__getitem__
+        get = self.known.now.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), "<i4") for p in parts]
 
     def decode(self, ids) -> str:
         ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
-        if not self.byte_of.keys().isdisjoint(ids):
+        if self.byte_of.keys().isdisjoint(ids):
+            try:
+                text = "".join(map(self.text_of.__getitem__, ids)) if min(ids, default=0) >= 0 else "".join(map(self._piece, ids))
+            except IndexError:
+                text = "".join(map(self._piece, ids))
+        else:
             out, held = [], bytearray()
             for t in ids:
                 if (b := self.byte_of.get(t)) is not None:
@@ -97,8 +112,6 @@ class Codec:
                     held = bytearray()
                 out.append(self._piece(t))
             text = "".join(out) + held.decode("utf-8", "replace")
-        else:
-            text = "".join(map(self._piece, ids))
         text = text.replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
@@ -110,13 +123,25 @@ def _broadcast(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(open(path, "rb").read())
 
 
+def _coding(data, run):
+    """run(codec, batches) as a function for mapInArrow that keeps nothing of the texts after its task."""
+
+    def code(batches):
+        codec = Codec.of(data.value)
+        try:
+            yield from run(codec, batches)
+        finally:
+            codec.forget()
+
+    return trimmed(code)
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """Adds ids, an array of ints, in place of a column of that name."""
-    data, cols = _broadcast(docs, path), [c for c in docs.columns if c != "ids"]
+    cols = [c for c in docs.columns if c != "ids"]
     schema = T.StructType([*(docs.schema[c] for c in cols), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    def encode(batches):
-        codec = Codec.of(data.value)
+    def encode(codec, batches):
         for b in batches:
             at = 0
             for run in slices(texts_of(b)):
@@ -126,30 +151,26 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cols), pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32))], [*cols, "ids"])
 
-    return docs.select(*cols).mapInArrow(encode, schema)
+    return docs.select(*quoted(cols)).mapInArrow(_coding(_broadcast(docs, path), encode), schema)
 
 
 def decode_documents(coded: DataFrame, path: str) -> DataFrame:
     """doc_id, text from doc_id, ids; null ids give an empty text."""
-    data = _broadcast(coded, path)
 
-    def decode(batches):
-        codec = Codec.of(data.value)
+    def decode(codec, batches):
         for b in batches:
             ids = b.column("ids")
             text = [codec.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in ids]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
 
     kind = coded.schema["doc_id"].dataType.simpleString()
-    return coded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, text string")
+    return coded.select("doc_id", "ids").mapInArrow(_coding(_broadcast(coded, path), decode), f"doc_id {kind}, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids, 4 bytes each, little end first), round_trip (decoding gives the text back)."""
-    data = _broadcast(docs, path)
 
-    def digest(batches):
-        codec = Codec.of(data.value)
+    def digest(codec, batches):
         for b in batches:
             n, sha, same = [], [], []
             for run in slices(texts_of(b)):
@@ -157,7 +178,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     n.append(len(ids))
                     sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
                     same.append(codec.decode(ids) == text)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha), pa.array(same)], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(_coding(_broadcast(docs, path), digest), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, round_trip boolean")
