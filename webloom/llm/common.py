@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but these characters, in every operator that counts words.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Ids that may be broadcast.
+MOST_IDS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,6 +75,11 @@ def quoted(names: list[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in names]
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with names that mapInArrow can take, by place, but for text."""
+    return df.toDF(*("text" if c == "text" else f"c{k}" for k, c in enumerate(df.columns)))
+
+
 def free_name(names: list[str], stem: str) -> str:
     """A column name that none of names is."""
     taken = {c.lower() for c in names}
@@ -95,6 +102,11 @@ def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__{c}" for c in on])
 
 
+def few(ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """For a join: a hint to broadcast ids, if they are at most `most`; beyond that the join shuffles."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers live on after a task, beside later stages of the JVM."""
     pa.default_memory_pool().release_unused()

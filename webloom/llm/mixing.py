@@ -17,7 +17,9 @@ words that are left, so a source gives its rounded target exactly. No document e
 
 Nulls: a null text has size 0; a null source is a source; a null doc_id has a key of its own. Rows that
 agree in all of key, doc_id and size and lie at the cut share what is left of the budget in equal parts.
-With no words at all every target is 0. Only doc_id, source and text are read.
+With no words at all every target is 0. A very long text is one document, and may be cut. A table without
+rows gives none. Only doc_id, source and text are read; mix_documents() passes all columns, whatever their
+names, and changes text and n_chars only.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, word_count
+from .common import WORD, Scratch, quoted, word_count
 
 WEIGHTS, LIMIT, MOST_RANGES = (5, 2, 1), 3, 65536
 
@@ -128,15 +130,15 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataF
     """
     _, cut = cuts(docs, weights, limit)
     cols = docs.columns
-    rows = docs.withColumn("__row", F.struct(*cols))
-    rows = rows.select("__row", "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key")
+    rows = docs.select(F.struct(*quoted(cols)).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), key)
     rows = _taken(_with_cuts(rows, cut)).where("taken > 0")
     whole, part = F.expr("taken div size"), F.expr("taken % size")
     times = F.transform(F.sequence(F.lit(1), whole + F.when(part > 0, 1).otherwise(0)), lambda i: F.when(i > whole, part).otherwise(F.lit(None).cast("long")))
-    rows = rows.select("__row", F.explode(times).alias("__words"))
-    text = F.when(F.col("__words").isNull(), F.col("__row.text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("__row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.lit(1), F.col("__words").cast("int"))), " "))
-    out = {c: F.col(f"__row.`{c}`") for c in cols}
+    rows = rows.select("row", F.explode(times).alias("words"))
+    text = F.when(F.col("words").isNull(), F.col("row.text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.lit(1), F.col("words").cast("int"))), " "))
+    out = {c: F.col("row").getField(c) for c in cols}
     out["text"] = text
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("__words").isNull(), out["n_chars"]).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("words").isNull(), out["n_chars"]).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)
     return rows.select(*[v.alias(k) for k, v in out.items()])

@@ -34,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, trimmed
+from .common import Scratch, few, free_name, give_back, trimmed
 from .components import components
 from .token_counts import slices, texts_of
 from .words import Words, differences, mix, pack, unpack
 
 N, PERCENT = 4, 85
 FREQUENT, SEVERAL, ALL, PIVOTS = 1 << 19, 2, 32, 3
-#: Texts are handled so many characters at a time; entries of a block of the product; ids that may be broadcast.
-SLICE, BLOCK, MOST_IDS = 2 << 20, 3_000_000, 1_000_000
+#: Texts are handled so many characters at a time; entries of a block of the product.
+SLICE, BLOCK = 2 << 20, 3_000_000
 #: A block's entries are sorted and paired in 2^PARTS ranges, one after another; its long lists are joined over all of them.
 PARTS = 3
 #: Pairs of a block that are held before those that repeat are added up.
@@ -375,14 +375,9 @@ def _cell(n: int, percent: int):
     return run
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """For a join: a hint to broadcast ids, if they are at most MOST_IDS; beyond that the join shuffles."""
-    return F.broadcast(ids) if ids.limit(MOST_IDS + 1).count() <= MOST_IDS else ids
-
-
 def _rows_of(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     ids = scratch.write(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    return docs.join(_few(ids), "doc_id", "left_semi").select("doc_id", "text")
+    return docs.join(few(ids), "doc_id", "left_semi").select("doc_id", "text")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
@@ -415,7 +410,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
     copies = rows.join(several, ["n", "d1", "d2"]).where("doc_id != rep").select("doc_id").distinct()
     copies = scratch.write(copies.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"))
     entries = (classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1).alias("e")).first().e or 0) // block
-    alone = docs.join(_few(copies), "doc_id", "left_anti")
+    alone = docs.join(few(copies), "doc_id", "left_anti")
     columns = alone.mapInArrow(trimmed(_columns(n, percent, frequent, int(entries).bit_length())), "at long, part long, n long, h binary, doc binary, size binary")
     product = scratch.write(columns.groupBy("at").applyInArrow(_product(percent), "a long, b long, na long, nb long, shared long, star boolean, list long"))
     pairs = product.where("b is not null").groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("na", "nb", "star")), F.sum("shared").alias("shared"))
@@ -434,7 +429,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
     members = scratch.write(lists.join(several, "list"))
     if members.limit(1).count():
         ids = scratch.write(members.select(F.col("doc").alias("doc_id")).distinct())
-        texts = docs.join(_few(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")
+        texts = docs.join(few(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")
         held = scratch.write(members.join(texts, "doc"))
         place = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -452,7 +447,8 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id is their component's; rows without an id or words stay. All columns."""
-    gone = linked(docs, **how).where("component_id != doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    """The rows of docs whose doc_id is their component's; rows without an id or words stay. All columns, whatever their names."""
+    own = free_name(docs.columns, "gone")
+    gone = linked(docs, **how).where("component_id != doc_id").select(F.col("doc_id").alias(own)).distinct()
     gone = Scratch(docs.sparkSession, "gone").write(gone)
-    return docs.join(_few(gone), docs["doc_id"] == F.col("__id"), "left_anti")
+    return docs.join(few(gone), docs["doc_id"] == F.col(own), "left_anti")
