@@ -10,8 +10,9 @@ HOT blocks of BLOCK bytes; the others are joined by a shuffle. Names of pairs ar
 written tables, whose large partitions Spark can split.
 
 Nulls count as empty texts. An empty text is one empty block. Rows with a null doc_id take part and sort
-before all others. Of rows that repeat a doc_id and a text, one counts as kept. Empty tables give no rows.
-Columns other than doc_id and text are not read.
+before all others. Of rows that repeat a doc_id and a text, one counts as kept. Very long texts are more
+blocks, in more levels. Empty tables give no rows. Columns other than doc_id and text are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower
+from .common import Scratch, ascii_lower, few, free_name, quoted
 
 BLOCK = 4096
 #: At most so many blocks are broadcast, each of which holds at least this fraction of all blocks.
@@ -104,11 +105,24 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs, block).where("kept").select("doc_id", "text_sha256")
+    """The rows of docs that stay, with all their columns, whatever their names.
+
+    Where an id has one row, the ids that go are enough, and no text is shuffled. Rows of null or repeated ids
+    are told apart by their text as well; of those that agree in both, the first by its JSON stays.
+    """
+    scratch = Scratch(docs.sparkSession, "copies")
+    groups = scratch.write(exact_groups(docs, block).select("doc_id", "kept", "text_sha256"))
+    ids = scratch.write(groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept")).where("n > 1 or not kept or doc_id is null"))
+    own = free_name(docs.columns, "gone")
+    same = docs["doc_id"].eqNullSafe(F.col(own))
+    stay = docs.join(few(ids.select(F.col("doc_id").alias(own))), same, "left_anti")
+    unclear = ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias(own))
+    if not unclear.limit(1).count():
+        return stay
+    unclear = few(unclear)
+    kept = groups.where("kept").join(unclear, groups["doc_id"].eqNullSafe(F.col(own)), "left_semi").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
     sha = F.sha2(F.encode(ascii_lower(F.coalesce("text", F.lit(""))), "UTF-8"), 256)
-    cols = docs.columns
-    left = docs.withColumn("__sha", sha)
-    right = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha2"))
-    stay = left.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__sha2")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__sha"]).select(*cols)
+    rows = docs.join(unclear, same, "left_semi").select(F.struct(*quoted(docs.columns)).alias("row"), "doc_id", sha.alias("text_sha256"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("sha")), "left_semi")
+    rows = rows.groupBy("doc_id", "text_sha256").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return stay.unionByName(rows.select("row.*"))
