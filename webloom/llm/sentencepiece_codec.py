@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import quoted, trimmed
+from .common import plain, quoted, trimmed
 from .token_counts import slices, texts_of
 
 KEPT, AT_ONCE, SPACE = 96 << 20, 1 << 15, "▁"
@@ -139,7 +139,8 @@ def _coding(data, run):
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """Adds ids, an array of ints, in place of a column of that name."""
     cols = [c for c in docs.columns if c != "ids"]
-    schema = T.StructType([*(docs.schema[c] for c in cols), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    rows = docs.select(*quoted(cols))
+    schema = T.StructType([*plain(rows).schema, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def encode(codec, batches):
         for b in batches:
@@ -149,9 +150,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 part = b.slice(at, len(run))
                 at += len(run)
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cols), pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32))], [*cols, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32))], schema.names)
 
-    return docs.select(*quoted(cols)).mapInArrow(_coding(_broadcast(docs, path), encode), schema)
+    return plain(rows).mapInArrow(_coding(_broadcast(docs, path), encode), schema).toDF(*cols, "ids")
 
 
 def decode_documents(coded: DataFrame, path: str) -> DataFrame:
