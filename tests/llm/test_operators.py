@@ -220,13 +220,73 @@ def test_language_id(spark):
 
 
 def test_many_languages(spark):
-    """Every language is trained, or none."""
-    rows = [(1000 * k + j, f"wort{k} " * 3, f"l{k}", "s", None, "p", 1, 2, "i") for k in range(300) for j in range(6)]
+    """Every language is learned, beyond the number up to which layers are multiplied, too."""
+    rows = [(1000 * k + j, f"wort{k} " * 3, f"l{k:04}", "s", None, "p", 1, 2, "i") for k in range(1100) for j in range(6)]
     docs = spark.createDataFrame(rows, SCHEMA)
     learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
-    assert len(learned) > 256 and set(langid.train(docs).langs) == learned
-    with pytest.raises(ValueError):
-        langid.train(docs, most_langs=256)
+    model = langid.train(docs)
+    assert len(learned) > 1023 and set(model.langs) == learned and model.head is not None
+    assert langid.predictions(docs.limit(50)).count() == 50
+
+
+def test_language_sample(spark):
+    """The sample is bounded in rows and bytes, and doesn't hang on ids: one that repeats is as good as many."""
+    words = {"de": "der die das und nicht", "en": "the and of not with", "zz": "qu qua que qui quo"}
+    rnd = random.Random(9)
+    rows = [(1 if lang == "zz" else 100 * j + k, " ".join(rnd.choices(w.split(), k=30)), lang, "s", None, "p", 1, 2, "i") for k, (lang, w) in enumerate(words.items()) for j in range(400)]
+    rows += [(5, "same row " * 9, "de", "s", None, "p", 1, 2, "i")] * 3000 + [(7, "the and of " * 200_000, "en", "s", None, "p", 1, 2, "i")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(docs, per_lang=60)
+    assert model.langs == ["de", "en", "zz"] and model.predict(["der und das nicht die", "qua quo que"])[0] == ["de", "zz"]
+    assert langid.train(docs, most_bytes=1).langs == ["de", "en", "zz"]
+    long = "the and of " * 200_000
+    assert np.allclose(model.of_bags([langid.bag(long[:9000])]), model.logits([long[:9000]]), atol=1e-4) and model.predict([long])[0] == ["en"]
+
+
+def test_language_of_odd_rows(spark, odd):
+    """Nulls, empty and long texts, repeated rows and clashing columns, by the query and by identify()."""
+    docs, model = documents(spark, odd), langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    got = langid.identify(docs, model).collect()
+    assert len(got) == len(odd) and set(got[0].asDict()) == {*docs.columns, "lang_pred", "score", "rejected"}
+    for r in got:
+        none = not any(map(str.isalpha, r.text or ""))
+        assert (r.lang_pred == "und") == none and (not none or r.score == 0.0 and r.rejected)
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 11}) == 1
+    kept = langid.identify(docs, model, ("a", "b", "c")).collect()
+    assert {r.score for r in kept} == {1} and "lang_pred" not in kept[0].asDict()
+    assert sorted(r.doc_id or 0 for r in langid.predictions(docs).collect()) == sorted(i or 0 for i, _ in odd)
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, __id long, __sha string, score string, rejected int, `row` int, words int, gone int, ids int, copy int, `k``k` int"
+
+
+def clashing(spark, odd):
+    rows = [(i, t, "en", "s" if k % 3 else None, len(t or ""), "x.y", k, "z", f"s{k}", k, k, k, k, k, k, k) for k, (i, t) in enumerate(odd)]
+    return spark.createDataFrame(rows, CLASH), rows
+
+
+def test_operators_on_documents_keep_columns(spark, odd):
+    docs, rows = clashing(spark, odd)
+    whole = lambda d: sorted(map(repr, (tuple(r) for r in d.collect())))
+    norm = lambda t: (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    last = {}
+    for r in rows:
+        k = last.get(norm(r[1]))
+        last[norm(r[1])] = r if k is None or (-1 if r[0] is None else r[0]) > (-1 if k[0] is None else k[0]) else k
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and set(whole(kept)) <= set(map(repr, rows))
+    key = lambda r: (r[0], norm(r[1]))  # noqa: E731 of the repeated row either stays
+    assert sorted(map(repr, map(key, last.values()))) == sorted(repr(key(r)) for r in kept.collect())
+    for n, percent in ((4, 85), (5, 80)):
+        near, want = ngram_join.one_of_each(docs, n=n, percent=percent), _components([(r[0], r[1]) for r in rows if r[0] is not None], n, percent)
+        assert near.columns == docs.columns and whole(near) == sorted(repr(r) for r in rows if r[0] is None or want[r[0]][1] == r[0])
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns and {tuple(r)[5:] for r in mixed.collect()} <= {r[5:] for r in rows}
+    assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(len((r[1] or "").split()) for r in rows)
+    coded = sentencepiece_codec.encode_documents(docs, PIECES)
+    assert coded.columns == [*(c for c in docs.columns if c != "ids"), "ids"] and coded.count() == len(rows)
+    for f in (exact_dedup.drop_copies, ngram_join.one_of_each, mixing.mix_documents, lambda d: sentencepiece_codec.encode_documents(d, PIECES)):
+        assert f(docs.where("false")).collect() == []
 
 
 def test_mixing(spark, odd):
@@ -349,6 +409,28 @@ def test_small_shards(spark, tmp_path):
     assert key(store.read()) == key(docs.union(docs))
 
 
+def test_stages_on_odd_rows(spark, odd):
+    """Each stage by brute force on nulls, empty and long texts, ties, repeated rows and clashing columns; and without rows."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    odd = odd + [(300 + k, f"the quick brown fox {k} jumps over the lazy dog and runs away") for k in range(40)]
+    docs, rows = clashing(spark, odd)
+    first = stages["language_id"](spark, docs, None)
+    got = first.collect()
+    strip = lambda r: (*r[:2], *r[3:])
+    assert first.columns == docs.columns and {strip(tuple(r)) for r in got} <= {strip(r) for r in rows} and {r.score for r in got} <= {r[8] for r in rows}
+    assert all(any(map(str.isalpha, r.text or "")) and r.lang == "en" for r in got) and len(got) >= 40
+    for name in ("exact_dedup", "ngram_jaccard_join", "mixing"):
+        assert stages[name](spark, docs, None).columns == docs.columns
+    near = {r.doc_id for r in stages["ngram_jaccard_join"](spark, docs, None).collect() if r.doc_id is not None}
+    assert near == {c for _, c in _components([(i, t) for i, t in odd if i is not None], 5, 80).values()}
+    last = stages["sentencepiece"](spark, docs, None)
+    assert last.columns == ["doc_id", "source", "lang", "ids"] and last.count() == len(rows)
+    for stage in stages.values():
+        assert stage(spark, docs.where("false"), None).collect() == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -358,7 +440,7 @@ def test_pipeline(spark):
         before, docs = docs, scratch.write(stage(spark, docs, "/root/testdata/sf0.001"))
         if name == "ngram_jaccard_join":
             kept = {r.doc_id for r in docs.collect()}
-            assert kept == {c for _, c in _components([(r.doc_id, r.text) for r in before.collect()]).values()}
+            assert kept == {c for _, c in _components([(r.doc_id, r.text) for r in before.collect()], 5, 80).values()}
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == before.columns
     codec = sentencepiece_codec.Codec.of(open(PIECES, "rb").read())
