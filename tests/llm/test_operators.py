@@ -443,7 +443,7 @@ def test_pipeline(spark):
             assert kept == {c for _, c in _components([(r.doc_id, r.text) for r in before.collect()], 5, 80).values()}
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == before.columns
-    codec = sentencepiece_codec.Codec.of(open(PIECES, "rb").read())
+    codec = sentencepiece_codec.Codec(open(PIECES, "rb").read())
     assert [codec.decode(r.ids) for r in docs.orderBy("doc_id", F.size("ids")).collect()] == [r.text or "" for r in before.orderBy("doc_id", F.length("text")).collect()]
 
 

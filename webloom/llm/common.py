@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but these characters, in every operator that counts words.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of documents in an Arrow batch, and what says so, with Spark's default.
+ROWS, _BATCH, _DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: Ids that may be broadcast.
 MOST_IDS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,6 +109,17 @@ def few(ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose rows go to Python ROWS at a time, unless the session has set a number of its own.
+
+    Both the JVM and the worker hold a whole batch, and texts can be long: Spark's 10,000 rows take 100 MB and more.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == _DEFAULT:
+        conf.set(_BATCH, str(ROWS))
+    return df
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers live on after a task, beside later stages of the JVM."""
     pa.default_memory_pool().release_unused()

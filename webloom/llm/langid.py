@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, plain, quoted, trimmed
+from .common import Scratch, plain, quoted, small_batches, trimmed
 from .token_counts import slices, texts_of
 from .words import differences, pack, unpack
 
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ADDED)
             gone = [x == "und" or s < m.threshold for x, s in zip(langs, scores)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())], schema.names)
 
-    return plain(rows).mapInArrow(trimmed(run), schema).toDF(*cols, *names)
+    return small_batches(plain(rows)).mapInArrow(trimmed(run), schema).toDF(*cols, *names)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, few, free_name, give_back, trimmed
+from .common import Scratch, few, free_name, give_back, small_batches, trimmed
 from .components import components
 from .token_counts import slices, texts_of
 from .words import Words, differences, mix, pack, unpack
@@ -397,7 +397,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, n: int, perce
 def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = scratch.write(docs.mapInArrow(trimmed(_describe(n)), "doc_id long, n long, d1 long, d2 long, h long, c long"))
     rows = described.where("n is not null").select("doc_id", "n", "d1", "d2")
     classes = scratch.write(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")))

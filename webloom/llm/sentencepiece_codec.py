@@ -29,33 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import plain, quoted, trimmed
+from .common import plain, quoted, small_batches, trimmed
 from .token_counts import slices, texts_of
 
-KEPT, AT_ONCE, SPACE = 96 << 20, 1 << 15, "▁"
+#: Bytes that are kept of known stretches: beside the other stages of a pipeline, and by an encoding alone.
+KEPT, ALONE, AT_ONCE, SPACE = 24 << 20, 96 << 20, 1 << 15, "▁"
+#: Texts are encoded so many characters at a time.
+SLICE = 1 << 19
 
 
 class Codec:
-    _known: dict[int, Codec] = {}
-
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, kept: int = KEPT):
         self.bpe, self.fallback = bpe.from_sentencepiece(data)
         self.cut = bpe.cut_pattern(self.bpe)
-        self.known = bpe.Memo(KEPT)
+        self.known = bpe.Memo(kept)
         self.text_of = [c or "" for c in self.bpe.codes]
         self.byte_of = {t: b for b, t in enumerate(self.fallback)}
 
-    @classmethod
-    def of(cls, data: bytes) -> Codec:
-        """The codec of this process; what it keeps of texts goes when a task ends."""
-        if (k := hash(data)) not in cls._known:
-            cls._known[k] = cls(data)
-        return cls._known[k]
-
-    def forget(self) -> None:
-        self.known.forget()
-        self.bpe.fitting.clear()
-
     def _final(self, ids: list[int], segment: str) -> bytes:
         """Ids as 4 bytes each; what is outside the vocabulary becomes its bytes."""
         out, at, other = [], 0, self.bpe.n
@@ -123,20 +113,16 @@ def _broadcast(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(open(path, "rb").read())
 
 
-def _coding(data, run):
-    """run(codec, batches) as a function for mapInArrow that keeps nothing of the texts after its task."""
+def _coding(data, run, kept: int = KEPT):
+    """run(codec, batches) as a function for mapInArrow. The codec goes with the task: workers live on beside later stages."""
 
     def code(batches):
-        codec = Codec.of(data.value)
-        try:
-            yield from run(codec, batches)
-        finally:
-            codec.forget()
+        yield from run(Codec(data.value, kept), batches)
 
     return trimmed(code)
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, kept: int = KEPT) -> DataFrame:
     """Adds ids, an array of ints, in place of a column of that name."""
     cols = [c for c in docs.columns if c != "ids"]
     rows = docs.select(*quoted(cols))
@@ -145,14 +131,14 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def encode(codec, batches):
         for b in batches:
             at = 0
-            for run in slices(texts_of(b)):
+            for run in slices(texts_of(b), SLICE):
                 ids = codec.encode(run)
                 part = b.slice(at, len(run))
                 at += len(run)
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32))], schema.names)
 
-    return plain(rows).mapInArrow(_coding(_broadcast(docs, path), encode), schema).toDF(*cols, "ids")
+    return small_batches(plain(rows)).mapInArrow(_coding(_broadcast(docs, path), encode, kept), schema).toDF(*cols, "ids")
 
 
 def decode_documents(coded: DataFrame, path: str) -> DataFrame:
@@ -168,13 +154,13 @@ def decode_documents(coded: DataFrame, path: str) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(_coding(_broadcast(coded, path), decode), f"doc_id {kind}, text string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, kept: int = ALONE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids, 4 bytes each, little end first), round_trip (decoding gives the text back)."""
 
     def digest(codec, batches):
         for b in batches:
             n, sha, same = [], [], []
-            for run in slices(texts_of(b)):
+            for run in slices(texts_of(b), SLICE):
                 for text, ids in zip(run, codec.encode(run)):
                     n.append(len(ids))
                     sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
@@ -182,4 +168,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_coding(_broadcast(docs, path), digest), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, round_trip boolean")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_coding(_broadcast(docs, path), digest, kept), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, round_trip boolean")

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import trimmed
+from .common import small_batches, trimmed
 
 LIMIT, KEPT, SLICE = 512, 96 << 20, 1 << 20
 #: Parts of at most LONG bytes are counted AT_ONCE at a time.
@@ -43,9 +43,7 @@ _ASCII = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^{_SPACE}A-Z
 
 
 class Counter:
-    """Counts tokens of texts; one for each vocabulary and process."""
-
-    _known: dict[int, Counter] = {}
+    """Counts tokens of texts."""
 
     def __init__(self, data: bytes):
         self.bpe, self.added = bpe.from_tokenizer_json(data)
@@ -53,16 +51,6 @@ class Counter:
         #: Of each part: the token counts of its prefixes by bytes, the whole first, then the sizes of their last tokens.
         self.known = bpe.Memo(KEPT)
 
-    @classmethod
-    def of(cls, data: bytes) -> Counter:
-        if (k := hash(data)) not in cls._known:
-            cls._known[k] = cls(data)
-        return cls._known[k]
-
-    def forget(self) -> None:
-        self.known.forget()
-        self.bpe.fitting.clear()
-
     def parts(self, text: str) -> list[str]:
         """What is encoded apart; an added token is a part."""
         if self.special and any(x in text for x in self.added):
@@ -195,14 +183,10 @@ def _counting(docs: DataFrame, path: str, run, schema: str) -> DataFrame:
     data = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())
 
     def count(batches):
-        counter = Counter.of(data.value)
-        try:
-            yield from run(counter, batches)
-        finally:
-            counter.forget()
+        yield from run(Counter(data.value), batches)  # goes with the task: workers live on
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(trimmed(count), f"doc_id {kind}, {schema}")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(trimmed(count), f"doc_id {kind}, {schema}")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
