@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, exact_dedup, html_extract, langid, mixing, ngram_join, sentencepiece_codec, sharding, substring_dedup, token_counts
-from .common import Scratch
+from .common import Scratch, few
 
 
 
@@ -45,14 +45,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars and tier, rows and version of the shard that each row of the compacted store is in, after 16 arrivals."""
+    """doc_id, n_chars and shard (its number in the manifest), tier, shard_rows and added (a version) of the shard that each row of the compacted store is in, after 16 arrivals."""
     store = sharding.sharded(table(spark, sf_dir, "documents"), f"{Scratch(spark, 'shards').root}/store", arrivals=16, target=32 << 20)
     m = store.manifest()
+    shards = spark.createDataFrame([(s["name"], k, s["tier"], s["rows"], s["added"]) for k, s in enumerate(m["shards"])], "name string, shard int, tier int, shard_rows long, added long")
     if not m["shards"]:
-        return table(spark, sf_dir, "documents").selectExpr("doc_id", "n_chars", "'' as shard", "0 as tier", "0L as shard_rows", "0L as added")
-    rows = store.read().select("doc_id", "n_chars", "shard")
-    shards = spark.createDataFrame([(s["name"], s["tier"], s["rows"], s["added"]) for s in m["shards"]], "shard string, tier int, shard_rows long, added long")
-    return rows.join(shards, "shard")
+        return table(spark, sf_dir, "documents").selectExpr("doc_id", "n_chars", "0 as shard", "0 as tier", "0L as shard_rows", "0L as added")
+    rows = store.read().select("doc_id", "n_chars", F.col("shard").alias("name"))
+    return rows.join(few(shards), "name").drop("name")  # a row for each shard
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

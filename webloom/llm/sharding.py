@@ -8,13 +8,17 @@ Each run is merged into one file of about TARGET bytes by one task that reads on
 shuffled; a shard of half the target size or more is left alone. Files that no manifest lists are never
 read, so a job that fails, or an executor that is lost, leaves the last version as it is.
 
-A version is committed by writing the next manifest under a temporary name and renaming it, which fails if
-another writer was first: then commit() raises, and the caller starts again from the newer version. Readers
-open the manifest with the highest number. vacuum() removes files that neither of the last versions lists.
+A version is committed by writing the next manifest in a folder under a temporary name and renaming that
+folder. A folder that isn't empty is never replaced: of two writers the first rename gives the version its
+name, and the second fails or puts its folder inside. So each looks which manifest the version has, and the
+one that finds another's raises Conflict; the caller starts again from the newer version. That needs a file
+system whose renames of folders are atomic (local, HDFS). Readers open the manifest with the highest number.
+vacuum() removes files that neither of the last versions lists.
 
 A manifest has a line for each shard, (name, rows, bytes, tier, version that added it), not for each row.
-Rows are kept as they are, nulls, repeated rows and all columns. An empty arrival adds no shard. Reading a
-store without a version raises FileNotFoundError.
+Rows are kept as they are, nulls, very long texts, repeated rows and all columns but one named shard, which
+read() replaces. An empty arrival adds a version without new shards. Reading a store without a version, or
+without rows, raises FileNotFoundError.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import uuid
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,31 +49,41 @@ class Store:
 
     # Manifests
 
+    def _manifest(self, version: int) -> str:
+        return f"{self.root}/manifests/{version:012d}"
+
     def version(self) -> int:
         names = [x.getPath().getName() for x in self.fs.listStatus(self.path(f"{self.root}/manifests"))]
-        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+        return max((int(n) for n in names if n.isdigit()), default=0)
 
     def manifest(self, version: int | None = None) -> dict:
         v = self.version() if version is None else version
-        if not v:
-            return {"version": 0, "shards": []}
-        stream = self.fs.open(self.path(f"{self.root}/manifests/{v:012d}.json"))
+        return self._read(f"{self._manifest(v)}/manifest.json") if v else {"version": 0, "shards": []}
+
+    def _read(self, file: str) -> dict:
+        stream = self.fs.open(self.path(file))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def commit(self, base: dict, added: list[dict], removed: set[str]) -> dict:
-        """The version after base. The rename decides between writers."""
-        v = base["version"] + 1
+        """The version after base. The first rename decides between writers."""
+        v, writer = base["version"] + 1, uuid.uuid4().hex
         shards = [s for s in base["shards"] if s["name"] not in removed] + [s | {"added": v} for s in added]
-        data = json.dumps({"version": v, "shards": shards}).encode()
-        final, temp = self.path(f"{self.root}/manifests/{v:012d}.json"), self.path(f"{self.root}/manifests/.{v:012d}-{uuid.uuid4().hex}")
-        out = self.fs.create(temp, True)
-        out.write(data)
+        final, temp = self.path(self._manifest(v)), self.path(f"{self.root}/manifests/.{writer}")
+        out = self.fs.create(self.path(f"{temp}/manifest.json"), True)
+        out.write(json.dumps({"version": v, "writer": writer, "shards": shards}).encode())
         out.close()
-        if self.fs.exists(final) or not self.fs.rename(temp, final):
-            self.fs.delete(temp, False)
+        if not self.fs.exists(final):
+            try:
+                self.fs.rename(temp, final)
+            except Py4JJavaError:
+                if not self.fs.exists(final):
+                    raise
+        if not self.fs.exists(final) or self.manifest(v)["writer"] != writer:
+            for left in (temp, self.path(f"{final}/.{writer}")):
+                self.fs.delete(left, True)
             raise Conflict(f"version {v} is there already")
         return {"version": v, "shards": shards}
 
@@ -123,7 +138,7 @@ class Store:
                 tiers[self.tier(s["bytes"])].append(s)
         out = []
         for _, own in sorted(tiers.items()):
-            own.sort(key=lambda s: (s["added"], s["name"]))
+            own.sort(key=lambda s: s["added"])  # among equals, as the manifest has them
             run, size = [], 0
             for s in own:
                 if run and size + s["bytes"] > self.target:
@@ -153,7 +168,7 @@ class Store:
         return self.commit(base, added, {s["name"] for r in runs for s in r})
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with shard (its name) and shard_rows."""
+        """All rows of a version, with shard (its name)."""
         shards = self.manifest(version)["shards"]
         if not shards:
             raise FileNotFoundError(f"{self.root} has no rows in that version")
