@@ -328,6 +328,35 @@ def test_nearest(spark):
     assert ann.nearest(v.where("false"), v.where("false")).collect() == []
 
 
+def test_routed_search(spark):
+    """Shards far larger than the search's view: recall on clustered vectors while a part of the shards is searched, a hot vector split."""
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(60, 24))
+    x = (middle[rng.integers(0, 60, 12_000)] + 0.35 * rng.normal(size=(12_000, 24))).astype(np.float32)
+    x[4000:8000] = x[4000]  # a third are copies
+    v = spark.createDataFrame([(k, y.tolist()) for k, y in enumerate(x)], "vec_id long, embedding array<float>")
+    index, cells = ann.build_index(v, "vec_id", "embedding", shard=1000)
+    index = Scratch(spark, "t").write(index)
+    sizes = [len(r.ids) // 8 for r in index.select("ids").collect()]
+    assert sum(sizes) == 12_000 and max(sizes) < 1500 and len(sizes) > len(cells[24]) >= 12
+    q = v.where("vec_id % 50 = 0")
+    asked, sent = ann._valid(q, "vec_id", "embedding"), spark.sparkContext.broadcast(cells)
+    assert ann.probes(index, asked, sent, 5, ann.EF) < len(cells[24])
+    got = {}
+    for r in ann.search(index, cells, q, "vec_id", "embedding").collect():
+        got.setdefault(r.query_id, []).append(r)
+    n = x.astype(float)
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, 12_000, 50):
+        s = n @ n[i]
+        s[i] = -9
+        own = sorted(got[i], key=lambda r: r.rank)
+        assert [r.rank for r in own] == [1, 2, 3, 4, 5] and all((a.score, -a.vec_id) > (b.score, -b.vec_id) for a, b in zip(own, own[1:]))
+        hits += sum(r.score >= np.sort(s)[-5] - 1e-9 for r in own)
+    assert hits / (5 * 240) >= 0.93
+
+
 def test_html(spark):
     page = (
         '<html><head><title>T</title></head><body><header><h1>Site</h1></header><div class="wrap has-sidebar"><div id="sidebar-left"><p>{long}</p></div><div class="post p12"><h1>Head</h1><p>One &amp; two<b>bold</b> x<br>y</p><ul><li>a<li>b</ul>'
@@ -387,14 +416,76 @@ def test_sharding(spark, tmp_path):
     assert key(store.read()) == key(docs)
 
 
-def test_registered_sharding(spark, sf, monkeypatch, tmp_path):
-    """The query appends several arrivals and merges runs of them, more than once."""
+def test_two_writers(spark, tmp_path):
+    """Of two commits of one version at once exactly one holds, on a file system whose renames replace files."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    store, rounds = sharding.Store(spark, f"file://{tmp_path}/s"), 12
+    for v in range(rounds):
+        gate = Barrier(3)
+
+        def write(k, base=store.manifest()):
+            gate.wait()
+            try:
+                return store.commit(base, [{"name": f"x/{k}", "rows": 1, "bytes": 1, "tier": 0}], set())
+            except sharding.Conflict:
+                return None
+
+        with ThreadPoolExecutor(3) as pool:
+            got = [x for x in pool.map(write, range(3)) if x]
+        assert len(got) == 1 and store.version() == v + 1 and store.manifest()["shards"] == got[0]["shards"]
+    assert [s["added"] for s in store.manifest()["shards"]] == list(range(1, rounds + 1))
+    left = [x.name for d in (tmp_path / "s/manifests").iterdir() for x in d.iterdir()]
+    assert {x for x in left if not x.endswith(".crc")} == {"manifest.json"} and len(list((tmp_path / "s/manifests").iterdir())) == rounds
+
+
+def _tier(size, target, fan):
+    return 0 if size * fan >= target else 1 + _tier(size * fan, target, fan)
+
+
+def test_registered_sharding(spark, sf, monkeypatch):
+    """The query's rows, and each version of its store against the rules, read from the files that manifests list."""
+    import pyarrow.parquet as pq
+
     stores, sharded = [], sharding.sharded
+    monkeypatch.setattr(sharding.Store, "vacuum", lambda *a: 0)
     monkeypatch.setattr(sharding, "sharded", lambda *a, **b: stores.append(sharded(*a, **b)) or stores[-1])
     got = queries.op7_sharding(spark, sf).collect()
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert sorted((r.doc_id, r.n_chars) for r in got) == sorted(map(tuple, docs.select("doc_id", "n_chars").collect()))
-    assert max(r.tier for r in got) >= 2 and stores[0].version() > 16
+    assert sorted(got[0].asDict()) == ["added", "doc_id", "n_chars", "shard", "shard_rows", "tier"]
+    store = stores[0]
+    path = lambda s: f"{store.root.removeprefix('file://')}/shards/{s['name']}"
+    want = [(i, n, k, s["tier"], s["rows"], s["added"]) for k, s in enumerate(store.manifest()["shards"]) for i, n in zip(*(pq.read_table(path(s)).column(c).to_pylist() for c in ("doc_id", "n_chars")))]
+    assert sorted((r.doc_id, r.n_chars, r.shard, r.tier, r.shard_rows, r.added) for r in got) == sorted(want)
+    docs = pq.read_table(f"{sf}/documents.parquet")
+    assert sorted(x[:2] for x in want) == sorted(zip(docs.column("doc_id").to_pylist(), docs.column("n_chars").to_pylist()))
+    appends = merges = 0
+    for v in range(1, store.version() + 1):
+        old, new = ({s["name"]: s for s in store.manifest(k)["shards"]} for k in (v - 1, v))
+        gone, come = old.keys() - new.keys(), [new[n] for n in new.keys() - old.keys()]
+        for s in come:
+            assert s["added"] == v and s["rows"] == pq.read_metadata(path(s)).num_rows
+        if not gone:
+            appends += 1
+            assert all(s["tier"] == 0 and (s["bytes"] <= store.target // sharding.SMALL or s["rows"] == 1) for s in come)
+            continue
+        merges += 1
+        assert sum(old[n]["rows"] for n in gone) == sum(s["rows"] for s in come)
+        # What may be merged: small shards of one size class, of which there are enough or a target file's worth.
+        small = [s for s in old.values() if 2 * s["bytes"] < store.target]
+        classes = {}
+        for s in small:
+            classes.setdefault(_tier(s["bytes"], store.target, store.fan), []).append(s)
+        full = {s["name"] for c in classes.values() if len(c) >= store.fan or sum(s["bytes"] for s in c) > store.target for s in c}
+        assert gone <= full and len(come) < len(gone)
+    assert appends == 16 and merges >= 4 and max(s["tier"] for s in store.manifest()["shards"]) >= 2
+    again = queries.op7_sharding(spark, sf)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, got)) and again.where("false").columns == again.columns
+
+
+def test_sharding_without_rows(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op7_sharding(spark, str(tmp_path)).collect() == []
 
 
 def test_small_shards(spark, tmp_path):
