@@ -1,6 +1,7 @@
 """Substring dedup: repeated windows of WINDOW words by a count-min prefilter and an exact second pass.
 
-Documents are dealt into chunks of about CHUNK bytes, and of about ROWS rows at most, by a hash of their id.
+Documents are dealt into chunks of about CHUNK bytes, and of about ROWS rows at most, by a hash of id and text, so that rows of a null or repeated
+id spread too.
 
 1. Each chunk makes its partition sketch: for each of DEPTH hash rows, which cells its windows fall in, and
    whether from one document or more (counts stop at two). A sketch is sparse, so a chunk sends sorted cells
@@ -18,8 +19,9 @@ A window that is in a third of all documents is one row for each chunk in step 3
 group is large. Texts are shuffled once: all three passes over chunks read the same exchange.
 
 Null texts have no words. Null doc_ids count as smaller than all others. Rows of one doc_id are one
-document, and their windows don't repeat each other. Texts of fewer words than WINDOW stay whole. Only
-doc_id and text are read.
+document, and their windows don't repeat each other. Texts of fewer words than WINDOW stay whole. Very long
+texts are read whole. Tables without rows give none. Only doc_id and text are read, whatever other columns
+are called.
 """
 
 from __future__ import annotations
@@ -214,7 +216,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, c
     bits = min(44, (spare * windows - 1).bit_length())
     block_bits = max(0, (windows // block).bit_length()) if windows > block else 0
     chunks = max(size // chunk, total.rows // rows) + 1
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     by_chunk = lambda df: df.groupBy("chunk")
     sketch = by_chunk(dealt).applyInArrow(_sketch(window, depth, bits, block_bits), "at long, chunk long, n long, cells binary, several binary")
     often = sketch.groupBy("at").applyInArrow(_merge, "chunk long, at long, n long, bits binary")
