@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from webloom.functions import pages as P
 from webloom.functions import status as S
 from webloom.functions import text as X
-from webloom.operators import crawl, index, search, status
+from webloom.operators import crawl, index, job, search, status
 from webloom.sources import files, web
 from webloom.streaming import ingest
 
@@ -143,3 +143,73 @@ def test_clear(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "f").write_text("x")
     assert index.clear(spark, [str(tmp_path / "d"), str(tmp_path / "none")]) == (True, {str(tmp_path / "d"): 1, str(tmp_path / "none"): 0})
+
+
+@pytest.fixture
+def site():
+    """A small web site: two levels, a page that isn't there, a page in another charset."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    pages = {"/": '<a href="/a">one</a><a href="/gone">t</a><a href="/b#x">b</a> ', "/a": '<a href="/">x</a><a href="/deep">y</a> two two ', "/b": "caf\xe9 ", "/deep": "deep "}
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            found = pages.get(self.path)
+            self.send_response(200 if found else 404)
+            self.send_header("Content-Type", "text/html; charset=latin-1")
+            self.end_headers()
+            self.wfile.write((found or "no").encode("latin-1"))
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", asked
+    server.shutdown()
+
+
+def test_crawl_that_fetches(spark, tmp_path, site):
+    root, asked = site
+    places = {"visited_file": f"{tmp_path}/visited", "storage_dir": f"{tmp_path}/index", "state_dir": f"{tmp_path}/states"}
+    name, thread = job.start_crawler_job(spark, f"{root}/", 1, hit_rate=50, queue_capacity=3, **places)
+    read = lambda n: job.read_state(spark, places["state_dir"], n)
+    thread.join(120)
+    got = job.poll_request(read, {"crawler_id": name, "since_log_index": "1"})
+    assert (got["state"], got["done"], got["pages_processed"], got["pages_indexed"], got["pages_failed"], got["visited_count"], got["depth_limit"], got["back_pressure"]) == ("finished", True, 4, 3, 1, 4, 1, "active")
+    assert got["log_count"] == len(got["new_logs"]) + 1 and any("/gone" in x for x in got["new_logs"])
+    state = read(name)
+    assert state["visited_pages"] == sorted(f"{root}{p}" for p in ("/", "/a", "/b", "/gone")) and state["queue"] == [] and sorted(asked) == ["/", "/a", "/b", "/gone"]
+    assert [(r.crawler_id, r.visited_count) for r in files.read_states(spark, f"{places['state_dir']}/*.data").collect()] == [(name, 4)]
+    engine = search.SearchEngine(index.read(spark, places["storage_dir"]))
+    assert [(r["url"], r["frequency"], r["depth"]) for r in engine.search_api("two caf")["results"]] == [(f"{root}/a", 2, 1), (f"{root}/b", 1, 1)]
+    # Again: nothing is fetched a second time, and max_pages holds.
+    _, again = job.start_crawler_job(spark, f"{root}/", 2, hit_rate=0, **places)
+    again.join(60)
+    assert again.state["pages_processed"] == 0 and len(asked) == 4 and not job.alive(again.crawler_id)
+    _, few = job.start_crawler_job(spark, f"{root}/", 3, hit_rate=0, max_pages=2, visited_file=f"{tmp_path}/v2", storage_dir=f"{tmp_path}/i2", state_dir=places["state_dir"])
+    few.join(60)
+    assert few.state["visited_pages"] == [f"{root}/", f"{root}/a"] and any("max_pages" in x for x in few.state["logs"])
+
+
+def test_requests(spark):
+    with pytest.raises(ValueError):
+        job.poll_request(lambda n: None, {})
+    with pytest.raises(ValueError):
+        job.start_request(spark, {"origin": " "})
+    assert job.poll_request(lambda n: None, {"crawler_id": "x", "timeout": "0"}, pause=0.1) == {"crawler_id": "x", "state": "unknown", "done": True, "new_logs": [], "log_count": 0}
+    old = {"state": "running", "updated_at": 5, "logs": ["a"]}
+    assert job.poll_request(lambda n: old, {"crawler_id": "x"}, lambda n: False)["state"] == "interrupted"
+    late = job.poll_request(lambda n: old, {"crawler_id": "x", "timeout": "1", "since_updated": "5", "since_log_index": "1"}, lambda n: True, pause=0.1)
+    assert (late["state"], late["new_logs"], late["log_count"], late["done"]) == ("running", [], 1, False)
+    rows = spark.createDataFrame([("w", "o", f"u{k:03}", 0, 1) for k in range(150)], "word string, origin_url string, current_url string, depth int, frequency bigint")
+    engine = search.SearchEngine(rows.withColumn("bucket", X.bucket(F.col("word"))))
+    ask = lambda **a: engine.request(a)
+    assert (ask(query="w", page_size="900")["page_size"], ask(query="w", page="99")["page"], len(ask(query="w", page="99")["results"])) == (100, 8, 10)
+    assert ask(q=" w ")["total"] == 150 and ask()["results"] == [] and ask(query="w", sortBy="Frequency")["sortBy"] == "frequency"
+    assert engine.search("w", 600, 100) == engine.search("w", 2, 100) and engine.search("none")["total_pages"] == 0
+    with pytest.raises(ValueError):
+        ask(query="w", page="x")

@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
 
-@dataclass(frozen=True)
-class CrawlLimits:
-    hit_rate: float = 5.0
-    queue_capacity: int = 500
-    fetch_timeout: float = 8.0
-    max_pages: int | None = None
-
-
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, visited: DataFrame | None = None, max_pages: int | None = None, failed: DataFrame | None = None) -> DataFrame:
     """url, depth, key, ok for each page that a crawl visits.
 
@@ -71,8 +61,9 @@ def unseen(urls: DataFrame, visited: DataFrame) -> DataFrame:
 
 
 def fetch_outcome(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """url, html, ok for each distinct link: a page that isn't there is a failed fetch."""
-    return links.select("url").distinct().join(pages.select("url", "html"), "url", "left").withColumn("ok", F.col("html").isNotNull())
+    """url, ok for each distinct link: a page that isn't there is a failed fetch. Pages are joined by URL alone."""
+    there = pages.where("html is not null").select("url", F.lit(True).alias("ok")).distinct()
+    return links.select("url").distinct().join(there, "url", "left").select("url", F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
 def fetch_schedule(urls: DataFrame, order: list, hit_rate: float, host=None) -> DataFrame:
@@ -87,7 +78,7 @@ def queue_depth(events: DataFrame, order: list, change, by=None) -> DataFrame:
     return events.withColumn("waiting", F.sum(change).over(w))
 
 
-def crawl_site(pages: DataFrame, seed: str, depth: int, limits: CrawlLimits = CrawlLimits(), visited: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def crawl_site(pages: DataFrame, seed: str, depth: int, visited: DataFrame | None = None, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(visited pages, postings) of a crawl over url, html: parse all pages once, walk the links, index what was reached."""
     from . import index
 
@@ -96,7 +87,7 @@ def crawl_site(pages: DataFrame, seed: str, depth: int, limits: CrawlLimits = Cr
     seeds = spark.createDataFrame([(seed,)], "url string")
     targets = links.select(F.col("dst").alias("url")).unionByName(seeds)
     failed = fetch_outcome(targets, pages).where("not ok")
-    reached = bfs(links, seeds, depth, visited, limits.max_pages, failed)
+    reached = bfs(links, seeds, depth, visited, max_pages, failed)
     found = pages.join(reached.where("ok"), "url").select(F.lit(seed).alias("origin_url"), F.col("url").alias("current_url"), "depth", "html")
     return reached, index.page_postings(found)
 

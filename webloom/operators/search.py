@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webloom.functions import status as S
 from webloom.functions import text as X
 from webloom.sources import files
 from . import index
 
-MOST = 100
+#: Most rows of a page by request; rows up to which a page is found in the same job as the total.
+MOST, FIRST = 100, 10_000
 
 
 def match(rows: DataFrame, terms: list[str]) -> DataFrame:
@@ -64,35 +66,46 @@ class SearchEngine:
     def _rows(self, terms: list[str]) -> DataFrame:
         return self.rows if self.rows is not None else files.read_shards(self.spark, self.storage_dir, terms)
 
-    def _page(self, terms, sort_by, page, page_size):
-        results = scored(match(self._rows(terms), terms)).cache()
-        try:
+    def _answer(self, query: str, sort_by: str, page: int, size: int) -> tuple[dict, list]:
+        """(what all answers have, the page's rows). One job: the matches are counted as the first rows are found."""
+        terms = X.query_terms(query)
+        if not terms:
+            return {"query": query, "total": 0, "page": 1, "page_size": max(1, int(size)), "total_pages": 0}, []
+        wanted = max(1, int(page)) * max(1, int(size))
+        results = scored(match(self._rows(terms), terms))
+        if wanted <= FIRST:
+            seen = Observation()
+            rows = results.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order(sort_by)).limit(wanted).collect()
+            total = seen.get["n"]
+            page, size, pages = page_bounds(total, page, size)
+            rows = rows[(page - 1) * size : page * size]
+        else:
             total = results.count()
-            page, size, pages = page_bounds(total, page, page_size)
+            page, size, pages = page_bounds(total, page, size)
             rows = results.orderBy(*order(sort_by)).offset((page - 1) * size).limit(size).collect() if total else []
-        finally:
-            results.unpersist()
-        return total, page, size, pages, rows
+        return {"query": query, "total": total, "page": page, "page_size": size, "total_pages": pages}, rows
 
     def search(self, query: str, page: int = 1, page_size: int = 20) -> dict:
         """(url, origin_url, depth) triples, most hits first, then least depth, then url."""
-        terms = X.query_terms(query)
-        if not terms:
-            return {"query": query, "total": 0, "page": 1, "page_size": max(1, int(page_size)), "total_pages": 0, "results": []}
-        total, page, size, pages, rows = self._page(terms, "frequency", page, page_size)
-        return {"query": query, "total": total, "page": page, "page_size": size, "total_pages": pages, "results": [(r.url, r.origin_url, r.depth) for r in rows]}
+        found, rows = self._answer(query, "frequency", page, page_size)
+        return found | {"results": [(r.url, r.origin_url, r.depth) for r in rows]}
 
     def search_triples(self, query: str, page: int = 1, page_size: int = 20) -> list[tuple]:
         return self.search(query, page, page_size)["results"]
 
     def search_api(self, query: str, sort_by: str = "relevance", page: int = 1, page_size: int = 20) -> dict:
-        terms = X.query_terms(query)
-        if not terms:
-            return {"query": query, "sortBy": sort_by, "total": 0, "page": 1, "page_size": max(1, int(page_size)), "total_pages": 0, "results": []}
-        total, page, size, pages, rows = self._page(terms, sort_by, page, page_size)
-        key = "frequency" if (sort_by or "").strip().lower() == "frequency" else "relevance"
-        results = [{"url": r.url, "origin_url": r.origin_url, "depth": r.depth, "frequency": r.frequency, "relevance_score": r.relevance_score} for r in rows]
-        return {"query": query, "sortBy": key, "total": total, "page": page, "page_size": size, "total_pages": pages, "results": results}
+        found, rows = self._answer(query, sort_by, page, page_size)
+        asked = "frequency" if (sort_by or "").strip().lower() == "frequency" else "relevance"
+        return found | {"sortBy": asked if X.query_terms(query) else sort_by, "results": [r.asDict() for r in rows]}
+
+    def request(self, args: dict) -> dict:
+        """search_api() by the parameters of a request: query (or q), sortBy, page from 1, page_size from 1 to MOST; ValueError for other pages and sizes."""
+        page, size = S.clamped(args.get("page"), 1), S.clamped(args.get("page_size"), 1, MOST, 20)
+        query = (args.get("query") or "").strip()
+        if query:
+            return self.search_api(query, (args.get("sortBy") or "relevance").strip().lower(), page, size)
+        query = (args.get("q") or "").strip()
+        return self.search_api(query, "relevance", page, size) if query else {"query": "", "total": 0, "page": page, "page_size": size, "total_pages": 0, "results": []}
 
 
 def search(query: str, page: int = 1, page_size: int = 20, *, spark: SparkSession, storage_dir: str = "storage") -> dict:

@@ -76,12 +76,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WebPages)
 
 
-def fetch(urls: DataFrame, timeout: float = TIMEOUT) -> DataFrame:
-    """url, html, error for a column of URLs, fetched where the rows are."""
+def fetch(urls: DataFrame, timeout: float = TIMEOUT, rate: float = RATE, delay: float = 0.0, parts: int = 1) -> DataFrame:
+    """url, html, error for a column of URLs, fetched by `parts` tasks, at most `rate` a second in all (0: any), each `delay` seconds later."""
+    gap = (parts / rate if rate > 0 else 0.0) + delay
 
     def run(batches):
+        due = time.monotonic()
         for b in batches:
-            got = [get(u, timeout) for u in b.column("url").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("url"), pa.array([h for h, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], ["url", "html", "error"])
+            for url in b.column("url").to_pylist():
+                time.sleep(max(0.0, due - time.monotonic()))
+                due = max(due, time.monotonic()) + gap
+                html, error = get(url, timeout)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (url, html, error)], ["url", "html", "error"])
 
-    return urls.select("url").mapInArrow(run, "url string, html string, error string")
+    return urls.select("url").repartition(max(1, parts), "url").mapInArrow(run, "url string, html string, error string")
