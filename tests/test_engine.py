@@ -213,3 +213,22 @@ def test_requests(spark):
     assert engine.search("w", 600, 100) == engine.search("w", 2, 100) and engine.search("none")["total_pages"] == 0
     with pytest.raises(ValueError):
         ask(query="w", page="x")
+
+
+def test_numbered_over_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").cast("string").alias("url"))
+    keys = [F.desc("k"), F.asc("url")]
+    got = {(r.url, r.rank, r.total) for r in search.numbered(rows.repartition(5), keys).collect()}
+    assert got == {(u, i + 1, 1000) for i, (_, u) in enumerate(sorted((-(x % 7), str(x)) for x in range(1000)))}
+    assert search.numbered(rows.where("k < 0"), keys).count() == 0
+
+
+def test_shards_are_appended(spark, tmp_path):
+    docs = spark.createDataFrame([("o", "u1", 0, "Apple 9lives apple \u212a"), ("o", "u2", 1, None), (None, "u3", 1, "apple")], "origin_url string, current_url string, depth int, text string")
+    rows = index.postings(docs, X.tokenize(F.col("text")), F.lit(7))
+    for _ in range(2):
+        files.append_shards(rows, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith((".", "_"))) == ["a.data", "num.data"]
+    # The Kelvin sign isn't an ASCII letter; a row without origin isn't valid.
+    got = sorted((r.word, r.origin_url, r.current_url, r.frequency) for r in files.read_shards(spark, str(tmp_path)).collect())
+    assert got == [("9lives", "o", "u1", 1)] * 2 + [("apple", "o", "u1", 2)] * 2

@@ -1,7 +1,9 @@
-"""Column builders for terms: the tokenizer, query terms, buckets and relevance. All run inside codegen or as built-in functions."""
+"""Column builders for terms: the tokenizer, query terms, buckets and relevance. All are built-in functions."""
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ BUCKETS = sorted([*"abcdefghijklmnopqrstuvwxyz", "num", "other"])
 
 
 def tokenize(text: Column) -> Column:
-    """ASCII letter and digit runs, then lower-cased. Lower-casing first would let other letters become ASCII."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0)), F.lower)
+    """ASCII letter and digit runs, lower-cased. Only A-Z are, as lower() would make ASCII letters of others."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.array_remove(F.split(lowered, "[^a-z0-9]+"), "")
 
 
 def parse_query(text: Column) -> Column:

@@ -10,8 +10,11 @@ from webloom.functions import text as X
 
 
 def postings(docs: DataFrame, words: Column, ts: Column | None = None) -> DataFrame:
-    """word, origin_url, current_url, depth, frequency, ts, bucket from origin_url, current_url, depth and a column of words. A page without words has no rows."""
-    rows = docs.select("origin_url", "current_url", "depth", F.explode(words).alias("word"))
+    """word, origin_url, current_url, depth, frequency, ts, bucket from origin_url, current_url, depth and a column of words. A page without words has no rows.
+
+    Pages are dealt by URL before their words are exploded, so the words of a page are counted where they are and never shuffled.
+    """
+    rows = docs.repartition("current_url").select("origin_url", "current_url", "depth", F.explode(words).alias("word"))
     counted = rows.groupBy("word", "origin_url", "current_url", "depth").agg(F.count("*").alias("frequency"))
     return counted.withColumns({"ts": (F.unix_timestamp() if ts is None else ts).cast("bigint"), "bucket": X.bucket(F.col("word"))})
 
@@ -28,10 +31,12 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str, batch: int = 0, mode: str = "append") -> None:
-    """Appends postings as Parquet by bucket, each with seq = (batch, place). A writing task holds its buckets together, a large bucket splits over tasks."""
-    rows = rows.withColumn("batch", F.lit(batch).cast("bigint"))
-    spread = rows.repartition("bucket", F.pmod(F.xxhash64("word"), F.lit(8)))
-    spread.sortWithinPartitions("bucket", "word", "current_url").withColumn("seq", F.monotonically_increasing_id()).write.mode(mode).partitionBy("bucket").parquet(path)
+    """Appends postings as Parquet by bucket, each with seq = (batch, place). A writing task holds its buckets together.
+
+    The rebalance lets AQE split a large bucket, even one word's rows, over as many tasks as its size asks for, and join small ones.
+    """
+    rows = rows.withColumn("batch", F.lit(batch).cast("bigint")).hint("rebalance", "bucket")
+    rows.sortWithinPartitions("bucket", "word", "current_url").withColumn("seq", F.monotonically_increasing_id()).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def read(spark: SparkSession, path: str, terms: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from webloom.functions import status as S
 from webloom.functions import text as X
 from webloom.sources import files
 from . import index
+from .lineage import cut
 
 #: Most rows of a page by request; rows up to which a page is found in the same job as the total.
 MOST, FIRST = 100, 10_000
@@ -44,14 +45,20 @@ def page_bounds(total: int, page, size) -> tuple[int, int, int]:
     return (min(max(1, int(page)), pages) if pages else 1), size, pages
 
 
-def page_of(results: DataFrame, keys: list, page: int, size: int) -> DataFrame:
-    """One page in a single plan, with rank, page, total, total_pages, has_prev, has_next; the page is clamped to those there are.
+def numbered(results: DataFrame, keys: list) -> DataFrame:
+    """Adds rank and total. Ranges of the order are sorted apart, so no task holds all results; what goes to all tasks is a row for each range."""
+    ranges = cut(results.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
+    return ranges.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + inside).drop("part", "start")
+
 
-    The results of a query are its matching URLs; where they are too many for one task, use count() and offset().
-    """
+def page_of(results: DataFrame, keys: list, page: int, size: int) -> DataFrame:
+    """One page, with rank, page, total, total_pages, has_prev, has_next; the page is clamped to those there are."""
     size = max(1, int(size))
-    w = Window.orderBy(*keys)
-    rows = results.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn("total", F.count("*").over(Window.partitionBy()))
+    rows = numbered(results, keys)
     rows = rows.withColumn("total_pages", F.ceil(F.col("total") / size).cast("bigint")).withColumn("page", F.least(F.greatest(F.lit(int(page)), F.lit(1)), F.col("total_pages")).cast("bigint"))
     rows = rows.where((F.col("rank") > (F.col("page") - 1) * size) & (F.col("rank") <= F.col("page") * size))
     return rows.withColumns({"page_size": F.lit(size).cast("bigint"), "has_prev": F.col("page") > 1, "has_next": F.col("page") < F.col("total_pages")})

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from webloom.functions import pages as P
 from webloom.functions import status as S
 from webloom.functions import text as X
-from webloom.operators import crawl, index, search, status
+from webloom.operators import crawl, index, lineage, search, status
 from webloom.sources import files
+from webloom.streaming import ingest
 
 TERMS = ["the", "thou", "les", "und", "9", "para"]
 QUERY = "The thou, LES und-the 9 para"
@@ -33,10 +34,11 @@ def _documents(spark, sf_dir):
 
 
 def _index(spark, sf_dir, terms=None):
-    """Postings of documents. With terms, words are filtered in the array, before they are exploded: a filter isn't pushed below that."""
+    """Postings of documents. With terms, words are filtered in the array, before rows are dealt and exploded: a filter isn't pushed below that."""
     docs, words = _documents(spark, sf_dir), X.tokenize(F.col("text"))
     if terms:
-        words = F.filter(words, lambda w: w.isin(terms))
+        docs = docs.withColumn("words", F.filter(words, lambda w: w.isin(terms)))
+        words = F.col("words")
     rows = index.postings(docs, words, F.lit(0))
     return rows.withColumn("seq", F.substring("current_url", 5, 20).cast("bigint"))
 
@@ -72,15 +74,45 @@ def valid_postings(spark, sf_dir):
     return files.valid_postings(rows).select("word", F.col("seq").alias("doc_id"), "frequency")
 
 
+def _stored(spark, sf_dir):
+    """The path of a stored index of documents, written in two appends."""
+    path, rows = lineage.folder(spark, "index"), _index(spark, sf_dir)
+    for batch in (0, 1):
+        index.write(rows.where(F.col("seq") % 2 == batch).drop("seq"), path, batch)
+    return path
+
+
 def bucket_pruned_lookup(spark, sf_dir):
-    return index.lookup(_index(spark, sf_dir, ["thou", "9"]), ["thou", "9"]).select("bucket", "word", F.col("seq").alias("doc_id"), "frequency")
+    rows = index.read(spark, _stored(spark, sf_dir), ["thou", "9"])
+    return rows.select("bucket", "word", F.substring("current_url", 5, 20).cast("bigint").alias("doc_id"), "frequency")
+
+
+def _shards(spark, sf_dir):
+    path = lineage.folder(spark, "shards")
+    files.append_shards(_index(spark, sf_dir).drop("seq"), path)
+    return path
+
+
+def shard_scan(spark, sf_dir):
+    return files.read_shards(spark, _shards(spark, sf_dir)).select("bucket", "word", "origin_url", "current_url", "depth", "frequency", "ts")
+
+
+def shard_lookup(spark, sf_dir):
+    """Of the shards, only those of the terms' buckets are read."""
+    return index.lookup(files.read_shards(spark, _shards(spark, sf_dir), TERMS), TERMS).select("bucket", "word", "current_url", "frequency")
+
+
+def search_request(spark, sf_dir):
+    """A request for the third page of more rows than a page may have, from the stored index."""
+    found = search.SearchEngine(index.read(spark, _stored(spark, sf_dir))).request({"query": QUERY, "sortBy": " Frequency", "page": str(PAGE), "page_size": "5000"})
+    # A page: search.MOST rows at most.
+    rows = spark.createDataFrame(found["results"], "url string, origin_url string, depth int, frequency bigint, relevance_score bigint")
+    return rows.withColumns({c: F.lit(found[c]).cast("bigint") for c in ("total", "page", "page_size", "total_pages")} | {"sort_by": F.lit(found["sortBy"])})
 
 
 def _ranked(spark, sf_dir, sort_by):
     results = search.scored(search.match(_index(spark, sf_dir, TERMS), X.query_terms(QUERY)))
-    # The matching URLs of one query, ranked as a whole.
-    w = search.Window.orderBy(*search.order(sort_by))
-    return results.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return search.numbered(results, search.order(sort_by))
 
 
 def search_triples(spark, sf_dir):
@@ -159,6 +191,21 @@ def visited_dedupe(spark, sf_dir):
     return crawl.unseen(links, table(spark, sf_dir, "pages").select("url"))
 
 
+def visited_load(spark, sf_dir):
+    """The pages, then the links that weren't among them, as a visited table that is appended to and read again."""
+    path, pages = lineage.folder(spark, "visited"), table(spark, sf_dir, "pages").select("url")
+    pages.write.mode("append").text(path)
+    visited_dedupe(spark, sf_dir).write.mode("append").text(path)
+    return files.read_visited(spark, path)
+
+
+def streamed_index(spark, sf_dir):
+    """Pages as a stream: new URLs are indexed as they come, and what is committed is read."""
+    path = lineage.folder(spark, "stream")
+    ingest.index_stream(ingest.page_stream(spark, f"{sf_dir}/pages*.parquet"), f"{path}/index", f"{path}/checkpoint", "seed").awaitTermination()
+    return index.read(spark, f"{path}/index").groupBy("word").agg(F.count("*").alias("n_pages"), F.sum("frequency").alias("total_frequency"))
+
+
 def _graph(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return crawl.lead_over(orders, "o_orderkey", "o_custkey").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("pos"), F.col("next").alias("dst"))
@@ -236,6 +283,25 @@ def job_history(spark, sf_dir):
     return status.history(s)
 
 
+def state_scan(spark, sf_dir):
+    """Snapshots as a folder of one JSON file a job, read again."""
+    path, logs = lineage.folder(spark, "states"), F.col("logs")
+    states = _states(spark, sf_dir).withColumns({"crawler_id": F.col("crawler_id").cast("string"), "logs": S.tail(logs, S.LOG_TAIL)})
+    states.write.option("maxRecordsPerFile", 1).json(path)
+    return status.history(files.read_states(spark, path))
+
+
+def crawler_ids(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", S.crawler_id(F.unix_timestamp(F.col("ts").cast("timestamp")), F.col("user_id")).alias("crawler_id"))
+
+
+def lenient_numbers(spark, sf_dir):
+    """Whole numbers, fractions and words as text."""
+    key = F.col("o_orderkey")
+    said = F.when(key % 3 == 0, F.col("o_orderstatus")).when(key % 3 == 1, key.cast("string")).otherwise(F.col("o_totalprice").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", files.whole(said).alias("number"))
+
+
 def latest_job(spark, sf_dir):
     return status.latest(_states(spark, sf_dir))
 
@@ -254,7 +320,8 @@ def incremental_append(spark, sf_dir):
 _NAMES = (
     tokenize, build_inverted_index, bucket_word, shard_stats, parse_query, term_filter, valid_postings, bucket_pruned_lookup, search_triples, search_frequency, search_relevance, search_page, search_page_past_end,
     first_origin, search_all_terms, document_frequency, html_tokens, extract_links, normalize_url, fetch_outcome, crawl_counters, visited_dedupe, bfs_depth, bfs_max_pages, bfs_visited, queue_depth, throttle_delay,
-    fetch_schedule, state_snapshot, effective_state, back_pressure_status, job_history, latest_job, poll_delta, incremental_append,
+    fetch_schedule, state_snapshot, effective_state, back_pressure_status, job_history, latest_job, poll_delta, incremental_append, shard_scan, shard_lookup,
+    search_request, visited_load, streamed_index, state_scan, crawler_ids, lenient_numbers,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -280,6 +347,8 @@ _LINKS = """l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=
 links AS (SELECT url, CAST(pos AS BIGINT) AS pos, replace(h, '&amp;', '&') AS href, regexp_replace(regexp_replace(regexp_extract(url, '^(https?://[^/]+)', 1) || replace(h, '&amp;', '&'), '#.*$', ''), '\\?$', '') AS target FROM l)"""
 _FETCH = f"{_LINKS}, fetched AS (SELECT DISTINCT u AS url, u IN (SELECT url FROM pages WHERE html IS NOT NULL) AS ok FROM (SELECT target AS u FROM links UNION ALL SELECT url FROM pages))"
 _EDGES = "e AS (SELECT o_custkey AS src, o_orderkey AS pos, lead(o_custkey) OVER (ORDER BY o_orderkey) AS dst FROM orders)"
+_WORDS = """t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, 'var t="</p>"', 'var t=" p "'), '<!--.*?-->', ' ', 'gs'), '<[^<>]*>', ' ', 'g'), '&(copy|middot|quot|nbsp|lt|gt);', ' ', 'g'), '&amp;?', ' ', 'g') AS x FROM pages),
+words AS (SELECT page_id, lower(w) AS word, CAST(count(*) AS BIGINT) AS frequency FROM (SELECT page_id, unnest(regexp_extract_all(x, '[A-Za-z0-9]+')) AS w FROM t) GROUP BY ALL)"""
 _STATES = f"""ev AS (SELECT user_id AS crawler_id, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type, CASE WHEN event_type = 'error' THEN 'throttle: ' || event_id ELSE event_type || ' ' || event_id END AS message FROM events),
 st AS (SELECT crawler_id, CASE arg_max(event_type, seq) WHEN 'purchase' THEN 'finished' WHEN 'signup' THEN 'initializing' ELSE 'running' END AS state, max(ts) AS updated_at, CAST(count(*) AS BIGINT) AS pages_processed,
   CAST(count(*) FILTER (event_type <> 'error') AS BIGINT) AS pages_indexed, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS pages_failed, list(message ORDER BY seq)[-500:] AS logs FROM ev GROUP BY crawler_id)"""
@@ -306,8 +375,7 @@ SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER B
 FROM idx JOIN documents d ON idx.doc_id = d.doc_id WHERE {_IN} AND origin_url <> '' GROUP BY 1""",
     "search_all_terms": f"WITH {_IDX} SELECT url, CAST(sum(frequency) AS BIGINT) AS frequency FROM idx WHERE word IN ('the', 'thou') GROUP BY url HAVING count(DISTINCT word) = 2",
     "document_frequency": f"WITH {_IDX} SELECT word, count(DISTINCT url) AS df, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM idx GROUP BY word",
-    "html_tokens": """WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, 'var t="</p>"', 'var t=" p "'), '<!--.*?-->', ' ', 'gs'), '<[^<>]*>', ' ', 'g'), '&(copy|middot|quot|nbsp|lt|gt);', ' ', 'g'), '&amp;?', ' ', 'g') AS x FROM pages)
-SELECT page_id, lower(w) AS word, CAST(count(*) AS BIGINT) AS frequency FROM (SELECT page_id, unnest(regexp_extract_all(x, '[A-Za-z0-9]+')) AS w FROM t) GROUP BY ALL""",
+    "html_tokens": f"WITH {_WORDS} SELECT page_id, word, frequency FROM words",
     "extract_links": f"WITH {_LINKS} SELECT url, pos, href FROM links",
     "normalize_url": f"WITH {_LINKS} SELECT url, pos, target FROM links",
     "fetch_outcome": f"WITH {_FETCH} SELECT url, ok FROM fetched",
@@ -334,4 +402,14 @@ SELECT url, CAST(min(k) AS INTEGER) AS depth, url % 7 <> 2 AS ok FROM b GROUP BY
 SELECT crawler_id, now_state AS state, log_count, now_state IN ('finished', 'interrupted', 'unknown') AS done, {_PRESSURE.format(logs='logs[-25:]')} AS back_pressure,
   updated_at > {NOW - 86400} OR log_count > 40 OR now_state IN ('finished', 'interrupted', 'unknown') AS changed, CAST(len(new_logs) AS BIGINT) AS n_new, coalesce(new_logs[1], '') AS first_new FROM p""",
     "incremental_append": f"WITH {_IDX} SELECT word, count(*) AS n_rows, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM idx GROUP BY word",
+    "shard_scan": f"WITH {_IDX} SELECT bucket, word, origin_url, url AS current_url, depth, frequency, CAST(0 AS BIGINT) AS ts FROM idx WHERE origin_url <> ''",
+    "shard_lookup": f"WITH {_IDX} SELECT bucket, word, url AS current_url, frequency FROM idx WHERE {_IN} AND origin_url <> ''",
+    "search_request": f"""WITH {_HIT.replace("printf('%020d', doc_id)", "(doc_id % 2) || printf('%020d', doc_id)")}, r AS (SELECT *, row_number() OVER (ORDER BY {_FREQ}) AS rank, count(*) OVER () AS total FROM hit),
+p AS (SELECT *, CAST(ceil(total / 100.0) AS BIGINT) AS total_pages, CAST(least({PAGE}, ceil(total / 100.0)) AS BIGINT) AS page FROM r)
+SELECT url, origin_url, depth, frequency, relevance_score, total, page, CAST(100 AS BIGINT) AS page_size, total_pages, 'frequency' AS sort_by FROM p WHERE rank > (page - 1) * 100 AND rank <= page * 100""",
+    "visited_load": f"WITH {_LINKS} SELECT target AS url FROM links WHERE target IS NOT NULL UNION SELECT url FROM pages",
+    "streamed_index": f"WITH {_WORDS} SELECT word, count(*) AS n_pages, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM words GROUP BY word",
+    "state_scan": f"WITH {_STATES} SELECT CAST(crawler_id AS VARCHAR) AS crawler_id, '' AS origin, state, updated_at, CAST(pages_indexed AS INTEGER) AS pages_indexed, CAST(0 AS INTEGER) AS queue_size FROM st",
+    "crawler_ids": "SELECT event_id, '[' || CAST(floor(epoch(ts)) AS BIGINT) || '_' || user_id || ']' AS crawler_id FROM events",
+    "lenient_numbers": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN o_orderkey ELSE CAST(trunc(o_totalprice) AS BIGINT) END AS number FROM orders",
 }

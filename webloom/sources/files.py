@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,23 @@ def read_shards(spark: SparkSession, root: str, terms: list[str] | None = None)
     return rows.withColumn("seq", F.monotonically_increasing_id())
 
 
+def append_shards(rows: DataFrame, root: str) -> None:
+    """Appends postings with their bucket to the JSON-line shards under root, one folder a bucket. Files appear in a shard once all are written."""
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    new = path(f"{root}/_new-{uuid.uuid4().hex}")
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "word", "current_url").write.partitionBy("bucket").json(new.toString())
+    for made in fs.listStatus(new):
+        if made.isDirectory():
+            shard = path(f"{root}/{made.getPath().getName().removeprefix('bucket=')}.data")
+            fs.mkdirs(shard)
+            for part in fs.listStatus(made.getPath()):
+                if not fs.rename(part.getPath(), path(shard, part.getPath().getName())):
+                    raise OSError(f"not moved: {part.getPath().toString()}")
+    fs.delete(new, True)
+
+
 def read_visited(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("url")).where("url != ''").distinct()
 
