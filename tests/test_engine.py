@@ -232,3 +232,11 @@ def test_shards_are_appended(spark, tmp_path):
     # The Kelvin sign isn't an ASCII letter; a row without origin isn't valid.
     got = sorted((r.word, r.origin_url, r.current_url, r.frequency) for r in files.read_shards(spark, str(tmp_path)).collect())
     assert got == [("9lives", "o", "u1", 1)] * 2 + [("apple", "o", "u1", 2)] * 2
+
+
+def test_occurrences_are_the_terms_of_all_words(spark):
+    texts = ["The the-then THE9 9 the", "ethe \u212athe the\u0130the", "", None, "_the_9.9"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = rows.select(F.filter(X.tokenize(F.col("t")), lambda w: w.isin("the", "9")).alias("x")).collect()
+    assert rows.select(X.occurrences(F.col("t"), ["the", "9"]).alias("x")).collect() == want
+    assert rows.select(X.occurrences(F.col("t"), ["!"]).alias("x")).collect() == [([],)] * 5

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column
@@ -12,10 +13,22 @@ TERM = "[A-Za-z0-9]+"
 BUCKETS = sorted([*"abcdefghijklmnopqrstuvwxyz", "num", "other"])
 
 
+def _lowered(text: Column) -> Column:
+    """Only A-Z are lower-cased, as lower() would make ASCII letters of others."""
+    return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+
+
 def tokenize(text: Column) -> Column:
-    """ASCII letter and digit runs, lower-cased. Only A-Z are, as lower() would make ASCII letters of others."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.array_remove(F.split(lowered, "[^a-z0-9]+"), "")
+    """ASCII letter and digit runs, lower-cased."""
+    return F.array_remove(F.split(_lowered(text), "[^a-z0-9]+"), "")
+
+
+def occurrences(text: Column, terms: list[str]) -> Column:
+    """The words of tokenize() that are among the terms, each as often as it comes, without an array of all words."""
+    words = "|".join(t for t in terms if re.fullmatch("[a-z0-9]+", t))
+    if not words:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(_lowered(text), F.lit(f"(?<![a-z0-9])(?:{words})(?![a-z0-9])"), F.lit(0))
 
 
 def parse_query(text: Column) -> Column:
@@ -24,8 +37,6 @@ def parse_query(text: Column) -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    import re
-
     return list(dict.fromkeys(t.lower() for t in re.findall(TERM, query or "")))
 
 

@@ -14,7 +14,8 @@ def postings(docs: DataFrame, words: Column, ts: Column | None = None) -> DataFr
 
     Pages are dealt by URL before their words are exploded, so the words of a page are counted where they are and never shuffled.
     """
-    rows = docs.repartition("current_url").select("origin_url", "current_url", "depth", F.explode(words).alias("word"))
+    # explode() would have Catalyst test the size of the words first, and so make them twice.
+    rows = docs.repartition("current_url").select("origin_url", "current_url", "depth", F.explode_outer(words).alias("word")).where("word is not null")
     counted = rows.groupBy("word", "origin_url", "current_url", "depth").agg(F.count("*").alias("frequency"))
     return counted.withColumns({"ts": (F.unix_timestamp() if ts is None else ts).cast("bigint"), "bucket": X.bucket(F.col("word"))})
 

@@ -34,10 +34,10 @@ def _documents(spark, sf_dir):
 
 
 def _index(spark, sf_dir, terms=None):
-    """Postings of documents. With terms, words are filtered in the array, before rows are dealt and exploded: a filter isn't pushed below that."""
+    """Postings of documents. With terms, only these are taken from the text, before rows are dealt and exploded: a filter isn't pushed below that."""
     docs, words = _documents(spark, sf_dir), X.tokenize(F.col("text"))
     if terms:
-        docs = docs.withColumn("words", F.filter(words, lambda w: w.isin(terms)))
+        docs = docs.withColumn("words", X.occurrences(F.col("text"), terms))
         words = F.col("words")
     rows = index.postings(docs, words, F.lit(0))
     return rows.withColumn("seq", F.substring("current_url", 5, 20).cast("bigint"))
