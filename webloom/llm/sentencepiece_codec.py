@@ -45,6 +45,10 @@ class Codec:
         self.known = bpe.Memo(kept)
         self.text_of = [c or "" for c in self.bpe.codes]
         self.byte_of = {t: b for b, t in enumerate(self.fallback)}
+        self.raw_of = [c.encode("utf-8", "replace") for c in self.text_of]
+        for t, b in self.byte_of.items():
+            self.raw_of[t] = bytes([b])
+        self.says = np.array([bool(x) for x in self.raw_of])
 
     def _final(self, ids: list[int], segment: str) -> bytes:
         """Ids as 4 bytes each; what is outside the vocabulary becomes its bytes."""
@@ -85,15 +89,13 @@ class Codec:
         return [np.frombuffer(b"".join(map(get, p)), "<i4") for p in parts]
 
     def decode(self, ids) -> str:
-        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
-        if self.byte_of.keys().isdisjoint(ids):
-            try:
-                text = "".join(map(self.text_of.__getitem__, ids)) if min(ids, default=0) >= 0 else "".join(map(self._piece, ids))
-            except IndexError:
-                text = "".join(map(self._piece, ids))
+        ids = np.asarray(ids, np.int64)
+        if not len(ids) or (ids.min() >= 0 and ids.max() < len(self.raw_of) and self.says[ids].all()):
+            # All ids give bytes. A piece is whole characters, so it ends a run of single bytes in any case.
+            text = b"".join(map(self.raw_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
         else:
             out, held = [], bytearray()
-            for t in ids:
+            for t in ids.tolist():
                 if (b := self.byte_of.get(t)) is not None:
                     held.append(b)
                     continue
