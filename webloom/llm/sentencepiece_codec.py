@@ -11,7 +11,8 @@ Where no piece goes across (before a space that follows something else, around l
 whatever comes after. So the text between two such boundaries has the same ids wherever it stands: a text is
 read from boundary to boundary, and commits at each. A stretch that is longer than the window is streamed; the
 windows of shorter ones are filled side by side, AT_ONCE of them (bpe.Bpe.windows), and their ids committed at
-their ends. The ids of a stretch are kept for when it comes again, KEPT bytes at most, until the task ends.
+their ends. The ids of a stretch are kept for when it comes again, KEPT bytes at most, until the task ends;
+digests(), which runs alone, keeps ALONE bytes at most for the worker's next tasks.
 
 Null and empty texts have no ids. Decoding gives the text back but for U+2581, which stands for a space, and
 ids of no piece, which give U+FFFD. Very long texts and stretches are read whole. Rows stay as they are, in
@@ -33,7 +34,7 @@ from .common import plain, quoted, small_batches, trimmed
 from .token_counts import slices, texts_of
 
 #: Bytes that are kept of known stretches: beside the other stages of a pipeline, and by an encoding alone.
-KEPT, ALONE, AT_ONCE, SPACE = 24 << 20, 96 << 20, 1 << 15, "▁"
+KEPT, ALONE, AT_ONCE, SPACE = 24 << 20, 192 << 20, 1 << 15, "▁"
 #: Texts are encoded so many characters at a time.
 SLICE = 1 << 19
 
@@ -115,11 +116,26 @@ def _broadcast(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(open(path, "rb").read())
 
 
-def _coding(data, run, kept: int = KEPT):
-    """run(codec, batches) as a function for mapInArrow. The codec goes with the task: workers live on beside later stages."""
+#: A worker's codec that stays for its next task, by vocabulary: one at most.
+_STAYS: dict[bytes, Codec] = {}
+
+
+def _codec(data: bytes, kept: int, stay: bool) -> Codec:
+    if not stay or data not in _STAYS:
+        _STAYS.clear()
+        found = Codec(data, kept)
+        if not stay:
+            return found
+        _STAYS[data] = found
+    return _STAYS[data]
+
+
+def _coding(data, run, kept: int = KEPT, stay: bool = False):
+    """run(codec, batches) as a function for mapInArrow. The codec goes with the task, as workers live on beside later
+    stages; with stay the worker's next task finds it, with what is known of stretches, and any other coding drops it."""
 
     def code(batches):
-        yield from run(Codec(data.value, kept), batches)
+        yield from run(_codec(data.value, kept, stay), batches)
 
     return trimmed(code)
 
@@ -170,4 +186,4 @@ def digests(docs: DataFrame, path: str, kept: int = ALONE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return small_batches(docs).select("doc_id", "text").mapInArrow(_coding(_broadcast(docs, path), digest, kept), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, round_trip boolean")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_coding(_broadcast(docs, path), digest, kept, stay=True), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, round_trip boolean")
