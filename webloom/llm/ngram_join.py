@@ -24,7 +24,8 @@ the FREQUENT most frequent are broadcast (8 bytes each). The order changes the w
 
 Null and empty texts, and texts without words, have empty sets and link with nothing. Texts of fewer than N
 words have one shingle, all of them. Rows that repeat a doc_id are one document with the links of all. A row
-with a null doc_id links through an equal set only. Only doc_id and text are read.
+with a null doc_id links like others, as a document of its own for each text; a component of such rows only has
+a null component_id. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ DOCS, COLUMNS = 256, 8192
 #: Counts of a row's shingles by hash, a byte each.
 BINS = 256
 _S2 = np.uint64(0xE7037ED1A0B428DB)
+#: Rows without an id get ids from here on, by their text.
+NAMELESS = 1 << 62
 
 
 def sets(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +93,8 @@ def _digests(of: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return size, *((t[end] - t[end - size]).view(np.int64) for t in total)
 
 
-def _describe(n: int):
-    """A row for each document, and a row for each shingle that several sets of a slice share."""
+def _describe(n: int, often: bool = True):
+    """A row for each document and, with often, a row for each shingle that several sets of a slice share."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("h", pa.int64()), ("c", pa.int64())])
 
     def run(batches):
@@ -100,11 +103,13 @@ def _describe(n: int):
             for texts in slices(texts_of(b), SLICE):
                 of, key = sets(texts, n)
                 size, d1, d2 = _digests(of, key, len(texts))
-                _, alone = np.unique(d1, return_index=True)
-                mark = np.zeros(len(texts), bool)
-                mark[alone] = True
-                h, c = np.unique(key[mark[of]], return_counts=True)
-                h, c = h[c >= SEVERAL].view(np.int64), c[c >= SEVERAL]
+                h = c = np.zeros(0, np.int64)
+                if often:
+                    _, alone = np.unique(d1, return_index=True)
+                    mark = np.zeros(len(texts), bool)
+                    mark[alone] = True
+                    h, c = np.unique(key[mark[of]], return_counts=True)
+                    h, c = h[c >= SEVERAL].view(np.int64), c[c >= SEVERAL]
                 k = len(texts)
                 none = lambda m: pa.nulls(m, pa.int64())
                 both = lambda x, m: pa.concat_arrays([pa.array(x, pa.int64()), none(m)])
@@ -120,6 +125,15 @@ def _needed(n, percent):
     return (percent * n + 99) // 100
 
 
+def packed_entries(h: np.ndarray, doc: np.ndarray, size: np.ndarray, block_bits: int) -> list[tuple]:
+    """Entries (hash, document, size) as rows (at, part, n, h, doc, size) of packed columns, by block."""
+    order = np.argsort(h, kind="stable")
+    h, doc, size = h[order], doc[order], size[order].astype(np.uint32)
+    part = h >> np.uint64(64 - block_bits - PARTS)
+    edges = np.flatnonzero(np.diff(part)) + 1
+    return [(*divmod(int(part[x]), 1 << PARTS), int(y - x), pack(differences(h[x:y])), pack(doc[x:y]), pack(size[x:y])) for x, y in zip(np.r_[0, edges], np.r_[edges, len(h)]) if y > x]
+
+
 def _columns(n: int, percent: int, frequent, block_bits: int):
     """Each slice's entries (shingle, document, size), by block."""
     schema = pa.schema([("at", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("doc", pa.binary()), ("size", pa.binary())])
@@ -143,13 +157,7 @@ def _columns(n: int, percent: int, frequent, block_bits: int):
                 rank = np.empty(len(key), np.int64)
                 rank[order] = np.arange(len(key)) - start[of[order]]
                 use = (rank < (size - _needed(size, percent) + 1)[of]) & known[of]
-                h, d = key[use], of[use]
-                order = np.argsort(h, kind="stable")
-                h, d = h[order], d[order]
-                doc = np.array([i or 0 for i in own], np.int64)[d]
-                part = h >> np.uint64(64 - block_bits - PARTS)
-                edges = np.flatnonzero(np.diff(part)) + 1
-                rows = [(*divmod(int(part[x]), 1 << PARTS), int(y - x), pack(differences(h[x:y])), pack(doc[x:y]), pack(size[d[x:y]].astype(np.uint32))) for x, y in zip(np.r_[0, edges], np.r_[edges, len(h)]) if y > x]
+                rows = packed_entries(key[use], np.array([i or 0 for i in own], np.int64)[of[use]], size[of[use]], block_bits)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
@@ -380,44 +388,65 @@ def _rows_of(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return docs.join(few(ids), "doc_id", "left_semi").select("doc_id", "text")
 
 
+def _sided(table: DataFrame, side: str, names: dict) -> DataFrame:
+    return table.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{x}{side}") for c, x in names.items()))
+
+
+class Columns:
+    """Candidates by the product's columns and counts by bin. A method gives the product's entries, and what may be similar of its pairs."""
+
+    often = True
+
+    def __init__(self, n: int, percent: int, block: int = BLOCK):
+        self.n, self.percent, self.block = n, percent, block
+
+    def entries(self, alone: DataFrame, described: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+        often = described.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
+        by_count = often.sort_values(["c", "h"])["h"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(by_count)
+        frequent = scratch.spark.sparkContext.broadcast((by_count[order], order))
+        entries = (classes.agg(F.sum(F.col("n") * (100 - self.percent) / 100 + 1).alias("e")).first().e or 0) // self.block
+        return alone.mapInArrow(trimmed(_columns(self.n, self.percent, frequent, int(entries).bit_length())), "at long, part long, n long, h binary, doc binary, size binary")
+
+    def possible(self, product: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+        """a, b"""
+        pairs = product.where("b is not null").groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("na", "nb", "star")), F.sum("shared").alias("shared"))
+        asked = F.expr(f"({self.percent} * (na + nb) + {99 + self.percent}) div {100 + self.percent}")
+        rest = F.greatest(*(F.expr(f"({self.percent} * {c} + 99) div 100 - 1") for c in ("na", "nb")))
+        pairs = scratch.write(pairs.where(F.col("star") | (F.col("shared") + rest >= asked)).select("a", "b"))
+        counts = scratch.write(_rows_of(pairs, docs, scratch).mapInArrow(trimmed(_counts(self.n)), "doc_id long, n long, bins binary"))
+        both = pairs
+        for side in ("a", "b"):
+            both = both.join(_sided(counts, side, {"n": "n", "bins": "b"}), side)
+        pairs = scratch.write(both.mapInArrow(trimmed(_possible(self.percent)), "a long, b long").distinct())
+        scratch.drop(counts)
+        return pairs
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
-    counts = scratch.write(_rows_of(pairs, docs, scratch).mapInArrow(trimmed(_counts(n)), "doc_id long, n long, bins binary"))
-    side = lambda c: counts.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"b{c}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    pairs = scratch.write(both.mapInArrow(trimmed(_possible(percent)), "a long, b long").distinct())
-    scratch.drop(counts)
-    texts = scratch.write(_rows_of(pairs, docs, scratch))
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    texts, both = scratch.write(_rows_of(pairs, docs, scratch)), pairs.select("a", "b")
+    for side in ("a", "b"):
+        both = both.join(_sided(texts, side, {"text": "t"}), side)
     links = scratch.write(both.mapInArrow(trimmed(_similar(n, percent)), "a long, b long").distinct())
     scratch.drop(texts)
     return links
 
 
-def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK, method=None) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram")
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = scratch.write(docs.mapInArrow(trimmed(_describe(n)), "doc_id long, n long, d1 long, d2 long, h long, c long"))
+    scratch, method = Scratch(docs.sparkSession, "ngram"), method or Columns(n, percent, block)
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS >> 1))
+    docs = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), nameless).alias("doc_id"), "text")
+    described = scratch.write(docs.mapInArrow(trimmed(_describe(n, method.often)), "doc_id long, n long, d1 long, d2 long, h long, c long"))
     rows = described.where("n is not null").select("doc_id", "n", "d1", "d2")
     classes = scratch.write(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")))
-    often = described.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
-    by_count = often.sort_values(["c", "h"])["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(by_count)
-    frequent = spark.sparkContext.broadcast((by_count[order], order))
     # Copies of a class are left out of the product, but for ids that also stand for a class.
     several = classes.where("m > 1").drop("m")
     copies = rows.join(several, ["n", "d1", "d2"]).where("doc_id != rep").select("doc_id").distinct()
     copies = scratch.write(copies.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"))
-    entries = (classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1).alias("e")).first().e or 0) // block
     alone = docs.join(few(copies), "doc_id", "left_anti")
-    columns = alone.mapInArrow(trimmed(_columns(n, percent, frequent, int(entries).bit_length())), "at long, part long, n long, h binary, doc binary, size binary")
-    product = scratch.write(columns.groupBy("at").applyInArrow(_product(percent), "a long, b long, na long, nb long, shared long, star boolean, list long"))
-    pairs = product.where("b is not null").groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("na", "nb", "star")), F.sum("shared").alias("shared"))
-    asked = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
-    rest = F.greatest(*(F.expr(f"({percent} * {c} + 99) div 100 - 1") for c in ("na", "nb")))
-    pairs = scratch.write(pairs.where(F.col("star") | (F.col("shared") + rest >= asked)).select("a", "b"))
-    links = _verified(pairs, docs, scratch, n, percent)
+    product = scratch.write(method.entries(alone, described, classes, scratch).groupBy("at").applyInArrow(_product(percent), "a long, b long, na long, nb long, shared long, star boolean, list long"))
+    links = _verified(method.possible(product, docs, scratch), docs, scratch, n, percent)
     # Rows that repeat a doc_id with another text tie their classes.
     ties = rows.where("n > 0").join(classes.drop("m"), ["n", "d1", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
     edges = scratch.write(links.unionByName(ties))
@@ -442,8 +471,9 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
     # Only classes in a component of several, or with several rows, say more than a row's own id.
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     named = scratch.write(named.where("m > 1 or component_id != rep").select("n", "d1", "d2", "component_id"))
-    out = rows.join(named, ["n", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.join(named, ["n", "d1", "d2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    real = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
+    return out.select(real("doc_id"), F.col("n").alias("n_shingles"), real("component_id"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_extract, langid, mixing, ngram_join, sentencepiece_codec, sharding, substring_dedup, token_counts
+from . import ann, bbit_minhash, centroids, exact_dedup, hard_negatives, html_extract, langid, mixing, ngram_join, sentencepiece_codec, sharding, substring_dedup, token_counts
 from .common import Scratch, few
 
 
@@ -68,13 +68,56 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_html_extraction, op4_ngram_join, op5_sentencepiece, op6_exact_dedup, op7_sharding, op8_nearest_neighbours, op9_mixing, op10_token_counts)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit_minhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_html_extraction, op4_ngram_join, op5_sentencepiece, op6_exact_dedup, op7_sharding, op8_nearest_neighbours, op9_mixing, op10_token_counts, op11_centroid_clustering, op12_hard_negatives, op13_minhash)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SIZE = r"CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT)"
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+
+def _linked(n: int, percent: int, columns: str) -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - {n - 1}), lambda k: array_to_string(w[k : k + {n - 1}], ' '))) END AS g FROM d WHERE len(w) > 0),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(g), 0) AS BIGINT) AS n_shingles, {columns} FROM d JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
+def _lloyd(k: int, rounds: int) -> str:
+    """Each round as two tables: assignments, and centroids by their floor divisions."""
+    near = "a{i} AS MATERIALIZED (SELECT vec_id, q, min_by(k, struct_pack(d := d, k := k)) AS k, min(d) AS d FROM (SELECT vec_id, v.q, k, CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{i} c) GROUP BY vec_id, q)"
+    move = """c{j} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN (
+  SELECT k, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY p) AS q FROM (SELECT k, p, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(q) AS x, generate_subscripts(q, 1) AS p FROM a{i}) GROUP BY k, p) GROUP BY k) m USING (k))"""
+    steps = [x.format(i=i, j=i + 1) for i in range(rounds) for x in (near, move)] + [near.format(i=rounds)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, q FROM v QUALIFY k < {k}),
+{", ".join(steps)},
+t AS (SELECT k, CAST(sum(d) AS BIGINT) AS s FROM a{rounds} GROUP BY k)
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, a.d AS distance, t.s AS cluster_inertia, (SELECT CAST(sum(s) AS BIGINT) FROM t) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN t USING (k) JOIN c{rounds} c USING (k)"""
+
+
 SQL = {
     "op2_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
@@ -84,16 +127,7 @@ g AS (SELECT DISTINCT doc_id, unnest(generate_series(k, k + 49)) AS i FROM v JOI
 x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
 y AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)""",
-    "op4_ngram_join": f"""
-WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 3), lambda k: array_to_string(w[k : k + 3], ' '))) END AS g FROM d WHERE len(w) > 0),
-x AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
-e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
-r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a),
-c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
-SELECT doc_id, CAST(coalesce(len(g), 0) AS BIGINT) AS n_shingles, component_id FROM d JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op4_ngram_join": _linked(4, 85, "component_id"),
     "op6_exact_dedup": f"""
 WITH d AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM d GROUP BY norm)
@@ -111,4 +145,13 @@ e AS (SELECT *, CAST(least(floor(target + 0.5), 3 * source_size) AS BIGINT) AS b
 x AS (SELECT doc_id, size, key, source_size, target, budget // greatest(source_size, 1) AS epochs, budget % greatest(source_size, 1) AS rest,
   CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id) - size AS BIGINT) AS lead FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - lead)) AS BIGINT) AS taken FROM x""",
+    "op11_centroid_clustering": _lloyd(8, 10),
+    "op12_hard_negatives": """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
+    "op13_minhash": _linked(2, 80, "component_id, doc_id = component_id AS kept"),
 }
