@@ -416,6 +416,34 @@ def test_sharding(spark, tmp_path):
     assert key(store.read()) == key(docs)
 
 
+def test_vacuum_spares_writers_and_readers(spark, tmp_path):
+    """An append in flight keeps its files through a vacuum, and commits on the version that has come meanwhile; a reader keeps those of its version."""
+    docs = documents(spark, [(k, f"text {k}" * 50) for k in range(60)])
+    store, other = (sharding.Store(spark, f"file://{tmp_path}/s", target=40_000, fan=2) for _ in range(2))
+    key = lambda d: sorted(map(repr, d.select(*docs.columns).collect()))
+    for k in range(3):
+        store.append(docs.where(f"doc_id % 4 = {k}"))
+    publish = other.publish
+
+    def late(*commit):
+        # Written, not committed: others merge, append and clean up.
+        assert store.compact()["version"] == 4 and store.vacuum() == 0
+        store.append(docs.where("false"))
+        assert store.vacuum() > 0 and store.vacuum() == 0
+        return publish(*commit)
+
+    other.publish = late
+    assert other.append(docs.where("doc_id % 4 = 3"))["version"] == 6
+    assert key(store.read()) == key(docs) and store.read(5).count() == 45
+    with pytest.raises(Exception, match="manifest|exist"):
+        store.read(1)
+    # Files that nobody has listed go after their lease; a merge of shards that are gone doesn't commit.
+    docs.write.parquet(f"file://{tmp_path}/s/shards/a-lost")
+    assert store.vacuum() == 0 and store.vacuum(lease=-60) > 0 and key(store.read()) == key(docs)
+    with pytest.raises(sharding.Conflict):
+        store.publish([], {"a-lost/x"})
+
+
 def test_two_writers(spark, tmp_path):
     """Of two commits of one version at once exactly one holds, on a file system whose renames replace files."""
     from concurrent.futures import ThreadPoolExecutor

@@ -11,9 +11,14 @@ read, so a job that fails, or an executor that is lost, leaves the last version
 A version is committed by writing the next manifest in a folder under a temporary name and renaming that
 folder. A folder that isn't empty is never replaced: of two writers the first rename gives the version its
 name, and the second fails or puts its folder inside. So each looks which manifest the version has, and the
-one that finds another's raises Conflict; the caller starts again from the newer version. That needs a file
-system whose renames of folders are atomic (local, HDFS). Readers open the manifest with the highest number.
-vacuum() removes files that neither of the last versions lists.
+one that finds another's raises Conflict. An append, or a merge whose shards are still listed, then commits to
+the newer version instead, without writing its data again. That needs a file system whose renames of folders
+are atomic (local, HDFS). Readers open the manifest with the highest number.
+
+A manifest also names the shards that its version removed. vacuum() deletes those of versions before the last
+`keep`, with their manifests, so whoever reads one of the last versions keeps its files; and files that no
+manifest has ever listed if they are older than a lease, so an append or merge that isn't committed yet keeps
+its files, too. A write that takes longer than the lease must ask for a longer one.
 
 A manifest has a line for each shard, (name, rows, bytes, tier, version that added it), not for each row.
 Rows are kept as they are, nulls, very long texts, repeated rows and all columns but one named shard, which
@@ -24,6 +29,7 @@ without rows, raises FileNotFoundError.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
@@ -32,7 +38,11 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch, free_name
+
 TARGET, FAN, SMALL, ROWS, AT_ONCE = 128 << 20, 4, 8, 1_000_000, 8
+#: Seconds for which files that no manifest lists are left to their writer; versions that a commit tries, where others commit.
+LEASE, TRIES = 24 * 3600, 20
 
 
 class Conflict(RuntimeError):
@@ -67,13 +77,25 @@ class Store:
         finally:
             stream.close()
 
+    def publish(self, added: list[dict], removed: set[str]) -> dict:
+        """A commit on the newest version there is, again if another writer is first. Raises Conflict if a removed shard isn't listed any more."""
+        for k in range(TRIES):
+            base = self.manifest()
+            if not removed <= {s["name"] for s in base["shards"]}:
+                raise Conflict("another writer has removed the same shards")
+            try:
+                return self.commit(base, added, removed)
+            except Conflict:
+                time.sleep(0.05 * k)
+        raise Conflict(f"others committed {TRIES} times")
+
     def commit(self, base: dict, added: list[dict], removed: set[str]) -> dict:
         """The version after base. The first rename decides between writers."""
         v, writer = base["version"] + 1, uuid.uuid4().hex
         shards = [s for s in base["shards"] if s["name"] not in removed] + [s | {"added": v} for s in added]
         final, temp = self.path(self._manifest(v)), self.path(f"{self.root}/manifests/.{writer}")
         out = self.fs.create(self.path(f"{temp}/manifest.json"), True)
-        out.write(json.dumps({"version": v, "writer": writer, "shards": shards}).encode())
+        out.write(json.dumps({"version": v, "writer": writer, "shards": shards, "removed": sorted(removed)}).encode())
         out.close()
         if not self.fs.exists(final):
             try:
@@ -113,7 +135,7 @@ class Store:
             added += [s for s in todo if s not in large]
             with ThreadPoolExecutor(AT_ONCE) as pool:
                 todo = [x for xs in pool.map(lambda s: self._pieces(s, most), large) for x in xs]
-        return self.commit(base, added, set())
+        return self.publish(added, set())
 
     def _pieces(self, shard: dict, most: int) -> list[dict]:
         """A shard that isn't listed yet, written again as at least two files of about `most` bytes; the old file goes."""
@@ -165,7 +187,7 @@ class Store:
 
         with ThreadPoolExecutor(AT_ONCE) as pool:
             added = [x for xs in pool.map(merge, runs) for x in xs]
-        return self.commit(base, added, {s["name"] for r in runs for s in r})
+        return self.publish(added, {s["name"] for r in runs for s in r})
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with shard (its name)."""
@@ -175,26 +197,49 @@ class Store:
         rows = self.spark.read.parquet(*(f"{self.root}/shards/{s['name']}" for s in shards))
         return rows.withColumn("shard", F.concat_ws("/", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), F.col("_metadata.file_name")))
 
-    def vacuum(self, keep: int = 2) -> int:
-        """Deletes shards that none of the last `keep` versions lists."""
-        v = self.version()
-        listed = {s["name"] for k in range(max(1, v - keep + 1), v + 1) for s in self.manifest(k)["shards"]}
-        gone = 0
+    def vacuum(self, keep: int = 2, lease: float = LEASE) -> int:
+        """Deletes what none of the last `keep` versions lists, see above. The number of files deleted."""
+        manifests = self.path(f"{self.root}/manifests")
+        versions = sorted(int(n) for n in (x.getPath().getName() for x in self.fs.listStatus(manifests)) if n.isdigit())
+        if not versions:
+            return 0
+        kept = [self.manifest(v) for v in versions[-keep:]]
+        listed, gone, late = {s["name"] for m in kept for s in m["shards"]}, 0, time.time() * 1000 - lease * 1000
+        delete = lambda path: bool(self.fs.delete(path, True))
+        # What the first of the kept versions removed is listed by versions before it only.
+        for name in (n for v in versions[1 : max(0, len(versions) - keep) + 1] for n in self.manifest(v)["removed"]):
+            if name not in listed:
+                gone += delete(self.path(f"{self.root}/shards/{name}"))
         for folder in self.fs.listStatus(self.path(f"{self.root}/shards")):
-            for f in self.fs.listStatus(folder.getPath()):
-                name = f"{folder.getPath().getName()}/{f.getPath().getName()}"
-                if name.endswith(".parquet") and name not in listed:
-                    gone += bool(self.fs.delete(f.getPath(), False))
+            files = [f for f in self.fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet")]
+            old = [f for f in files if f.getModificationTime() < late and f"{folder.getPath().getName()}/{f.getPath().getName()}" not in listed]
+            gone += sum(delete(f.getPath()) for f in old)
+            if len(old) == len(files) and folder.getModificationTime() < late:
+                delete(folder.getPath())
+        for v in versions[:-keep]:
+            delete(self.path(self._manifest(v)))
         return gone
 
 
 def sharded(docs: DataFrame, root: str, arrivals: int = 1, target: int = TARGET, fan: int = FAN) -> Store:
-    """A store of docs at root: after each of the arrivals (by a hash of doc_id) is appended, runs are merged until none is left."""
-    store = Store(docs.sparkSession, root, target, fan)
+    """A store of docs at root: after each of the arrivals (by a hash of doc_id) is appended, runs are merged until none is left.
+
+    Docs are read once and dealt to a folder for each arrival, which goes as soon as it is appended. The last two versions stay readable.
+    """
+    spark, store = docs.sparkSession, Store(docs.sparkSession, root, target, fan)
+    path, own = Scratch(spark, "arrivals").root, free_name(docs.columns, "arrival")
+    if arrivals > 1:
+        docs.withColumn(own, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)).cast("int")).write.option("compression", "zstd").partitionBy(own).parquet(path)
     for k in range(arrivals):
-        mine = docs if arrivals == 1 else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k)
-        store.append(mine)
+        mine = store.path(f"{path}/{own}={k}")
+        if arrivals == 1:
+            store.append(docs)
+        elif store.fs.exists(mine):
+            store.append(spark.read.schema(docs.schema).parquet(mine.toString()))
+            store.fs.delete(mine, True)
+        else:
+            store.append(docs.where("false"))
         while (before := store.version()) != store.compact()["version"]:
             if store.version() > before:
-                store.vacuum(1)
+                store.vacuum()
     return store
