@@ -397,6 +397,67 @@ def test_html_drawings():
         assert html_extract.extract(f"{page}<script>'<svg>'</script><article><p><svg><text>no</text></svg>four</p></article>") == "one two three four"
 
 
+def test_html_forms_and_names():
+    """A form around a page isn't a form within it; names count as a whole."""
+    long = "long " * 150
+    inner = f"<h1>Head</h1><p>{long}</p><label>L</label><input value=x><select><option>o</select><button>b</button>"
+    assert html_extract.extract(f"<body><form id=aspnet><div class=post>{inner}</div></form>") == f"Head {long}".strip()
+    assert html_extract.extract("<body><form><article><p>short</p></article></form>") == "short"
+    assert html_extract.extract(f"<body><article><p>{long}</p><form><p>Leave a reply here</p><input></form><p>end</p></article>") == f"{long}end"
+    for name in ("related-work", "notice-period", "menu_theory", "headerFields", "shareholders", "search-results-analysis"):
+        assert html_extract.extract(f'<body><article><p>{long}</p><section id="{name}"><p>part</p></section><p class="{name}">more</p></article>') == f"{long}part more"
+    for name in ("related", "related-posts", "notice", "share-buttons", "comments", "ad-slot-2", "cookie-bar", "headerSearch", "sidebarLeft", "site-notice"):
+        assert html_extract.extract(f'<body><article><p>{long}</p><div id="{name}"><p>part</p></div></article>') == long.strip()
+
+
+def test_html_of_any_depth():
+    """Time and memory in proportion to the page, whatever is nested or left open."""
+    import time
+    import tracemalloc
+
+    n = 100_000
+    for source, want in ((f"{'<div>' * n}deep", "deep"), ("<div>t " * n, "t " * n), ("<div><p>t</p></span></li>" * n, "t " * n), (f"<ul>{'<li><b>t' * n}", "t " * n)):
+        tracemalloc.start()
+        began = time.perf_counter()
+        assert html_extract.extract(source) == want.strip()
+        took, (_, peak) = time.perf_counter() - began, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert peak < 200 << 20 and took < 60
+
+
+def _generated(rnd, host):
+    """(html, article): a page of a host's layout around an article of random blocks."""
+    words = lambda k: " ".join(f"w{rnd.randint(0, 999)}" for _ in range(k))
+    blocks = [words(rnd.randint(30, 80)) for _ in range(rnd.randint(3, 9))]
+    title, tag = words(5), ["p", "p", "blockquote", "div", "li"]
+    body = "".join(f"<ul><li>{b}</li></ul>" if t == "li" else f"<{t}>{b}</{t}>" for b in blocks for t in [rnd.choice(tag)])
+    menu = "".join(f'<li><a href="/{k}">{words(2)}</a></li>' for k in range(rnd.randint(3, 30)))
+    ad = f'<div class="ad-{rnd.randint(1, 9)}"><p>{words(40)}</p></div>'
+    article = f"<h1>{title}</h1>{body[: (cut := body.find('<', len(body) // 2))]}{ad if rnd.random() < 0.5 and body[cut : cut + 2] != '</' and '<ul>' not in body else ''}{body[cut:]}"
+    comments = f'<section id="comments"><p>{words(rnd.randint(20, 200))}</p></section>'
+    side = f'<aside><p>{words(rnd.randint(10, 300))}</p></aside>'
+    shell = [
+        f"<header><ul>{menu}</ul></header><article>{article}</article>{side}{comments}<footer>{words(20)}</footer>",
+        f'<nav>{menu}</nav><div class="wrap">{side}<div class="post p{rnd.randint(1, 99)}">{article}</div>{comments}</div><div id="footer">{words(20)}</div>',
+        f'<form method=post><div id="menu"><ul>{menu}</ul></div><main>{article}</main><div class="newsletter-signup"><p>{words(30)}</p><input></div></form>',
+        f'<table><tr><td class="sidebar"><ul>{menu}</ul><p>{words(60)}</p></td><td class="story">{article}</td></tr></table><script>"{words(400)}</p>"</script>',
+    ][host % 4]
+    return f"<!doctype html><html><head><title>{title}</title><style>p {{}}</style></head><body>{shell}</body></html>", " ".join([title, *blocks])
+
+
+def test_html_of_known_articles(spark):
+    """Generated pages of several hosts whose articles are known; joined by a broadcast, and by salted hosts."""
+    rnd = random.Random(12)
+    rows, want = [], {}
+    for i in range(240):
+        source, want[i] = _generated(rnd, i % 8)
+        rows.append((i, f"https://h{i % 8}.example/{i}", source))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for most in (html_extract.MOST_HOSTS, 3):
+        assert {r.page_id: r.text for r in html_extract.main_texts(pages, most_hosts=most).collect()} == want
+        assert html_extract.main_texts(pages.where("false"), most_hosts=most).collect() == []
+
+
 def test_sharding(spark, tmp_path):
     docs = documents(spark, [(k, f"text {k}" * 50) for k in range(400)] + [(None, None), (1, "x")])
     store = sharding.Store(spark, f"file://{tmp_path}/s", target=40_000, fan=3)
