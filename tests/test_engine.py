@@ -195,6 +195,54 @@ def test_crawl_that_fetches(spark, tmp_path, site):
     assert few.state["visited_pages"] == [f"{root}/", f"{root}/a"] and any("max_pages" in x for x in few.state["logs"])
 
 
+def test_crawl_that_dies(spark, tmp_path, site, monkeypatch):
+    """A job that can't write its index fails by state; what it had claimed is fetched and indexed by the next one, and counts once."""
+    root, asked = site
+    places = {"visited_file": f"{tmp_path}/visited", "storage_dir": f"{tmp_path}/index", "state_dir": f"{tmp_path}/states"}
+    with monkeypatch.context() as m:
+        m.setattr(job.Segments, "append_pages", lambda *a, **b: 1 / 0)
+        name, dead = job.start_crawler_job(spark, f"{root}/", 1, hit_rate=0, **places)
+        dead.join(60)
+    got = job.poll_request(lambda n: job.read_state(spark, places["state_dir"], n), {"crawler_id": name})
+    assert (got["state"], got["done"], got["pages_indexed"]) == ("failed", True, 0) and "ZeroDivisionError" in got["new_logs"][-1]
+    assert [b["n"] for b in dead.visited.pending()] == [1]
+    _, again = job.start_crawler_job(spark, f"{root}/b", 0, hit_rate=0, **places)
+    again.join(120)
+    assert again.state["state"] == "finished" and not again.visited.pending() and sorted(asked) == ["/", "/", "/a", "/b", "/gone"]
+    rows = index.read(spark, places["storage_dir"])
+    assert {(r.origin_url, r.current_url, r.depth) for r in rows.collect()} == {(f"{root}/", f"{root}{p}", d) for p, d in (("/", 0), ("/a", 1), ("/b", 1))}
+    assert rows.where("word = 'two'").first().frequency == 2
+    assert again.state["pages_processed"] == again.state["pages_indexed"] + again.state["pages_failed"] == 4
+
+
+def test_two_crawls_at_once(spark, tmp_path, site):
+    """Two jobs on the same visited URLs fetch no page twice; data aren't cleared while they run."""
+    root, asked = site
+    places = {"visited_file": f"{tmp_path}/visited", "storage_dir": f"{tmp_path}/index", "state_dir": f"{tmp_path}/states"}
+    jobs = [job.start_crawler_job(spark, f"{root}/", 2, hit_rate=0, **places)[1] for _ in range(2)]
+    assert index.clear(spark, [str(tmp_path)]) == (False, {})
+    for j in jobs:
+        j.join(180)
+    assert sorted(asked) == ["/", "/a", "/b", "/deep", "/gone"] and {j.state["state"] for j in jobs} == {"finished"}
+    assert sum(j.state["pages_processed"] for j in jobs) == 5 and index.read(spark, places["storage_dir"]).where("word = 'two'").count() == 1
+
+
+def test_all_failures_are_lines(spark, tmp_path, monkeypatch):
+    """A level with more failures than the log holds: all are counted, the last are held, and a client gets each held line once."""
+    n = 620
+    places = (f"{tmp_path}/visited", f"{tmp_path}/index", f"{tmp_path}/states")
+    j = job.Job(spark, "http://127.0.0.1:9/", 0, 0, 10, None, places, 1.0)
+    level = spark.range(n).select(F.concat(F.lit("http://127.0.0.1:9/"), "id").alias("url"), F.array("id").alias("key"))
+    mine, k = j.visited.claim(level, "x", {"job": "x"})
+    j._level(mine, {"name": "x", "n": k}, "o", 0)
+    assert (j.state["pages_failed"], j.state["log_count"], len(j.state["logs"])) == (n, n + 1, 500) and j.state["logs"][-1].split()[3] == f"http://127.0.0.1:9/{n - 1}:"
+    ask = lambda at: job.poll_request(lambda i: j.state, {"crawler_id": "x", "since_log_index": str(at), "since_updated": "9999999999", "timeout": "1"}, lambda i: True, pause=0.05)
+    assert len(ask(0)["new_logs"]) == 500 and ask(n - 1)["new_logs"] == j.state["logs"][-2:] and ask(n + 1)["new_logs"] == []
+    j._say("one more")
+    j._save()
+    assert ask(n + 1)["new_logs"] == j.state["logs"][-1:] and ask(n + 1)["log_count"] == n + 2
+
+
 def test_requests(spark):
     with pytest.raises(ValueError):
         job.poll_request(lambda n: None, {})

@@ -41,8 +41,10 @@ def write(rows: DataFrame, path: str, batch: int = 0, mode: str = "append") -> N
 
 
 def read(spark: SparkSession, path: str, terms: list[str] | None = None) -> DataFrame:
-    """The stored index; with terms only their partitions are listed and read."""
-    rows = spark.read.parquet(path)
+    """The stored index, in segments or plain; with terms only their partitions are listed and read."""
+    from .segments import Segments
+
+    rows = Segments(spark, path).read() if Segments.at(spark, path) else spark.read.parquet(path)
     return rows if terms is None else lookup(rows, terms)
 
 
@@ -62,8 +64,10 @@ def shard_stats(rows: DataFrame) -> DataFrame:
 
 
 def clear(spark: SparkSession, paths: list[str]) -> tuple[bool, dict[str, int]]:
-    """Deletes stored data; refuses while a streaming query runs. Gives the number of files deleted for each path."""
-    if any(q.isActive for q in spark.streams.active):
+    """Deletes stored data; refuses while a crawl job or a streaming query runs. Gives the number of files deleted for each path."""
+    from . import job
+
+    if job.any_alive() or any(q.isActive for q in spark.streams.active):
         return False, {}
     out = {}
     for p in paths:

@@ -38,6 +38,27 @@ def ranked(rows: DataFrame, terms: list[str], sort_by: str = "relevance") -> Dat
     return scored(match(rows, terms)).orderBy(*order(sort_by))
 
 
+def top_changes(old: DataFrame, new: DataFrame, terms: list[str], k: int, sort_by: str = "relevance") -> DataFrame:
+    """url, change (entered, left or moved), old_rank, new_rank (0: not among them): what differs between the first k results over two versions of an index."""
+    first = lambda rows, name: numbered(scored(match(rows, terms)).orderBy(*order(sort_by)).limit(k), order(sort_by)).select("url", F.col("rank").cast("bigint").alias(name))
+    both = first(old, "old_rank").join(first(new, "new_rank"), "url", "full")
+    change = F.when(F.col("old_rank").isNull(), "entered").when(F.col("new_rank").isNull(), "left").when(F.col("old_rank") != F.col("new_rank"), "moved")
+    return both.select("url", change.alias("change"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("old_rank", "new_rank"))).where("change is not null")
+
+
+def updates(old: DataFrame, added: DataFrame, terms: list[str]) -> DataFrame:
+    """url, change (entered or changed) and the new result of each URL that added rows touch; the other results are as they were.
+
+    old: the rows of the version before; of these only the touched URLs' are matched again.
+    """
+    added = index.lookup(added, terms)
+    touched = files.valid_postings(added).select("current_url").distinct()
+    held = index.lookup(old, terms).join(touched, "current_url", "left_semi")
+    before = match(held, terms).select("url", F.lit(True).alias("was"))
+    rows = scored(match(held.unionByName(added), terms)).join(before, "url", "left")
+    return rows.withColumn("change", F.when(F.col("was"), "changed").otherwise("entered")).drop("was")
+
+
 def page_bounds(total: int, page, size) -> tuple[int, int, int]:
     """(page, size, pages)"""
     size = max(1, int(size))

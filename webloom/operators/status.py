@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import status as S
 
 QUEUE_SHOWN = 200
-TERMINAL = ("finished", "interrupted", "unknown")
+TERMINAL = ("finished", "interrupted", "unknown", "failed")
 
 
 def snapshots(events: DataFrame, state) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from webloom.functions import pages as P
 from webloom.functions import status as S
 from webloom.functions import text as X
-from webloom.operators import crawl, index, lineage, search, status
-from webloom.sources import files
+from webloom.operators import crawl, index, lineage, ranking, search, segments, status
+from webloom.sources import files, manifests, visited
 from webloom.streaming import ingest
 
 TERMS = ["the", "thou", "les", "und", "9", "para"]
@@ -33,16 +33,35 @@ def _documents(spark, sf_dir):
     )
 
 
-def _index(spark, sf_dir, terms=None):
-    """Postings of documents. With terms, only these are taken from the text, before rows are dealt and exploded: a filter isn't pushed below that."""
-    docs, words = _documents(spark, sf_dir), X.tokenize(F.col("text"))
-    if terms:
-        docs = docs.withColumn("words", X.occurrences(F.col("text"), terms))
-        words = F.col("words")
-    rows = index.postings(docs, words, F.lit(0))
+def _index(spark, sf_dir):
+    """Postings of documents."""
+    rows = index.postings(_documents(spark, sf_dir), X.tokenize(F.col("text")), F.lit(0))
     return rows.withColumn("seq", F.substring("current_url", 5, 20).cast("bigint"))
 
 
+#: Arrivals of documents, by doc_id; the URLs of pages that come with several of them.
+BATCHES, AGAIN = 3, 97
+_STORED: dict[tuple, segments.Segments] = {}
+
+
+def _segments(spark, sf_dir, again=False) -> segments.Segments:
+    """The stored index of documents, in three batches. It is built once for a session and table, and read by each search.
+
+    again: documents are what was found at AGAIN URLs, each with many arrivals.
+    """
+    path, fs = manifests.file_system(spark, f"{sf_dir}/documents.parquet")
+    held = fs.getContentSummary(path)
+    key = (spark.sparkContext.applicationId, sf_dir, again, held.getLength(), held.getFileCount(), fs.getFileStatus(path).getModificationTime())
+    if key not in _STORED:
+        made, docs = segments.Segments(spark, lineage.folder(spark, "segments")), _documents(spark, sf_dir).withColumn("seq", F.col("doc_id"))
+        if again:
+            docs = docs.withColumn("current_url", F.concat(F.lit("page/"), F.col("doc_id") % AGAIN))
+        for k in range(BATCHES):
+            made.append(docs.where(F.col("doc_id") % BATCHES == k), X.tokenize(F.col("text")), f"documents {k}", F.lit(0))
+        _STORED[key] = made
+    return _STORED[key]
+
+
 def tokenize(spark, sf_dir):
     words = X.tokenize(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(words)).cast("bigint").alias("n_distinct"))
@@ -66,7 +85,7 @@ def parse_query(spark, sf_dir):
 
 
 def term_filter(spark, sf_dir):
-    return index.lookup(_index(spark, sf_dir, TERMS), TERMS).select("word", F.col("seq").alias("doc_id"), "frequency")
+    return index.lookup(_segments(spark, sf_dir).read(), TERMS).select("word", F.col("seq").alias("doc_id"), "frequency")
 
 
 def valid_postings(spark, sf_dir):
@@ -74,17 +93,9 @@ def valid_postings(spark, sf_dir):
     return files.valid_postings(rows).select("word", F.col("seq").alias("doc_id"), "frequency")
 
 
-def _stored(spark, sf_dir):
-    """The path of a stored index of documents, written in two appends."""
-    path, rows = lineage.folder(spark, "index"), _index(spark, sf_dir)
-    for batch in (0, 1):
-        index.write(rows.where(F.col("seq") % 2 == batch).drop("seq"), path, batch)
-    return path
-
-
 def bucket_pruned_lookup(spark, sf_dir):
-    rows = index.read(spark, _stored(spark, sf_dir), ["thou", "9"])
-    return rows.select("bucket", "word", F.substring("current_url", 5, 20).cast("bigint").alias("doc_id"), "frequency")
+    rows = index.lookup(_segments(spark, sf_dir).read(), ["thou", "9"])
+    return rows.select("bucket", "word", F.col("seq").alias("doc_id"), "frequency")
 
 
 def _shards(spark, sf_dir):
@@ -104,14 +115,14 @@ def shard_lookup(spark, sf_dir):
 
 def search_request(spark, sf_dir):
     """A request for the third page of more rows than a page may have, from the stored index."""
-    found = search.SearchEngine(index.read(spark, _stored(spark, sf_dir))).request({"query": QUERY, "sortBy": " Frequency", "page": str(PAGE), "page_size": "5000"})
+    found = search.SearchEngine(_segments(spark, sf_dir).read()).request({"query": QUERY, "sortBy": " Frequency", "page": str(PAGE), "page_size": "5000"})
     # A page: search.MOST rows at most.
     rows = spark.createDataFrame(found["results"], "url string, origin_url string, depth int, frequency bigint, relevance_score bigint")
     return rows.withColumns({c: F.lit(found[c]).cast("bigint") for c in ("total", "page", "page_size", "total_pages")} | {"sort_by": F.lit(found["sortBy"])})
 
 
 def _ranked(spark, sf_dir, sort_by):
-    results = search.scored(search.match(_index(spark, sf_dir, TERMS), X.query_terms(QUERY)))
+    results = search.scored(search.match(_segments(spark, sf_dir).read(), X.query_terms(QUERY)))
     return search.numbered(results, search.order(sort_by))
 
 
@@ -128,7 +139,7 @@ def search_relevance(spark, sf_dir):
 
 
 def _page(spark, sf_dir, page):
-    results = search.scored(search.match(_index(spark, sf_dir, TERMS), X.query_terms(QUERY)))
+    results = search.scored(search.match(_segments(spark, sf_dir).read(), X.query_terms(QUERY)))
     return search.page_of(results, search.order("relevance"), page, SIZE).select("rank", "url", "relevance_score", "page", "page_size", "total", "total_pages", "has_prev", "has_next")
 
 
@@ -143,16 +154,63 @@ def search_page_past_end(spark, sf_dir):
 def first_origin(spark, sf_dir):
     """Documents of a language as the rows of one URL."""
     langs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"))
-    rows = index.lookup(_index(spark, sf_dir, TERMS), TERMS).join(langs.withColumnRenamed("doc_id", "seq"), "seq").withColumn("current_url", F.col("lang"))
+    rows = index.lookup(_segments(spark, sf_dir).read(), TERMS).join(langs.withColumnRenamed("doc_id", "seq"), "seq").withColumn("current_url", F.col("lang"))
     return search.match(rows, TERMS).select("url", "origin_url", "depth", "frequency")
 
 
 def search_all_terms(spark, sf_dir):
     """Documents that hold every one of two terms."""
-    rows = index.lookup(_index(spark, sf_dir, ["the", "thou"]), ["the", "thou"])
+    rows = index.lookup(_segments(spark, sf_dir).read(), ["the", "thou"])
     return rows.groupBy(F.col("current_url").alias("url")).agg(F.countDistinct("word").alias("n"), F.sum("frequency").alias("frequency")).where("n = 2").drop("n")
 
 
+def search_tfidf(spark, sf_dir):
+    """The best hundred pages by TF-IDF and length; blocks that can't have one aren't read."""
+    best, _ = ranking.top(_segments(spark, sf_dir), X.query_terms(QUERY), 100)
+    return search.numbered(best, [F.desc("score"), F.asc("url")]).select("rank", "url", "score")
+
+
+def search_snippets(spark, sf_dir):
+    """Of each page with both words, the smallest run of words that has both, with the words around it."""
+    return ranking.snippets(_segments(spark, sf_dir), ["the", "thou"])
+
+
+def search_updates(spark, sf_dir):
+    """What the third batch has changed of a search: results that are new or another, as they are now."""
+    s = _segments(spark, sf_dir, again=True)
+    return search.updates(s.read(BATCHES - 1), s.read(BATCHES, since=BATCHES - 1), TERMS).select("url", "change", "origin_url", "depth", "frequency", "relevance_score")
+
+
+def search_top_changes(spark, sf_dir):
+    """What differs between the first fifty results before and after the third batch."""
+    s = _segments(spark, sf_dir, again=True)
+    return search.top_changes(s.read(BATCHES - 1), s.read(BATCHES), TERMS, 50)
+
+
+def segment_replay(spark, sf_dir):
+    """An index whose second batch died between write and commit and came again, as did the first: each counts once."""
+    docs, root = _documents(spark, sf_dir).withColumn("seq", F.col("doc_id")), lineage.folder(spark, "replay")
+    halves = [docs.where(F.col("doc_id") % 2 == k) for k in range(2)]
+    s, words = segments.Segments(spark, root), X.tokenize(F.col("text"))
+    s.append(halves[0], words, "even", F.lit(0))
+    s._write(halves[1], words, "000000000001-died", F.lit(0))
+    for half, name in ((1, "odd"), (0, "even"), (1, "odd")):
+        segments.Segments(spark, root).append(halves[half], words, name, F.lit(0))
+    s.recover(-60)
+    return s.read().groupBy("word").agg(F.count("*").alias("n_rows"), F.sum("frequency").alias("total_frequency"), F.sum(F.aggregate("positions", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("last_positions"))
+
+
+def visited_claims(spark, sf_dir):
+    """Links as levels of two crawls after one of all pages: a URL is claimed once, by the first that has it."""
+    v = visited.Visited(spark, lineage.folder(spark, "claims"))
+    links = _links(spark, sf_dir).where("target is not null").select(F.col("target").alias("url"), F.array(F.lit(0).cast("bigint")).alias("key"), "pos")
+    pages = table(spark, sf_dir, "pages").select("url", F.array(F.lit(0).cast("bigint")).alias("key"))
+    for name, level in (("pages", pages), ("first", links.where("pos % 2 = 0")), ("second", links)):
+        v.claim(level.select("url", "key"), name, {"job": name})
+    names = spark.createDataFrame([(b["folder"], b["name"]) for b in v.batches()], "batch string, claim string")
+    return v.read().join(F.broadcast(names), "batch").select("url", "claim")  # a row a claim
+
+
 def document_frequency(spark, sf_dir):
     return _index(spark, sf_dir).groupBy("word").agg(F.countDistinct("current_url").alias("df"), F.sum("frequency").alias("total_frequency"))
 
@@ -322,6 +380,7 @@ _NAMES = (
     first_origin, search_all_terms, document_frequency, html_tokens, extract_links, normalize_url, fetch_outcome, crawl_counters, visited_dedupe, bfs_depth, bfs_max_pages, bfs_visited, queue_depth, throttle_delay,
     fetch_schedule, state_snapshot, effective_state, back_pressure_status, job_history, latest_job, poll_delta, incremental_append, shard_scan, shard_lookup,
     search_request, visited_load, streamed_index, state_scan, crawler_ids, lenient_numbers,
+    search_tfidf, search_snippets, search_updates, search_top_changes, segment_replay, visited_claims,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -332,10 +391,16 @@ _IDX = f"""idx AS (SELECT lower(w) AS word, doc_id, source AS origin_url, 'doc/'
   CASE WHEN regexp_matches(lower(w), '^[a-z]') THEN lower(w)[1] WHEN regexp_matches(w, '^[0-9]') THEN 'num' ELSE 'other' END AS bucket
   FROM (SELECT doc_id, source, unnest({_TOKENS}) AS w FROM documents) GROUP BY ALL)"""
 _IN = "word IN (" + ", ".join(f"'{t}'" for t in TERMS) + ")"
-_HIT = f"""{_IDX}, hit AS (SELECT url, arg_min(origin_url, bucket || '/' || printf('%020d', doc_id)) AS origin_url, min(depth) AS depth, CAST(sum(frequency) AS BIGINT) AS frequency,
+#: The order in which documents arrive.
+_ARRIVAL = f"(doc_id % {BATCHES}) || printf('%020d', doc_id)"
+_HIT = f"""{_IDX}, hit AS (SELECT url, arg_min(origin_url, bucket || '/' || {_ARRIVAL}) AS origin_url, min(depth) AS depth, CAST(sum(frequency) AS BIGINT) AS frequency,
   CAST(sum(frequency) * 10 + 1000 - min(depth) * 5 AS BIGINT) AS relevance_score FROM idx WHERE {_IN} AND origin_url <> '' GROUP BY url)"""
 _REL, _FREQ = "relevance_score DESC, frequency DESC, depth, url", "frequency DESC, depth, url"
 
+_RESULT = "url, arg_min(origin_url, bucket || '/' || batch || printf('%020d', doc_id)) AS origin_url, min(depth) AS depth, CAST(sum(frequency) AS BIGINT) AS frequency, CAST(sum(frequency) * 10 + 1000 - min(depth) * 5 AS BIGINT) AS relevance_score FROM pages_idx"
+_AGAIN = f"""{_IDX}, pages_idx AS (SELECT * REPLACE ('page/' || (doc_id % {AGAIN}) AS url), doc_id % {BATCHES} AS batch FROM idx WHERE {_IN} AND origin_url <> ''),
+was AS (SELECT {_RESULT} WHERE batch < {BATCHES - 1} GROUP BY url), now AS (SELECT {_RESULT} GROUP BY url)"""
+
 
 def _page_sql(page: int) -> str:
     return f"""WITH {_HIT}, r AS (SELECT *, row_number() OVER (ORDER BY {_REL}) AS rank, count(*) OVER () AS total FROM hit),
@@ -371,7 +436,7 @@ SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER B
     "search_relevance": f"WITH {_HIT} SELECT row_number() OVER (ORDER BY {_REL}) AS rank, url, origin_url, depth, frequency, relevance_score FROM hit",
     "search_page": _page_sql(PAGE),
     "search_page_past_end": _page_sql(1_000_000),
-    "first_origin": f"""WITH {_IDX} SELECT coalesce(lang, 'none') AS url, arg_min(origin_url, bucket || '/' || printf('%020d', idx.doc_id)) AS origin_url, min(depth) AS depth, CAST(sum(frequency) AS BIGINT) AS frequency
+    "first_origin": f"""WITH {_IDX} SELECT coalesce(lang, 'none') AS url, arg_min(origin_url, bucket || '/' || {_ARRIVAL.replace("doc_id", "idx.doc_id")}) AS origin_url, min(depth) AS depth, CAST(sum(frequency) AS BIGINT) AS frequency
 FROM idx JOIN documents d ON idx.doc_id = d.doc_id WHERE {_IN} AND origin_url <> '' GROUP BY 1""",
     "search_all_terms": f"WITH {_IDX} SELECT url, CAST(sum(frequency) AS BIGINT) AS frequency FROM idx WHERE word IN ('the', 'thou') GROUP BY url HAVING count(DISTINCT word) = 2",
     "document_frequency": f"WITH {_IDX} SELECT word, count(DISTINCT url) AS df, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM idx GROUP BY word",
@@ -404,9 +469,25 @@ SELECT crawler_id, now_state AS state, log_count, now_state IN ('finished', 'int
     "incremental_append": f"WITH {_IDX} SELECT word, count(*) AS n_rows, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM idx GROUP BY word",
     "shard_scan": f"WITH {_IDX} SELECT bucket, word, origin_url, url AS current_url, depth, frequency, CAST(0 AS BIGINT) AS ts FROM idx WHERE origin_url <> ''",
     "shard_lookup": f"WITH {_IDX} SELECT bucket, word, url AS current_url, frequency FROM idx WHERE {_IN} AND origin_url <> ''",
-    "search_request": f"""WITH {_HIT.replace("printf('%020d', doc_id)", "(doc_id % 2) || printf('%020d', doc_id)")}, r AS (SELECT *, row_number() OVER (ORDER BY {_FREQ}) AS rank, count(*) OVER () AS total FROM hit),
+    "search_request": f"""WITH {_HIT}, r AS (SELECT *, row_number() OVER (ORDER BY {_FREQ}) AS rank, count(*) OVER () AS total FROM hit),
 p AS (SELECT *, CAST(ceil(total / 100.0) AS BIGINT) AS total_pages, CAST(least({PAGE}, ceil(total / 100.0)) AS BIGINT) AS page FROM r)
 SELECT url, origin_url, depth, frequency, relevance_score, total, page, CAST(100 AS BIGINT) AS page_size, total_pages, 'frequency' AS sort_by FROM p WHERE rank > (page - 1) * 100 AND rank <= page * 100""",
+    "search_tfidf": f"""WITH {_IDX}, n AS (SELECT count(*) AS n FROM documents), df AS (SELECT word, count(*) AS df FROM idx WHERE {_IN} GROUP BY word), len AS (SELECT doc_id, len({_TOKENS}) AS length FROM documents),
+s AS (SELECT url, CAST(sum(CAST(floor(1000000 * ln(1 + CAST(n AS DOUBLE) / df) * (frequency / sqrt(CAST(length AS DOUBLE)))) AS BIGINT)) AS BIGINT) AS score FROM idx JOIN df USING (word) JOIN len USING (doc_id), n WHERE origin_url <> '' GROUP BY url)
+SELECT row_number() OVER (ORDER BY score DESC, url) AS rank, url, score FROM s QUALIFY rank <= 100""",
+    "search_snippets": f"""WITH t AS (SELECT doc_id, list_transform({_TOKENS}, lambda x: lower(x)) AS w FROM documents),
+m AS (SELECT * FROM (SELECT doc_id, unnest(w) AS word, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos FROM t) WHERE word IN ('the', 'thou')),
+p AS (SELECT doc_id, pos, least(max(CASE word WHEN 'the' THEN pos END) OVER w, max(CASE word WHEN 'thou' THEN pos END) OVER w) AS first, count(CASE word WHEN 'the' THEN 1 END) OVER w AS a, count(CASE word WHEN 'thou' THEN 1 END) OVER w AS b FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, first, pos AS last FROM p WHERE a > 0 AND b > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos - first, first) = 1)
+SELECT 'doc/' || doc_id AS url, first, last, array_to_string(w[greatest(first - 5, 0) + 1 : last + 6], ' ') AS snippet FROM r JOIN t USING (doc_id)""",
+    "search_updates": f"""WITH {_AGAIN}, old AS (SELECT DISTINCT url FROM pages_idx WHERE batch < {BATCHES - 1}), touched AS (SELECT DISTINCT url FROM pages_idx WHERE batch = {BATCHES - 1})
+SELECT url, CASE WHEN url IN (SELECT url FROM old) THEN 'changed' ELSE 'entered' END AS change, origin_url, depth, frequency, relevance_score FROM now WHERE url IN (SELECT url FROM touched)""",
+    "search_top_changes": f"""WITH {_AGAIN}, a AS (SELECT url, row_number() OVER (ORDER BY {_REL}) AS old_rank FROM was QUALIFY old_rank <= 50), b AS (SELECT url, row_number() OVER (ORDER BY {_REL}) AS new_rank FROM now QUALIFY new_rank <= 50)
+SELECT coalesce(a.url, b.url) AS url, CASE WHEN old_rank IS NULL THEN 'entered' WHEN new_rank IS NULL THEN 'left' ELSE 'moved' END AS change, coalesce(old_rank, 0) AS old_rank, coalesce(new_rank, 0) AS new_rank FROM a FULL JOIN b ON a.url = b.url WHERE a.old_rank IS DISTINCT FROM b.new_rank""",
+    "segment_replay": f"""WITH {_IDX}, ends AS (SELECT lower(w) AS word, doc_id, max(pos) AS last FROM (SELECT doc_id, unnest({_TOKENS}) AS w, generate_subscripts({_TOKENS}, 1) - 1 AS pos FROM documents) GROUP BY ALL)
+SELECT word, count(*) AS n_rows, CAST(sum(frequency) AS BIGINT) AS total_frequency, CAST(sum(last) AS BIGINT) AS last_positions FROM idx JOIN ends USING (word, doc_id) GROUP BY word""",
+    "visited_claims": f"""WITH {_LINKS}, c AS (SELECT url, 0 AS k FROM pages WHERE url IS NOT NULL UNION ALL SELECT target, CASE WHEN pos % 2 = 0 THEN 1 ELSE 2 END FROM links WHERE target IS NOT NULL)
+SELECT url, ['pages', 'first', 'second'][min(k) + 1] AS claim FROM c GROUP BY url""",
     "visited_load": f"WITH {_LINKS} SELECT target AS url FROM links WHERE target IS NOT NULL UNION SELECT url FROM pages",
     "streamed_index": f"WITH {_WORDS} SELECT word, count(*) AS n_pages, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM words GROUP BY word",
     "state_scan": f"WITH {_STATES} SELECT CAST(crawler_id AS VARCHAR) AS crawler_id, '' AS origin, state, updated_at, CAST(pages_indexed AS INTEGER) AS pages_indexed, CAST(0 AS INTEGER) AS queue_size FROM st",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,30 +27,50 @@ def read_shards(spark: SparkSession, root: str, terms: list[str] | None = None)
     fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     names = text.BUCKETS if terms is None else sorted({text.bucket_of(t) for t in terms})
     paths = [p for p in (f"{root}/{b}.data" for b in names) if fs.exists(fs_path(p))]
-    raw = spark.read.schema(RAW_POSTING).json(paths) if paths else spark.createDataFrame([], RAW_POSTING)
+    if paths:
+        file = F.struct(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"))
+        raw = spark.read.schema(RAW_POSTING).json(paths).withColumn("file", file)
+    else:
+        raw = spark.createDataFrame([], f"{RAW_POSTING}, file struct<name: string, start: bigint>")
     rows = raw.where(F.col("word").isNotNull()).select(
-        F.lower("word").alias("word"), "origin_url", "current_url", whole(F.col("depth")).cast("int").alias("depth"), whole(F.col("frequency")).alias("frequency"), whole(F.col("ts")).alias("ts")
+        F.lower("word").alias("word"), "origin_url", "current_url", whole(F.col("depth")).cast("int").alias("depth"), whole(F.col("frequency")).alias("frequency"), whole(F.col("ts")).alias("ts"), "file"
     )
     rows = valid_postings(rows).withColumn("bucket", text.bucket(F.col("word")))
-    # The order of lines in a file, which decides the first origin of a URL.
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    # The order of files by their names, which appends number, and of lines in a file: it decides the first origin of a URL.
+    place = F.struct(F.col("file.name"), F.col("file.start"), F.monotonically_increasing_id().alias("line"))
+    return rows.withColumn("seq", place).drop("file")
 
 
 def append_shards(rows: DataFrame, root: str) -> None:
-    """Appends postings with their bucket to the JSON-line shards under root, one folder a bucket. Files appear in a shard once all are written."""
+    """Appends postings with their bucket to the JSON-line shards under root, one folder a bucket.
+
+    Files are written aside and moved when all are complete, one after another: a reader may meet a part of an append.
+    If a job dies between two moves, the next append finishes them. Names of files begin with a number that grows.
+    """
     spark = rows.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    new = path(f"{root}/_new-{uuid.uuid4().hex}")
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "word", "current_url").write.partitionBy("bucket").json(new.toString())
-    for made in fs.listStatus(new):
-        if made.isDirectory():
-            shard = path(f"{root}/{made.getPath().getName().removeprefix('bucket=')}.data")
-            fs.mkdirs(shard)
-            for part in fs.listStatus(made.getPath()):
-                if not fs.rename(part.getPath(), path(shard, part.getPath().getName())):
-                    raise OSError(f"not moved: {part.getPath().toString()}")
-    fs.delete(new, True)
+    _move_complete(fs, path, root)
+    new = path(f"{root}/_new-{time.time_ns():020d}-{uuid.uuid4().hex}")
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *(["seq"] if "seq" in rows.columns else []), "word", "current_url").drop("seq").write.partitionBy("bucket").json(new.toString())
+    _move_complete(fs, path, root)
+
+
+def _move_complete(fs, path, root: str) -> None:
+    """Moves the files of all appends that are written whole, the earliest first."""
+    drafts = sorted(x.getPath().getName() for x in fs.listStatus(path(root)) if x.getPath().getName().startswith("_new-")) if fs.exists(path(root)) else []
+    for name in drafts:
+        new = path(f"{root}/{name}")
+        if not fs.exists(path(new, "_SUCCESS")):
+            continue
+        for made in fs.listStatus(new):
+            if made.isDirectory():
+                shard = path(f"{root}/{made.getPath().getName().removeprefix('bucket=')}.data")
+                fs.mkdirs(shard)
+                for part in fs.listStatus(made.getPath()):
+                    if not fs.rename(part.getPath(), path(shard, f"{name.split('-')[1]}-{part.getPath().getName()}")):
+                        raise OSError(f"not moved: {part.getPath().toString()}")
+        fs.delete(new, True)
 
 
 def read_visited(spark: SparkSession, path: str) -> DataFrame:
