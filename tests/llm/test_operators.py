@@ -90,6 +90,15 @@ def test_substring_dedup_of_many_rows(spark, odd):
     assert one == many
 
 
+def test_substring_dedup_of_equal_rows(spark):
+    """Many rows of one id and text, and of none, are many tasks' and repeat nothing."""
+    text = " ".join(f"w{k}" for k in range(70))
+    rows = spark.range(0, 3000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit(7)).cast("long").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit(text)).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(9, "x " + text), (3, "few words")], "doc_id long, text string"))
+    got = substring_dedup.remove_repeats(rows, chunk=20_000).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, 70, 0, 2000), (None, 0, 0, 1000), (9, 71, 70, 1), (3, 2, 0, 1)], key=str)
+
+
 def _components(rows, n=4, percent=85):
     sets = {}
     for i, t in rows:
@@ -357,6 +366,40 @@ def test_routed_search(spark):
     assert hits / (5 * 240) >= 0.93
 
 
+def test_sample_of_long_vectors():
+    """The sample that centroids are fitted on is bounded in bytes."""
+    held = []
+
+    class Rows:
+        def groupBy(self, *a):
+            return self
+
+        def count(self):
+            return self
+
+        def collect(self):
+            return [type("R", (), {"dim": 768, "__getitem__": lambda s, k: 1 << 33})()]
+
+        def where(self, *a):
+            return self
+
+        def select(self, *a):
+            return self
+
+        def limit(self, n):
+            held.append(n)
+            return self
+
+        def toArrow(self):
+            import pyarrow as pa
+
+            return pa.table({"v": pa.array(np.random.default_rng(1).normal(size=(64, 768)).tolist(), pa.list_(pa.float32()))})
+
+    for most in (ann.BYTES, 1 << 20):
+        assert len(ann.centroids(Rows(), ann.SHARD, most_bytes=most)[768]) <= ann.MOST
+        assert held.pop() * 768 * 4 <= 2 * most
+
+
 def test_html(spark):
     page = (
         '<html><head><title>T</title></head><body><header><h1>Site</h1></header><div class="wrap has-sidebar"><div id="sidebar-left"><p>{long}</p></div><div class="post p12"><h1>Head</h1><p>One &amp; two<b>bold</b> x<br>y</p><ul><li>a<li>b</ul>'

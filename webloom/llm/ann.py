@@ -2,8 +2,8 @@
 
 Vectors are dealt to the nearest of some centroids, about one for SHARD rows, and a centroid's vectors by a
 hash of their id into shards of about SHARD rows, so that many equal vectors spread too. Centroids come from a
-few rounds of k-means in numpy on the driver, fitted on about SAMPLE vectors a centroid, at most MOST centroids
-in all; that is the only sample, and every row is indexed. A shard's graph has a layer for each level, a node's
+few rounds of k-means in numpy on the driver, fitted on about SAMPLE vectors a centroid and BYTES of them, at most
+MOST centroids in all; that is the only sample, and every row is indexed. A shard's graph has a layer for each level, a node's
 level falling off geometrically by its hash. Nodes enter a layer in random order; each is linked to at most
 LINKS of its nearest among those before it, leaving out one that is nearer to a link already chosen than to the
 node, which keeps links in different directions. These nearest come from products within the shard, which is
@@ -40,6 +40,8 @@ from .words import mix
 SHARD, LINKS, BUILD, EF, QUERIES = 32768, 14, 64, 80, 50_000
 #: Centroids: how many at least (but no more than one for FEW rows) and at most, vectors for each to fit on, rounds.
 LEAST, FEW, MOST, SAMPLE, ROUNDS = 12, 32, 4096, 64, 8
+#: Bytes of the sample that is fitted on, at most: long vectors have fewer for each centroid, 8 at least, and then fewer centroids.
+BYTES = 256 << 20
 #: Queries to measure on, and the share of their neighbours that is to be found.
 TRIED, RECALL = 200, 0.98
 
@@ -201,14 +203,17 @@ def _means(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def centroids(rows: DataFrame, shard: int, least: int = LEAST) -> dict[int, np.ndarray]:
+def centroids(rows: DataFrame, shard: int, least: int = LEAST, most_bytes: int = BYTES) -> dict[int, np.ndarray]:
     """For each length of vectors, its centroids. The counts by length, and a sample, reach the driver."""
     out = {}
     for r in rows.groupBy("dim").count().collect():
         k = max(1, min(MOST, max(least, -(-r["count"] // shard)), r["count"] // FEW))
-        some, chance = k * SAMPLE, min(1.0, 1.5 * k * SAMPLE / r["count"])
+        room = max(8, most_bytes // (4 * r.dim))
+        k = min(k, room // 8)
+        some = min(k * SAMPLE, room)
+        chance = min(1.0, 1.5 * some / r["count"])
         mine = rows.where((F.col("dim") == r.dim) & (F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) <= int(chance * (1 << 30))))
-        x = _unit(np.array([list(x.v) for x in mine.select("v").limit(2 * some).collect()], np.float64).reshape(-1, r.dim)) if k > 1 else np.ones((1, r.dim), np.float32)
+        x = _unit(_matrix(mine.select(F.col("v").cast("array<float>").alias("v")).limit(2 * some).toArrow()).reshape(-1, r.dim)) if k > 1 else np.ones((1, r.dim), np.float32)
         out[r.dim] = _means(x, k) if len(x) else np.ones((1, r.dim), np.float32)
     return out
 

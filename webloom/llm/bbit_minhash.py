@@ -138,7 +138,9 @@ class Bands:
         # An id that repeats with another text has several signatures: any may be near.
         for side in ("a", "b"):
             pairs = pairs.join(_sided(signed, side, {"signature": "s"}), side)
-        return scratch.write(pairs.mapInArrow(trimmed(_near(self.percent)), "a long, b long").distinct())
+        near = scratch.write(pairs.mapInArrow(trimmed(_near(self.percent)), "a long, b long").distinct())
+        scratch.drop(self.hashed)
+        return near
 
 
 def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but these characters, in every operator that counts words.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of documents in an Arrow batch, and what says so, with Spark's default.
-ROWS, _BATCH, _DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Rows of documents in an Arrow batch, and what says so.
+ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Ids that may be broadcast.
 MOST_IDS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -110,13 +110,13 @@ def few(ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, whose rows go to Python ROWS at a time, unless the session has set a number of its own.
+    """df, whose rows go to Python ROWS at a time, unless the session has been given a number, be it Spark's default.
 
     Both the JVM and the worker hold a whole batch, and texts can be long: Spark's 10,000 rows take 100 MB and more.
     """
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH) == _DEFAULT:
-        conf.set(_BATCH, str(ROWS))
+    spark = df.sparkSession
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(ROWS))
     return df
 
 

@@ -447,6 +447,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
     alone = docs.join(few(copies), "doc_id", "left_anti")
     product = scratch.write(method.entries(alone, described, classes, scratch).groupBy("at").applyInArrow(_product(percent), "a long, b long, na long, nb long, shared long, star boolean, list long"))
     links = _verified(method.possible(product, docs, scratch), docs, scratch, n, percent)
+    scratch.drop(copies)
     # Rows that repeat a doc_id with another text tie their classes.
     ties = rows.where("n > 0").join(classes.drop("m"), ["n", "d1", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
     edges = scratch.write(links.unionByName(ties))
@@ -456,6 +457,8 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
     blocks = lambda c: F.ceil(c / DOCS).cast("int")
     several = parts.where("parts > 1").select("list", "top", blocks(F.col("k")).alias("nb"), blocks(F.col("k") - F.col("most")).alias("no"))
     members = scratch.write(lists.join(several, "list"))
+    scratch.drop(lists)
+    scratch.drop(product)
     if members.limit(1).count():
         ids = scratch.write(members.select(F.col("doc").alias("doc_id")).distinct())
         texts = docs.join(few(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")
@@ -468,6 +471,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
         more = odd.groupBy(*cell).cogroup(against.groupBy(*cell)).applyInArrow(_cell(n, percent), "a long, b long")
         edges = edges.unionByName(scratch.write(more.distinct()))
         found = components(edges, scratch)
+        scratch.drop(held)
     # Only classes in a component of several, or with several rows, say more than a row's own id.
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     named = scratch.write(named.where("m > 1 or component_id != rep").select("n", "d1", "d2", "component_id"))

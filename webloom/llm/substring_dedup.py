@@ -1,7 +1,8 @@
 """Substring dedup: repeated windows of WINDOW words by a count-min prefilter and an exact second pass.
 
-Documents are dealt into chunks of about CHUNK bytes, and of about ROWS rows at most, by a hash of id and text, so that rows of a null or repeated
-id spread too.
+Documents too short for a window, nulls among them, are read where they are. The others are dealt into chunks of
+about CHUNK bytes, and of about ROWS rows at most, by a hash of id, text and the partition that they come from, so
+that rows of a null or repeated id, or of the same text, spread too.
 
 1. Each chunk makes its partition sketch: for each of DEPTH hash rows, which cells its windows fall in, and
    whether from one document or more (counts stop at two). A sketch is sparse, so a chunk sends sorted cells
@@ -15,8 +16,8 @@ id spread too.
    learns which of its windows start in a smaller document elsewhere.
 4. Each chunk marks the words that such windows cover, or windows with a smaller document of its own.
 
-A window that is in a third of all documents is one row for each chunk in step 3, and chunks are even, so no
-group is large. Texts are shuffled once: all three passes over chunks read the same exchange.
+A window that is in a third of all documents is one row of 28 bytes for each chunk in step 3, and chunks are even:
+that is the largest group there is, and it grows with the number of chunks. Texts are shuffled once: all three passes over chunks read the same exchange.
 
 Null texts have no words. Null doc_ids count as smaller than all others. Rows of one doc_id are one
 document, and their windows don't repeat each other. Texts of fewer words than WINDOW stay whole. Very long
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .words import Words, differences, mix, pack, unpack
 
 WINDOW, CHUNK, ROWS, DEPTH, SPARE, BLOCK = 50, 4 << 20, 1 << 16, 2, 4, 4 << 20
@@ -208,19 +210,37 @@ def _kept(window: int, texts: bool, id_type: pa.DataType):
     return run
 
 
+def _untouched(window: int, texts: bool):
+    """For mapInArrow: _kept() of documents without windows."""
+
+    def run(batches):
+        kept = _kept(window, texts, pa.int64())
+        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["n", "places"])
+        for b in batches:
+            if b.num_rows:
+                yield from kept(pa.Table.from_batches([b]), none).to_batches()
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, chunk: int = CHUNK, depth: int = DEPTH, spare: int = SPARE, block: int = BLOCK, rows: int = ROWS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256, or with texts the kept words joined by one space."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # A window is at least as many characters as words, and the spaces between.
+    long = F.coalesce(F.octet_length("text"), F.lit(0)) >= 2 * window - 1
+    out = f"doc_id long, n_words long, n_removed long, {'kept' if texts else 'kept_sha256'} string"
+    short = small_batches(docs.where(~long)).mapInArrow(_untouched(window, texts), out)
+    docs = docs.where(long)
     total = docs.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("rows")).first()
     size = total.size or 0
     windows = max(1024, size // 6)
     bits = min(44, (spare * windows - 1).bit_length())
     block_bits = max(0, (windows // block).bit_length()) if windows > block else 0
     chunks = max(size // chunk, total.rows // rows) + 1
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("long").alias("chunk"), "doc_id", "text")
     by_chunk = lambda df: df.groupBy("chunk")
     sketch = by_chunk(dealt).applyInArrow(_sketch(window, depth, bits, block_bits), "at long, chunk long, n long, cells binary, several binary")
     often = sketch.groupBy("at").applyInArrow(_merge, "chunk long, at long, n long, bits binary")
     keys = by_chunk(dealt).cogroup(by_chunk(often)).applyInArrow(_candidates(window, depth, bits, block_bits), "at long, chunk long, n long, key1 binary, key2 binary, doc binary, place binary")
     later = keys.groupBy("at").applyInArrow(_smallest, "chunk long, n long, places binary")
-    out = f"doc_id long, n_words long, n_removed long, {'kept' if texts else 'kept_sha256'} string"
-    return by_chunk(dealt).cogroup(by_chunk(later)).applyInArrow(_kept(window, texts, pa.int64()), out)
+    return by_chunk(dealt).cogroup(by_chunk(later)).applyInArrow(_kept(window, texts, pa.int64()), out).unionByName(short)
