@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from webloom.functions import pages as P
 from webloom.functions import status as S
 from webloom.functions import text as X
-from webloom.operators import crawl, index, lineage, ranking, search, segments, status
+from webloom.operators import crawl, index, lineage, ranking, robots, search, segments, status
 from webloom.sources import files, manifests, visited
 from webloom.streaming import ingest
 
@@ -211,6 +211,16 @@ def visited_claims(spark, sf_dir):
     return v.read().join(F.broadcast(names), "batch").select("url", "claim")  # a row a claim
 
 
+def robots_allowed(spark, sf_dir):
+    """Pages and links against rules made of the pages' own paths: starts of them, and endings with a * before."""
+    pages = table(spark, sf_dir, "pages").select("page_id", robots.host_of(F.col("url")).alias("host"), robots.path_of(F.col("url")).alias("path"), "url")
+    k, path = F.col("page_id"), F.col("path")
+    pattern = F.when(k % 3 == 0, F.substring(path, 1, 4)).when(k % 3 == 1, F.substring(path, 1, 7)).otherwise(F.concat(F.lit("/*"), F.right(path, F.lit(2)), F.lit("$")))
+    rules = pages.where(~path.contains("*") & ~path.contains("$")).select("host", (k % 2 == 0).alias("allow"), pattern.alias("pattern"))
+    links = _links(spark, sf_dir).where("target is not null").select(F.col("target").alias("url"))
+    return robots.allowed(pages.select("url").unionByName(links), rules)
+
+
 def document_frequency(spark, sf_dir):
     return _index(spark, sf_dir).groupBy("word").agg(F.countDistinct("current_url").alias("df"), F.sum("frequency").alias("total_frequency"))
 
@@ -380,7 +390,7 @@ _NAMES = (
     first_origin, search_all_terms, document_frequency, html_tokens, extract_links, normalize_url, fetch_outcome, crawl_counters, visited_dedupe, bfs_depth, bfs_max_pages, bfs_visited, queue_depth, throttle_delay,
     fetch_schedule, state_snapshot, effective_state, back_pressure_status, job_history, latest_job, poll_delta, incremental_append, shard_scan, shard_lookup,
     search_request, visited_load, streamed_index, state_scan, crawler_ids, lenient_numbers,
-    search_tfidf, search_snippets, search_updates, search_top_changes, segment_replay, visited_claims,
+    search_tfidf, search_snippets, search_updates, search_top_changes, segment_replay, visited_claims, robots_allowed,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -488,6 +498,12 @@ SELECT coalesce(a.url, b.url) AS url, CASE WHEN old_rank IS NULL THEN 'entered'
 SELECT word, count(*) AS n_rows, CAST(sum(frequency) AS BIGINT) AS total_frequency, CAST(sum(last) AS BIGINT) AS last_positions FROM idx JOIN ends USING (word, doc_id) GROUP BY word""",
     "visited_claims": f"""WITH {_LINKS}, c AS (SELECT url, 0 AS k FROM pages WHERE url IS NOT NULL UNION ALL SELECT target, CASE WHEN pos % 2 = 0 THEN 1 ELSE 2 END FROM links WHERE target IS NOT NULL)
 SELECT url, ['pages', 'first', 'second'][min(k) + 1] AS claim FROM c GROUP BY url""",
+    "robots_allowed": f"""WITH {_LINKS}, u AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT target FROM links WHERE target IS NOT NULL),
+p AS (SELECT url, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*')) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) AS rest FROM u),
+f AS (SELECT url, host, CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END AS path FROM p),
+r AS (SELECT DISTINCT host, page_id % 2 = 0 AS allow, page_id % 3 AS k, CASE page_id % 3 WHEN 0 THEN path[1:4] WHEN 1 THEN path[1:7] ELSE right(path, 2) END AS x FROM pages JOIN f USING (url) WHERE NOT contains(path, '*') AND NOT contains(path, '$')),
+m AS (SELECT url, length(x) + CASE k WHEN 2 THEN 3 ELSE 0 END AS n, allow FROM f JOIN r USING (host) WHERE CASE k WHEN 2 THEN ends_with(path, x) AND length(path) > length(x) ELSE starts_with(path, x) END)
+SELECT url, coalesce(arg_max(allow, n * 2 + CAST(allow AS INTEGER)), true) AS allowed FROM f LEFT JOIN m USING (url) GROUP BY url""",
     "visited_load": f"WITH {_LINKS} SELECT target AS url FROM links WHERE target IS NOT NULL UNION SELECT url FROM pages",
     "streamed_index": f"WITH {_WORDS} SELECT word, count(*) AS n_pages, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM words GROUP BY word",
     "state_scan": f"WITH {_STATES} SELECT CAST(crawler_id AS VARCHAR) AS crawler_id, '' AS origin, state, updated_at, CAST(pages_indexed AS INTEGER) AS pages_indexed, CAST(0 AS INTEGER) AS queue_size FROM st",
