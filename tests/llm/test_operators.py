@@ -129,6 +129,22 @@ def test_ngram_join(spark, odd):
     assert {r.component_id for r in with_null} == {4}
 
 
+def test_pairs_of_a_block_are_emitted_once(monkeypatch):
+    """Pairs of a family of near copies, which many shingles give again, are one row each with the whole count, however few are held at a time."""
+    import pyarrow as pa
+
+    for family in (20, 200):  # pairs of short lists, and of a long list's pivots
+        h = np.repeat(np.arange(50, dtype=np.uint64), family)
+        rows = ngram_join.packed_entries(h, np.tile(np.arange(family), 50), np.full(len(h), 60), 0)
+        table = pa.Table.from_pylist([dict(zip(("at", "part", "n", "h", "doc", "size"), r)) for r in rows])
+        want = ngram_join._product(85)(table)
+        monkeypatch.setattr(ngram_join, "PAIRS", 2000)
+        got = ngram_join._product(85)(table).to_pylist()
+        pairs = [(r["a"], r["b"], r["shared"]) for r in got if r["b"] is not None]
+        assert len({p[:2] for p in pairs}) == len(pairs) == (190 if family == 20 else 3 * 200 - 6) and {p[2] for p in pairs} <= {50, 100}
+        assert sorted(map(str, got)) == sorted(map(str, want.to_pylist()))
+
+
 def test_counts_bound_the_overlap():
     """Counts by bin never discard a pair that is similar, sizes beyond a byte included."""
     import pyarrow as pa

@@ -46,7 +46,7 @@ FREQUENT, SEVERAL, ALL, PIVOTS = 1 << 19, 2, 32, 3
 SLICE, BLOCK = 2 << 20, 3_000_000
 #: A block's entries are sorted and paired in 2^PARTS ranges, one after another; its long lists are joined over all of them.
 PARTS = 3
-#: Pairs of a block that are held before those that repeat are added up.
+#: New pairs of a block that are held before those that repeat are added up; twice as many sums are held.
 PAIRS = 1 << 18
 #: Rows and columns of the blocks in which the documents of a long list are compared.
 DOCS, COLUMNS = 256, 8192
@@ -192,19 +192,25 @@ def _product(percent: int):
 
     def product(table: pa.Table) -> pa.Table:
         found, stars, groups, out = [], [], {}, []
+        summed = {False: 0, True: 0}  # of the pairs held, how many are sums already
 
         def add_up(rows: list, star: bool, least: int = 0) -> None:
-            if sum(p.shape[1] for p in rows) <= least:
+            """Adds up pairs that repeat once there are `least` new ones. Sums are held to the end of the block, unless they are many."""
+            if sum(p.shape[1] for p in rows) - summed[star] <= least:
                 return
             p = np.concatenate(rows, axis=1)
             rows.clear()
             swap = p[0] > p[1]
-            p[:, swap] = p[:, swap][[1, 0, 3, 2]]
+            p[:, swap] = p[:, swap][[1, 0, 3, 2, 4]]
             p = p[:, np.lexsort((p[1], p[0]))]
             first = np.flatnonzero(np.r_[True, (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])])
-            count = np.diff(np.r_[first, p.shape[1]])
-            p = p[:, first]
-            out.append(pa.table([*map(pa.array, p), pa.array(count, pa.int64()), pa.array([star] * len(first), pa.bool_()), pa.nulls(len(first), pa.int64())], schema=_PAIRS))
+            p = np.concatenate([p[:4, first], np.add.reduceat(p[4:], first, axis=1)])
+            if least and p.shape[1] <= 2 * PAIRS:
+                rows.append(p)
+                summed[star] = p.shape[1]
+                return
+            summed[star] = 0
+            out.append(pa.table([*map(pa.array, p), pa.array([star] * p.shape[1], pa.bool_()), pa.nulls(p.shape[1], pa.int64())], schema=_PAIRS))
 
         def root(x):
             while groups.setdefault(x, x) != x:
@@ -226,7 +232,7 @@ def _product(percent: int):
                             ok = (100 * size[at + i] >= percent * size[at + j]) & (doc[at + i] != doc[at + j])
                             x, y = at[ok] + i, at[ok] + j
                             if len(x):
-                                found.append(np.stack([doc[x], doc[y], size[x], size[y]]))
+                                found.append(np.stack([doc[x], doc[y], size[x], size[y], np.ones(len(x), np.int64)]))
                         add_up(found, False, PAIRS)
                     continue
                 for s in at:
@@ -238,7 +244,7 @@ def _product(percent: int):
                         for p in luck:
                             ok = (100 * np.minimum(z, z[p]) >= percent * np.maximum(z, z[p])) & (d != d[p])
                             m = int(ok.sum())
-                            stars.append(np.stack([np.full(m, d[p]), d[ok], np.full(m, z[p]), z[ok]]))
+                            stars.append(np.stack([np.full(m, d[p]), d[ok], np.full(m, z[p]), z[ok], np.ones(m, np.int64)]))
                         lo = hi
                     add_up(stars, True, PAIRS)
                     first = root(int(d[0]))
@@ -253,8 +259,10 @@ def _product(percent: int):
             entries = _shared(table.filter(pa.array(part == k)))
             if len(entries[0]):
                 pair_up(*entries)
-        add_up(found, False)
-        add_up(stars, True)
+        for rows, star in ((found, False), (stars, True)):
+            if rows:
+                summed[star] = 0
+                add_up(rows, star)
         if member:
             m = len(member)
             out.append(pa.table([pa.array(list(member), pa.int64()), pa.nulls(m, pa.int64()), pa.array(list(member.values()), pa.int64()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_())), pa.array([root(x) for x in member], pa.int64())], schema=_PAIRS))
