@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from webloom.functions import pages as P
 from webloom.functions import status as S
 from webloom.functions import text as X
-from webloom.operators import crawl, index, lineage, ranking, robots, search, segments, status
+from webloom.operators import canonical, crawl, index, lineage, ranking, robots, search, segments, status, store
 from webloom.sources import files, manifests, visited
 from webloom.streaming import ingest
 
@@ -270,10 +270,37 @@ def visited_load(spark, sf_dir):
 def streamed_index(spark, sf_dir):
     """Pages as a stream: new URLs are indexed as they come, and what is committed is read."""
     path = lineage.folder(spark, "stream")
-    ingest.index_stream(ingest.page_stream(spark, f"{sf_dir}/pages*.parquet"), f"{path}/index", f"{path}/checkpoint", "seed").awaitTermination()
+    ingest.index_stream(ingest.page_stream(spark, f"{sf_dir}/pages.parque[t]"), f"{path}/index", f"{path}/checkpoint", "seed").awaitTermination()
     return index.read(spark, f"{path}/index").groupBy("word").agg(F.count("*").alias("n_pages"), F.sum("frequency").alias("total_frequency"))
 
 
+def stream_segments(spark, sf_dir):
+    """A stream of pages in which a third come twice, into an index of segments: each counts once."""
+    path, pages = lineage.folder(spark, "segment-stream"), table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    for k, part in enumerate((pages.where("page_id % 3 != 0"), pages.where("page_id % 3 != 1"))):
+        part.drop("page_id").write.mode("append").parquet(f"{path}/in/{k}")
+    ingest.segment_stream(ingest.page_stream(spark, f"{path}/in/*", 1), f"{path}/index", f"{path}/visited", f"{path}/checkpoint", "seed").awaitTermination()
+    return index.read(spark, f"{path}/index").groupBy("word").agg(F.count("*").alias("n_pages"), F.sum("frequency").alias("total_frequency"))
+
+
+def document_upsert(spark, sf_dir):
+    """Documents stored, then a fifth of them with other texts, a seventh with older ones, and some for the first time."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("doc/"), "doc_id").alias("url"), F.col("source").alias("title"), "text", F.lit(100).alias("fetched_at"), F.col("doc_id").alias("k"))
+    held = store.DocumentStore(spark, lineage.folder(spark, "documents"), buckets=16)
+    held.upsert(docs.where("k % 10 != 9"))
+    other = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" again")))
+    held.upsert(other.where("k % 5 = 4").withColumn("fetched_at", F.lit(200)).unionByName(other.where("k % 7 = 1 and k % 5 != 4").withColumn("fetched_at", F.lit(50))))
+    return held.read()
+
+
+def canonical_urls(spark, sf_dir):
+    """Documents as pages of a few hosts: one parameter never changes what is there, another does on every second host."""
+    k = F.col("doc_id")
+    url = F.format_string("http://H%d.example/p%d?b=%d&a=%d", k % 13, k % 17, k % 5, k % 3)
+    pages = table(spark, sf_dir, "documents").select(url.alias("url"), F.concat_ws("/", k % 13, k % 17, F.when(k % 13 % 2 == 0, k % 3).otherwise(0)).alias("html"))
+    return canonical.canonical(pages, canonical.neutral(pages, F.col("html")))
+
+
 def _graph(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return crawl.lead_over(orders, "o_orderkey", "o_custkey").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("pos"), F.col("next").alias("dst"))
@@ -390,7 +417,7 @@ _NAMES = (
     first_origin, search_all_terms, document_frequency, html_tokens, extract_links, normalize_url, fetch_outcome, crawl_counters, visited_dedupe, bfs_depth, bfs_max_pages, bfs_visited, queue_depth, throttle_delay,
     fetch_schedule, state_snapshot, effective_state, back_pressure_status, job_history, latest_job, poll_delta, incremental_append, shard_scan, shard_lookup,
     search_request, visited_load, streamed_index, state_scan, crawler_ids, lenient_numbers,
-    search_tfidf, search_snippets, search_updates, search_top_changes, segment_replay, visited_claims, robots_allowed,
+    search_tfidf, search_snippets, search_updates, search_top_changes, segment_replay, visited_claims, robots_allowed, stream_segments, document_upsert, canonical_urls,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -504,6 +531,16 @@ f AS (SELECT url, host, CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || r
 r AS (SELECT DISTINCT host, page_id % 2 = 0 AS allow, page_id % 3 AS k, CASE page_id % 3 WHEN 0 THEN path[1:4] WHEN 1 THEN path[1:7] ELSE right(path, 2) END AS x FROM pages JOIN f USING (url) WHERE NOT contains(path, '*') AND NOT contains(path, '$')),
 m AS (SELECT url, length(x) + CASE k WHEN 2 THEN 3 ELSE 0 END AS n, allow FROM f JOIN r USING (host) WHERE CASE k WHEN 2 THEN ends_with(path, x) AND length(path) > length(x) ELSE starts_with(path, x) END)
 SELECT url, coalesce(arg_max(allow, n * 2 + CAST(allow AS INTEGER)), true) AS allowed FROM f LEFT JOIN m USING (url) GROUP BY url""",
+    "stream_segments": f"WITH {_WORDS} SELECT word, count(*) AS n_pages, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM words GROUP BY word",
+    "document_upsert": """WITH d AS (SELECT doc_id AS k, source AS title, coalesce(text, '') AS t FROM documents),
+u AS (SELECT k, title, CASE WHEN k % 5 = 4 OR k % 7 = 1 AND k % 10 = 9 THEN t || ' again' ELSE t END AS text, CASE WHEN k % 5 = 4 THEN 200 ELSE 100 END AS fetched_at FROM d WHERE k % 10 <> 9 OR k % 5 = 4)
+SELECT CAST(k AS VARCHAR) AS doc_id, 'doc/' || k AS url, title, text, CAST(fetched_at AS BIGINT) AS fetched_at, sha256(text) AS content_hash, CAST(length(text) AS INTEGER) AS length FROM u""",
+    "canonical_urls": """WITH p AS (SELECT DISTINCT doc_id % 13 AS h, doc_id % 17 AS x, doc_id % 5 AS b, doc_id % 3 AS a, concat_ws('/', doc_id % 13, doc_id % 17, CASE WHEN doc_id % 13 % 2 = 0 THEN doc_id % 3 ELSE 0 END) AS content FROM documents),
+g AS (SELECT h, 'a' AS name, count(DISTINCT content) AS n FROM p GROUP BY h, x, b HAVING count(DISTINCT a) > 1 UNION ALL SELECT h, 'b', count(DISTINCT content) FROM p GROUP BY h, x, a HAVING count(DISTINCT b) > 1),
+n AS (SELECT h, name FROM g GROUP BY h, name HAVING count(*) FILTER (n = 1) >= 2 AND count(*) FILTER (n > 1) = 0),
+q AS (SELECT DISTINCT h, x, a, b, (h, 'a') IN (SELECT (h, name) FROM n) AS no_a, (h, 'b') IN (SELECT (h, name) FROM n) AS no_b FROM p)
+SELECT 'http://H' || h || '.example/p' || x || '?b=' || b || '&a=' || a AS url,
+  'http://h' || h || '.example/p' || x || CASE WHEN no_a AND no_b THEN '' WHEN no_a THEN '?b=' || b WHEN no_b THEN '?a=' || a ELSE '?a=' || a || '&b=' || b END AS canonical FROM q""",
     "visited_load": f"WITH {_LINKS} SELECT target AS url FROM links WHERE target IS NOT NULL UNION SELECT url FROM pages",
     "streamed_index": f"WITH {_WORDS} SELECT word, count(*) AS n_pages, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM words GROUP BY word",
     "state_scan": f"WITH {_STATES} SELECT CAST(crawler_id AS VARCHAR) AS crawler_id, '' AS origin, state, updated_at, CAST(pages_indexed AS INTEGER) AS pages_indexed, CAST(0 AS INTEGER) AS queue_size FROM st",

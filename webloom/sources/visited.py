@@ -93,9 +93,15 @@ class Visited:
         return asked.where("not maybe").select("url").unionByName(asked.where("maybe").select("url").join(held, "url", "left_anti"))
 
     def claim(self, level: DataFrame, name: str, about: dict, limit: int | None = None) -> tuple[DataFrame, int]:
-        """(url, key of the level's URLs that this claim has, their number): those not visited, the first `limit` by (key, url)."""
+        """(url, key of the level's URLs that this claim has, their number): those not visited, the first `limit` by (key, url).
+
+        A claim of a name that there is already is that claim.
+        """
         for _ in range(TRIES):
             last = self.manifests.load()
+            for b in last.get("batches", []):
+                if b["name"] == name:
+                    return self.read([b]).select("url", "key"), b["n"]
             mine = level.join(self.new(level, last["version"]), "url", "left_semi").groupBy("url").agg(F.min("key").alias("key"))
             mine = mine if limit is None else mine.orderBy("key", "url").limit(limit)
             folder = f"{last['version']:012d}-{uuid.uuid4().hex[:12]}"

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from webloom.operators import index
+from webloom.operators.segments import Segments
 from webloom.sources.schema import PAGE
+from webloom.sources.visited import Visited
+
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def page_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -16,6 +22,20 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
+@contextmanager
+def on_disk(spark: SparkSession):
+    """Queries that start meanwhile keep their state in RocksDB, on the executors' disks instead of in their memory. The session's setting comes back."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+
+
 def unseen(pages: DataFrame) -> DataFrame:
     """The first page of each URL; the state store is the visited set, and survives restarts."""
     return pages.dropDuplicates(["url"])
@@ -29,13 +49,36 @@ def index_stream(pages: DataFrame, path: str, checkpoint: str, origin: str = "",
         index.write(index.page_postings(rows), f"{path}/batch_id={n}", batch=n, mode="overwrite")
 
     writer = unseen(pages).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("append")
+    with on_disk(pages.sparkSession):
+        return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def segment_stream(pages: DataFrame, root: str, visited: str, checkpoint: str, origin: str = "", depth: int = 0, name: str = "stream", once: bool = True) -> StreamingQuery:
+    """Appends new pages to a segmented index, a segment a batch. The visited URLs are the table that crawl jobs share, so the stream holds no state.
+
+    A batch claims its new URLs by its number, indexes the claim's pages, and says it is done. One that comes again finds
+    its claim and its segment, so pages count once. Of several pages of a URL in a batch the least by its HTML counts;
+    a page that is null is visited, not indexed.
+    """
+    index_, seen = Segments(pages.sparkSession, root), Visited(pages.sparkSession, visited)
+
+    def put(batch: DataFrame, n: int) -> None:
+        mine, count = seen.claim(batch.select("url", F.array(F.lit(0).cast("bigint")).alias("key")), f"{name}-{n}", {"job": name, "origin": origin, "depth": depth, "limit": depth})
+        if not count:
+            return
+        rows = batch.where("html is not null").join(mine.select("url"), "url", "left_semi").groupBy("url").agg(F.min("html").alias("html"))
+        index_.append_pages(rows.select(F.lit(origin).alias("origin_url"), F.col("url").alias("current_url"), F.lit(depth).alias("depth"), "html"), f"{name}-{n}")
+        seen.done(f"{name}-{n}")
+
+    writer = pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def link_stream(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends the resolved links of new pages, the next hop's URLs."""
     links = index.page_links(unseen(pages).where("html is not null")).where("target is not null").select(F.col("url").alias("src"), "pos", F.col("target").alias("dst"))
-    return links.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with on_disk(pages.sparkSession):
+        return links.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def telemetry(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
