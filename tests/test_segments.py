@@ -126,6 +126,19 @@ def test_blocks_and_buckets_are_pushed_down(corpus):
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(word,w0)" in plan and "block" in plan.split("PushedFilters: [")[1]
 
 
+def test_search_of_small_and_large_buckets(corpus, monkeypatch):
+    """A search over small buckets is one task without a shuffle; its answer is that over large ones, and of the version when it is asked."""
+    from webloom.operators import segments
+
+    s, _ = corpus
+    engine = search.SearchEngine(s)
+    small, rows = engine.search_api("w3 w9", page=2, page_size=7), s.matching(["w3"])
+    assert rows.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(segments, "SMALL", 0)
+    assert engine.search_api("w3 w9", page=2, page_size=7) == small == search.SearchEngine(s.read()).search_api("w3 w9", page=2, page_size=7)
+    assert small["total"] > 100 and s.matching(["w3"], 1).count() < s.matching(["w3"]).count()
+
+
 def test_snippets(corpus):
     """The smallest window with all terms, by all windows."""
     s, rows = corpus

@@ -12,6 +12,7 @@ from webloom.functions import text as X
 from webloom.sources import files
 from . import index
 from .lineage import cut
+from .segments import Segments
 
 #: Most rows of a page by request; rows up to which a page is found in the same job as the total.
 MOST, FIRST = 100, 10_000
@@ -86,12 +87,14 @@ def page_of(results: DataFrame, keys: list, page: int, size: int) -> DataFrame:
 
 
 class SearchEngine:
-    """Search over an index table, or over a folder of JSON-line shards."""
+    """Search over an index table, an index in segments as of its last version, or a folder of JSON-line shards."""
 
-    def __init__(self, rows: DataFrame | None = None, spark: SparkSession | None = None, storage_dir: str | None = None):
+    def __init__(self, rows: DataFrame | Segments | None = None, spark: SparkSession | None = None, storage_dir: str | None = None):
         self.rows, self.spark, self.storage_dir = rows, spark, storage_dir
 
     def _rows(self, terms: list[str]) -> DataFrame:
+        if isinstance(self.rows, Segments):
+            return self.rows.matching(terms)
         return self.rows if self.rows is not None else files.read_shards(self.spark, self.storage_dir, terms)
 
     def _answer(self, query: str, sort_by: str, page: int, size: int) -> tuple[dict, list]:

@@ -27,7 +27,11 @@ from webloom.functions import pages as P
 from webloom.functions import text as X
 from webloom.sources.manifests import Manifests, file_system
 
+from . import index
+
 BLOCK, LEASE = 512, 24 * 3600
+#: Bytes of buckets up to which a search is one task, which spares it a shuffle.
+SMALL = 8 << 20
 _PAGE = "origin_url string, current_url string, depth int, seq bigint, length int, block bigint, words array<string>, batch string"
 _POSTING = "word string, origin_url string, current_url string, depth int, frequency bigint, ts bigint, seq bigint, length int, block bigint, positions array<int>, batch string, bucket string"
 _BLOCKS = "word string, block bigint, n bigint, most double, batch string, bucket string"
@@ -41,6 +45,7 @@ def impact() -> Column:
 class Segments:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.manifests = spark, root.rstrip("/"), Manifests(spark, root)
+        self._open: tuple | None = None
 
     @staticmethod
     def at(spark: SparkSession, root: str) -> bool:
@@ -67,9 +72,14 @@ class Segments:
         self._write(docs, words, folder, ts)
         n = self._read("pages", [folder]).agg(F.count("*").alias("pages"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
 
+        path, fs = file_system(self.spark, self._path("postings", folder))
+        # A number for each bucket.
+        sizes = {x.getPath().getName().removeprefix("bucket="): fs.getContentSummary(x.getPath()).getLength() for x in fs.listStatus(path) if x.isDirectory()}
+
         def add(last: dict) -> dict | None:
             held = last.get("segments", [])
-            return None if any(s["name"] == batch for s in held) else {"segments": [*held, {"name": batch, "folder": folder, "pages": n.pages, "words": n.words}]}
+            new = {"name": batch, "folder": folder, "pages": n.pages, "words": n.words, "bytes": sizes}
+            return None if any(s["name"] == batch for s in held) else {"segments": [*held, new]}
 
         return self._commit(add)["version"]
 
@@ -124,3 +134,21 @@ class Segments:
         """A version's rows; with since only those of segments that that version hadn't."""
         old = {s["folder"] for s in self.listed(since)} if since else set()
         return self._read(table, [s["folder"] for s in self.listed(version) if s["folder"] not in old])
+
+    def matching(self, terms: list[str], version: int | None = None) -> DataFrame:
+        """The postings of some terms; in one partition if their buckets are small."""
+        buckets = {X.bucket_of(t) for t in terms}
+        rows, sizes = self._opened(version)
+        rows = index.lookup(rows, terms)
+        return rows.coalesce(1) if sum(sizes.get(b, 0) for b in buckets) <= SMALL else rows
+
+    def _opened(self, version: int | None) -> tuple[DataFrame, dict[str, int]]:
+        """The rows of a version, whose files are listed once, and the bytes of each bucket."""
+        v = self.version() if version is None else version
+        if self._open is None or self._open[0] != v:
+            sizes: dict[str, int] = {}
+            for s in self.listed(v):
+                for b, n in s["bytes"].items():
+                    sizes[b] = sizes.get(b, 0) + n
+            self._open = v, (self.read(v), sizes)
+        return self._open[1]

@@ -115,12 +115,18 @@ def shard_lookup(spark, sf_dir):
 
 def search_request(spark, sf_dir):
     """A request for the third page of more rows than a page may have, from the stored index."""
-    found = search.SearchEngine(_segments(spark, sf_dir).read()).request({"query": QUERY, "sortBy": " Frequency", "page": str(PAGE), "page_size": "5000"})
+    found = search.SearchEngine(_segments(spark, sf_dir)).request({"query": QUERY, "sortBy": " Frequency", "page": str(PAGE), "page_size": "5000"})
     # A page: search.MOST rows at most.
     rows = spark.createDataFrame(found["results"], "url string, origin_url string, depth int, frequency bigint, relevance_score bigint")
     return rows.withColumns({c: F.lit(found[c]).cast("bigint") for c in ("total", "page", "page_size", "total_pages")} | {"sort_by": F.lit(found["sortBy"])})
 
 
+def search_json(spark, sf_dir):
+    """Results as an answer's JSON objects."""
+    found = search.scored(search.match(_segments(spark, sf_dir).read(), TERMS))
+    return found.select("url", F.to_json(F.struct("url", "origin_url", "depth", "frequency", "relevance_score")).alias("row"))
+
+
 def _ranked(spark, sf_dir, sort_by):
     results = search.scored(search.match(_segments(spark, sf_dir).read(), X.query_terms(QUERY)))
     return search.numbered(results, search.order(sort_by))
@@ -417,7 +423,7 @@ _NAMES = (
     first_origin, search_all_terms, document_frequency, html_tokens, extract_links, normalize_url, fetch_outcome, crawl_counters, visited_dedupe, bfs_depth, bfs_max_pages, bfs_visited, queue_depth, throttle_delay,
     fetch_schedule, state_snapshot, effective_state, back_pressure_status, job_history, latest_job, poll_delta, incremental_append, shard_scan, shard_lookup,
     search_request, visited_load, streamed_index, state_scan, crawler_ids, lenient_numbers,
-    search_tfidf, search_snippets, search_updates, search_top_changes, segment_replay, visited_claims, robots_allowed, stream_segments, document_upsert, canonical_urls,
+    search_tfidf, search_snippets, search_updates, search_top_changes, segment_replay, visited_claims, robots_allowed, stream_segments, document_upsert, canonical_urls, search_json,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -541,6 +547,7 @@ n AS (SELECT h, name FROM g GROUP BY h, name HAVING count(*) FILTER (n = 1) >= 2
 q AS (SELECT DISTINCT h, x, a, b, (h, 'a') IN (SELECT (h, name) FROM n) AS no_a, (h, 'b') IN (SELECT (h, name) FROM n) AS no_b FROM p)
 SELECT 'http://H' || h || '.example/p' || x || '?b=' || b || '&a=' || a AS url,
   'http://h' || h || '.example/p' || x || CASE WHEN no_a AND no_b THEN '' WHEN no_a THEN '?b=' || b WHEN no_b THEN '?a=' || a ELSE '?a=' || a || '&b=' || b END AS canonical FROM q""",
+    "search_json": f"WITH {_HIT} SELECT url, CAST(to_json(struct_pack(url := url, origin_url := origin_url, depth := depth, frequency := frequency, relevance_score := relevance_score)) AS VARCHAR) AS row FROM hit",
     "visited_load": f"WITH {_LINKS} SELECT target AS url FROM links WHERE target IS NOT NULL UNION SELECT url FROM pages",
     "streamed_index": f"WITH {_WORDS} SELECT word, count(*) AS n_pages, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM words GROUP BY word",
     "state_scan": f"WITH {_STATES} SELECT CAST(crawler_id AS VARCHAR) AS crawler_id, '' AS origin, state, updated_at, CAST(pages_indexed AS INTEGER) AS pages_indexed, CAST(0 AS INTEGER) AS queue_size FROM st",
