@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
-from urllib.parse import urldefrag, urljoin, urlparse
+from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -15,18 +15,21 @@ from .text import TERM
 _TERM = re.compile(TERM)
 
 
-class _Reader(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.pieces: list[str] = []
-        self.targets: list[str] = []
+class _Words(HTMLParser):
+    """Takes a page's terms node by node, as no term goes from one node to the next, and its anchors' targets."""
 
-    def handle_starttag(self, tag, attrs):
-        if tag == "a":
-            self.targets.extend(v for k, v in attrs if k == "href" and v)
+    def __init__(self, html: str):
+        super().__init__()
+        self.words: list[str] = []
+        self.links: list[str] = []
+        self.feed(html)
 
     def handle_data(self, data):
-        self.pieces.append(data)
+        self.words += map(str.lower, _TERM.findall(data))
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.links += (value for name, value in attrs if value and name == "href")
 
 
 def words_and_links(html: str | None) -> tuple[list[str], list[str]]:
@@ -34,21 +37,18 @@ def words_and_links(html: str | None) -> tuple[list[str], list[str]]:
 
     The parser isn't closed: text after the last tag that could still become a character reference is not seen.
     """
-    if not html:
-        return [], []
-    r = _Reader()
-    r.feed(html)
-    return [w.lower() for w in _TERM.findall(" ".join(r.pieces))], r.targets
+    page = _Words(html or "")
+    return page.words, page.links
 
 
 def resolve(base: str | None, href: str | None) -> str | None:
     """The absolute http(s) URL without its fragment, or None; a malformed one is None too."""
     try:
-        url = urldefrag(urljoin(base or "", (href or "").strip()))[0]
-        parts = urlparse(url)
-        return parts.geturl() if parts.scheme in ("http", "https") and parts.netloc else None
+        url = urlsplit(urljoin(base or "", (href or "").strip()))
     except ValueError:
         return None
+    whole = url.netloc and url.scheme in {"http", "https"}
+    return urlunsplit(url._replace(fragment="")) if whole else None
 
 
 def parse_page(html: Column) -> Column:

@@ -8,5 +8,3 @@ STATE = (
     "visited_pages array<string>, pages_processed int, pages_indexed int, pages_failed int, logs array<string>, updated_at bigint"
 )
 PAGE = "url string, html string"
-JOB_EVENT = "crawler_id string, seq bigint, ts bigint, message string"
-EDGE = "src string, pos int, dst string"
