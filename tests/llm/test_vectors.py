@@ -24,7 +24,7 @@ def rows():
     x = (rng.normal(size=(600, 8)) * rng.choice([0.2, 1, 3], size=(600, 1))).astype(np.float32)
     x[100:300] = x[100]  # a third are copies
     out = [(k, [float(c) for c in v], int(y)) for (k, v), y in zip(enumerate(x), np.where(np.arange(600) % 3, rng.integers(0, 4, 600), 1))]
-    out += [(1000 + 50 * k, v, k % 3) for k, v in enumerate(ODD)] + [(None, out[0][1], 1), (5, out[5][1], out[5][2]), (5, out[5][1], out[5][2]), (2050, out[7][1], None), (2107, out[8][1], 2)]
+    out += [(1000 + 50 * k, v, k % 3) for k, v in enumerate(ODD)] + [(None, out[0][1], 1), (5, out[5][1], out[5][2]), (5, out[5][1], out[5][2]), (2050, out[7][1], None), (2107, out[8][1], 2), (2200, [], 1), (2201, [], 1), (2202, [], 2)]
     return out
 
 
@@ -66,7 +66,7 @@ def test_clusters_of_few_rows(spark, rows):
 def negatives(rows, positives=5, k=3, low=50, high=95):
     held = {}
     for i, v, y in rows:
-        if i is not None and y is not None and good(v) and v:
+        if i is not None and y is not None and good(v):
             q = tuple(math.floor(256 * c) for c in v)
             held[i] = min(held.get(i, (y, q)), (y, q))
     out = []
@@ -104,7 +104,7 @@ def test_short_buckets_are_skipped():
     q = np.sort(rng.integers(1, 1000, 400))[::-1, None] * rng.integers(0, 10, (400, 6))
     rows = lambda x, first: {"id": range(first, first + len(x)), "label": [0] * len(x), "norm2": (x**2).sum(1).tolist(), "q": x.tolist()}
     asked = pa.table({**rows(q[:20], 1000), "low": [[1]] * 20, "high": [[1 << 60]] * 20}).cast(pa.schema([("id", pa.int64()), ("label", pa.int64()), ("norm2", pa.int64()), ("q", pa.list_(pa.int32())), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64()))]))
-    stripe = [{"top": int((x**2).sum(1).max()), "bucket": k, "ids": np.arange(20 * k, 20 * k + 20).tobytes(), "labels": np.ones(20, np.int64).tobytes(), "rows": x.astype(np.int32).tobytes()} for k, x in enumerate(np.split(q, 20))]
+    stripe = [{"dim": 6, "top": int((x**2).sum(1).max()), "bucket": k, "ids": np.arange(20 * k, 20 * k + 20).tobytes(), "labels": np.ones(20, np.int64).tobytes(), "rows": x.astype(np.int32).tobytes()} for k, x in enumerate(np.split(q, 20))]
     found, skipped = hard_negatives.top(asked, pa.Table.from_pylist(stripe), 3, False)
     want = [(1000 + i, int(s[j]), int(j)) for i, s in enumerate(q[:20] @ q.T) for j in np.lexsort((np.arange(400), -s))[:3]]
     assert [(r["anchor"], r["score"], r["id"]) for r in found.to_pylist()] == want and skipped > 100

@@ -17,8 +17,8 @@ The rows of an anchor's result are few; a label that a third of all rows have is
 equal vectors are spread over buckets by their ids. Anchors are asked against all rows, in blocks: that is the
 work, and buckets skipped are what saves of it. Where all norms are equal, only the limits save any.
 
-Rows take no part if the id, label or vector is null, or the vector is empty or has a component that is null
-or not finite. Rows that repeat an id are one, the least by label, then by components. Vectors of another
+Rows take no part if the id, label or vector is null, or the vector has a component that is null or not finite;
+empty vectors have scores of 0 with each other. Rows that repeat an id are one, the least by label, then by components. Vectors of another
 number of components are compared among themselves. Components beyond LARGEST after scaling, whose scores
 might not fit a long, raise an error. Ties go to the smaller id. Tables without rows give none. Columns other
 than the id, label and vector are not read, whatever their names.
@@ -51,16 +51,16 @@ def _rows(vectors: DataFrame, id_col: str, label_col: str, vector_col: str, labe
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     far = F.exists(v, lambda x: F.abs(x.cast("double") * scale) > LARGEST)
     whole = F.when(far, F.raise_error(F.lit(f"a component is larger than {LARGEST // scale}")).cast("array<int>")).otherwise(F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("int")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.cast("long").alias("label"), F.when(v.isNotNull() & (F.size(v) > 0) & ~odd, whole).alias("q"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.cast("long").alias("label"), F.when(v.isNotNull() & ~odd, whole).alias("q"))
     rows = rows.where("id is not null and label is not null and q is not null").groupBy("id").agg(F.min(F.struct("label", "q")).alias("r")).select("id", "r.*")
     norm2 = F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x.cast("long"))
     return rows.select(F.size("q").alias("dim"), "id", "label", "q", norm2.alias("norm2"))
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, dim: int) -> np.ndarray:
     """Rows of integers as doubles, which hold products of up to 2^53 exactly."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
 _BUCKET = "dim int, label long, bucket long, top long, ids binary, labels binary, rows binary"
@@ -80,7 +80,7 @@ def buckets(rows: DataFrame, by_label: bool, n: int, size: int = BUCKET) -> Data
         def packed(rows: pa.Table):
             nonlocal made
             dim = rows.column("dim")[0].as_py()
-            q = rows.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(-1, dim)
+            q = rows.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(rows.num_rows, dim)
             ids, labels, norm2 = (rows.column(c).to_numpy() for c in ("id", "label", "norm2"))
             at = np.argsort(ids)  # so that the first of equal scores has the smallest id
             made += 1
@@ -116,7 +116,8 @@ def top(asked: pa.Table, stripe: pa.Table, k: int, by_label: bool) -> tuple[pa.T
 
     asked: id, label, norm2, q, and arrays low and high, the windows of each anchor.
     """
-    n, a = asked.num_rows, _matrix(asked.column("q"))
+    n, dim = asked.num_rows, stripe.column("dim")[0].as_py()
+    a = _matrix(asked.column("q"), dim)
     own, labels, norm = asked.column("id").to_numpy(), asked.column("label").to_numpy(), np.sqrt(asked.column("norm2").to_numpy().astype(np.float64))
     windows = max(len(x) for x in asked.column("low").to_pylist())
     low, high = (np.array([[*x, *[fill] * (windows - len(x))] for x in asked.column(c).to_pylist()], np.int64) for c, fill in (("low", 1 << 62), ("high", _NONE)))
@@ -125,7 +126,7 @@ def top(asked: pa.Table, stripe: pa.Table, k: int, by_label: bool) -> tuple[pa.T
     skipped = 0
     for x in sorted(stripe.to_pylist(), key=lambda r: (-r["top"], r["bucket"])):
         cand, of = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["labels"], np.int64)
-        m = np.frombuffer(x["rows"], np.int32).reshape(len(cand), -1).astype(np.float64)
+        m = np.frombuffer(x["rows"], np.int32).reshape(len(cand), dim).astype(np.float64)
         exact = float(np.abs(m).max(initial=0)) * float(np.abs(a).max(initial=0)) * m.shape[1] < 2.0**53
         # A little above what it is, as the roots are rounded.
         bound = norm * np.sqrt(float(x["top"])) * (1 + 1e-9) + 1
