@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -145,6 +146,32 @@ def test_pairs_of_a_block_are_emitted_once(monkeypatch):
         assert sorted(map(str, got)) == sorted(map(str, want.to_pylist()))
 
 
+def test_long_lists_are_of_like_sizes_and_do_not_chain():
+    """Each pair that shares a shingle and may be similar by size is a pair, or in one long list; lists that overlap a little stay apart, and spread sizes make none."""
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    of = {}
+    for s in range(30):  # lists of one size, each sharing a quarter with the next, and with strangers of all sizes
+        of[s] = {(30 * s + i, 100) for i in range(40)} | {(5000 + x, 20 + x) for x in rnd.sample(range(3000), 20)}
+    for s in range(30, 60):  # spread sizes
+        of[s] = {(5000 + x, 20 + x) for x in rnd.sample(range(3000), 60)}
+    h = np.repeat(np.arange(60, dtype=np.uint64), [len(of[s]) for s in range(60)])
+    doc, size = (np.array([e[k] for s in range(60) for e in sorted(of[s])]) for k in (0, 1))
+    rows = ngram_join.packed_entries(h, doc, size, 0)
+    got = ngram_join._product(85)(pa.Table.from_pylist([dict(zip(("at", "part", "n", "h", "doc", "size"), r)) for r in rows])).to_pylist()
+    pairs = {(r["a"], r["b"]) for r in got if r["b"] is not None}
+    lists = {}
+    for r in got:
+        if r["list"] is not None:
+            lists.setdefault(r["list"], set()).add(r["a"])
+    for entries in of.values():
+        for (a, x), (b, y) in itertools.combinations(sorted(entries), 2):
+            if 100 * min(x, y) >= 85 * max(x, y):
+                assert (a, b) in pairs or any({a, b} <= m for m in lists.values())
+    assert len(lists) == 30 and max(map(len, lists.values())) < 60
+
+
 def test_counts_bound_the_overlap():
     """Counts by bin never discard a pair that is similar, sizes beyond a byte included."""
     import pyarrow as pa

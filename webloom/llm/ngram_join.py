@@ -13,10 +13,12 @@ row: pairs that can't reach the overlap that their sizes ask for are discarded.
 shingles are counted in BINS by hash: two rows share at most the sum of the smaller counts, and pairs for
 which that is too little go as well. What is left is compared whole, by their sets.
 
-A shingle that more than ALL documents share isn't expanded into all pairs: some of its documents, a few in
-each range of sizes, are compared with all the rest, and the list is kept. After components are found, only
-documents of such a list that are outside its largest component are compared with the others, DOCS by DOCS
-in a product of their whole rows that gives only links between components: none of these is lost, while
+Of a shingle's documents, by size, one that could be similar to ALL or more of those after it isn't paired with
+them: the run of documents that such ones reach is a long list. Some of its documents, a few in each range of
+sizes, are compared with all the rest, and the list is kept, together with lists that share at least half of
+their documents with it, but not with all that share one: chance would chain these. After components are found,
+only documents of such a list that are outside its largest component are compared with the others, DOCS by
+DOCS in a product of their whole rows that gives only links between components: none of these is lost, while
 pairs inside a component are never made.
 
 Order: the shingles that are found several times in slices of the input are counted over the whole input;
@@ -30,6 +32,8 @@ a null component_id. Only doc_id and text are read.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -191,7 +195,9 @@ def _product(percent: int):
     """The product's share of one block: pairs with counts; for long lists, pairs with a few documents, and (list, document) rows as a, na."""
 
     def product(table: pa.Table) -> pa.Table:
-        found, stars, groups, out = [], [], {}, []
+        found, stars, out = [], [], []
+        groups: dict[int, dict[int, int]] = {}  # documents of long lists, with sizes
+        home: dict[int, int] = {}  # the first group of a document
         summed = {False: 0, True: 0}  # of the pairs held, how many are sums already
 
         def add_up(rows: list, star: bool, least: int = 0) -> None:
@@ -212,12 +218,26 @@ def _product(percent: int):
             summed[star] = 0
             out.append(pa.table([*map(pa.array, p), pa.array([star] * p.shape[1], pa.bool_()), pa.nulls(p.shape[1], pa.int64())], schema=_PAIRS))
 
-        def root(x):
-            while groups.setdefault(x, x) != x:
-                groups[x] = x = groups[groups[x]]
-            return x
-
-        member: dict[int, int] = {}
+        def keep(d: np.ndarray, z: np.ndarray) -> None:
+            """Keeps a long list: in the group that at least half of its documents came to first, else in a new one."""
+            [(at, known)] = Counter(home[x] for x in d.tolist() if x in home).most_common(1) or [(None, 0)]
+            if 2 * known < len(d):
+                at = len(groups)
+            group = groups.setdefault(at, {})
+            for x, y in zip(d.tolist(), z.tolist()):
+                group[x] = y
+                home.setdefault(x, at)
+
+        def with_pivots(d: np.ndarray, z: np.ndarray) -> None:
+            lo = 0
+            while lo < len(d):
+                hi = int(np.searchsorted(percent * z, 100 * z[lo], side="right"))
+                luck = np.argsort(mix(d[lo:hi].view(np.uint64)))[:PIVOTS] + lo
+                for p in luck:
+                    ok = (100 * np.minimum(z, z[p]) >= percent * np.maximum(z, z[p])) & (d != d[p])
+                    m = int(ok.sum())
+                    stars.append(np.stack([np.full(m, d[p]), d[ok], np.full(m, z[p]), z[ok], np.ones(m, np.int64)]))
+                lo = hi
 
         def pair_up(h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> None:
             start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -237,22 +257,29 @@ def _product(percent: int):
                     continue
                 for s in at:
                     d, z = doc[s : s + k], size[s : s + k]
-                    lo = 0
-                    while lo < k:
-                        hi = int(np.searchsorted(percent * z, 100 * z[lo], side="right"))
-                        luck = np.argsort(mix(d[lo:hi].view(np.uint64)))[:PIVOTS] + lo
-                        for p in luck:
-                            ok = (100 * np.minimum(z, z[p]) >= percent * np.maximum(z, z[p])) & (d != d[p])
-                            m = int(ok.sum())
-                            stars.append(np.stack([np.full(m, d[p]), d[ok], np.full(m, z[p]), z[ok], np.ones(m, np.int64)]))
-                        lo = hi
-                    add_up(stars, True, PAIRS)
-                    first = root(int(d[0]))
-                    for x, y in zip(d.tolist(), z.tolist()):
-                        member[x] = y
-                        r = root(x)
-                        if r != first:
-                            groups[r] = first
+                    # Sizes ascend: a document may be similar to those after it, up to `end`.
+                    end = np.searchsorted(percent * z, 100 * z, side="right")
+                    many = end - np.arange(k) > ALL
+                    cover = np.zeros(k + 1, np.int64)
+                    np.add.at(cover, np.flatnonzero(many), 1)
+                    np.add.at(cover, end[many], -1)
+                    edge = np.flatnonzero(np.diff(np.r_[0, np.cumsum(cover) > 0, 0]))
+                    # Pairs outside the runs, also of one document of a run and one after it.
+                    begin = np.arange(1, k + 1)
+                    for lo, hi in zip(edge[::2], edge[1::2]):
+                        begin[lo:hi] = hi
+                    made = np.maximum(end - begin, 0)
+                    x = np.repeat(np.arange(k), made)
+                    y = begin[x] + np.arange(len(x)) - np.repeat(np.cumsum(made) - made, made)
+                    ok = d[x] != d[y]
+                    if ok.any():
+                        x, y = x[ok], y[ok]
+                        found.append(np.stack([d[x], d[y], z[x], z[y], np.ones(len(x), np.int64)]))
+                        add_up(found, False, PAIRS)
+                    for lo, hi in zip(edge[::2], edge[1::2]):
+                        with_pivots(d[lo:hi], z[lo:hi])
+                        keep(d[lo:hi], z[lo:hi])
+                        add_up(stars, True, PAIRS)
 
         part = table.column("part").to_numpy()
         for k in np.unique(part):
@@ -263,9 +290,9 @@ def _product(percent: int):
             if rows:
                 summed[star] = 0
                 add_up(rows, star)
-        if member:
-            m = len(member)
-            out.append(pa.table([pa.array(list(member), pa.int64()), pa.nulls(m, pa.int64()), pa.array(list(member.values()), pa.int64()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_())), pa.array([root(x) for x in member], pa.int64())], schema=_PAIRS))
+        for group in groups.values():
+            m = len(group)
+            out.append(pa.table([pa.array(list(group), pa.int64()), pa.nulls(m, pa.int64()), pa.array(list(group.values()), pa.int64()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_())), pa.array([min(group)] * m, pa.int64())], schema=_PAIRS))
         return pa.concat_tables(out) if out else _PAIRS.empty_table()
 
     def run(table: pa.Table) -> pa.Table:
