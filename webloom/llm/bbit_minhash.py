@@ -8,9 +8,9 @@ minima agree in these with probability 2^-BITS, so the similarity of two candida
 fields that agree, counted as bits of the signatures' difference, and corrected for such collisions. Candidates
 that are estimated SIGMAS standard deviations below the limit, or more, go. All others are confirmed on full sets.
 
-Equal sets are one class, which has one row in the bands. A band that more than ngram_join.ALL documents share
-isn't expanded into all pairs: some of its documents are compared with all the rest, and after components are
-found, those outside its largest component with all others, in blocks (ngram_join). So a group of thousands of
+Equal sets are one class, which has one row in the bands. A run of a band's documents by size, in which one could
+be similar to ngram_join.ALL others or more, isn't expanded into all pairs: some of its documents are compared with
+all the rest, and after components are found, those outside its largest component with all others, in blocks (ngram_join). So a group of thousands of
 near copies costs its size times its bands, and none of its links is lost.
 
 What chance can lose: a pair at the limit of 80 % misses all bands with probability (1 - 0.8^4)^50 = 4e-12, and is
