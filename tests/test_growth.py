@@ -15,6 +15,17 @@ from webloom.plans.registry import QUERIES, SQL
 from .compare import assert_same
 
 
+@pytest.mark.parametrize("name", ["streamed_index", "stream_segments"])
+def test_pages_of_one_url(spark, sf, tmp_path, name):
+    """Pages that share a URL, with the same or other HTML, in one batch and in several, count each."""
+    some = spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").limit(12)
+    again = some.withColumns({"page_id": F.col("page_id") + 100_000, "html": F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("<p>once more</p>"))).otherwise(F.col("html"))})
+    some.unionByName(again).coalesce(1).write.parquet(str(tmp_path / "out"))
+    (tmp_path / "sf").mkdir()
+    next((tmp_path / "out").glob("part-*.parquet")).rename(tmp_path / "sf/pages.parquet")
+    assert_same(spark, str(tmp_path / "sf"), QUERIES[name], SQL[name])
+
+
 def test_pages_are_counted_in_parts(monkeypatch):
     """Pages whose rows are dealt over parts and batches are whole, and no part has more words than it may."""
     monkeypatch.setattr(counts, "PART", 20)
