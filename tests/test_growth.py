@@ -11,6 +11,7 @@ from webloom.functions import counts, pages
 from webloom.functions import text as X
 from webloom.operators import index
 from webloom.plans.registry import QUERIES, SQL
+from webloom.sources import files
 
 from .compare import assert_same
 
@@ -51,3 +52,15 @@ def test_pages_are_parsed_in_parts(monkeypatch):
     assert pages._lists(source, lambda h: pages._Words(h or "").words).to_pylist() == [pages.words_and_links(h)[0] for h in htmls[1:]]
     assert pages._lists(source, lambda h: pages._Words(h or "", words=False).links).to_pylist() == [pages.words_and_links(h)[1] for h in htmls[1:]]
     assert len(pages._lists(source[:0], str)) == 0 and max(most) < 9
+
+
+def test_shards_are_compressed(spark, tmp_path):
+    """Appended shards take a small part of the bytes of plain JSON lines, and are read beside these."""
+    docs = spark.createDataFrame([("o", f"u{k}", 0, " ".join(f"a{j % 300}" for j in range(k, k + 200))) for k in range(100)], "origin_url string, current_url string, depth int, text string")
+    rows = index.postings(docs, X.tokenize(F.col("text")), F.lit(0))
+    files.append_shards(rows, str(tmp_path / "shards"))
+    rows.write.json(str(tmp_path / "plain"))
+    held = lambda root: sum(p.stat().st_size for p in (tmp_path / root).rglob("*part-*") if not p.name.startswith("."))
+    assert held("shards") < held("plain") / 8
+    (tmp_path / "shards/b.data").write_text('{"word": "b", "origin_url": "o", "current_url": "u", "depth": 0, "frequency": 2}\n')
+    assert files.read_shards(spark, str(tmp_path / "shards")).count() == rows.count() + 1
