@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from webloom.llm import bbit_minhash, ngram_join
 
@@ -26,6 +28,49 @@ def test_near_copies(spark, odd):  # noqa: F811
     assert len({c for _, c in want.values()}) < len(want) - 30
 
 
+def _product(h, doc, percent=80):
+    rows = ngram_join.packed_entries(np.array(h, np.uint64), np.array(doc, np.int64), np.full(len(doc), 50), 0)
+    return ngram_join._product(percent)(pa.table([*map(list, zip(*rows))], names=["at", "part", "n", "h", "doc", "size"])).to_pylist()
+
+
+def test_documents_of_a_long_list_make_few_rows():
+    """They are paired only with neighbours where they meet in short runs, wherever in the block their list is."""
+    rng, last = np.random.default_rng(5), (1 << 64) - 1
+    h, doc = [last] * 400, [*range(400)]
+    for band in range(20):
+        for place, x in enumerate(rng.permutation(400).tolist()):
+            h.append((1 + band * 20 + place // 20) << 50)
+            doc.append(x)
+    h += [7 << 50 | 1] * 20  # a short run whose documents are in no list
+    doc += range(1000, 1020)
+    rows = _product(h, doc)
+    pairs = [(r["a"], r["b"]) for r in rows if r["star"] is False]
+    assert len([p for p in pairs if p[0] < 400]) <= 20 * 20 * 19 and len([p for p in pairs if p[0] >= 1000]) == 190
+    assert len([r for r in rows if r["star"]]) == 3 * 400 - 6
+    assert sorted((r["list"], r["a"]) for r in rows if r["list"] is not None) == [(0, x) for x in range(400)]
+
+
+def test_a_document_is_in_a_list_once():
+    runs = [range(100), [0, *range(200, 299)], [0, *range(300, 399)]]  # the same smallest document, and little else in common
+    rows = _product([1 + k for k, run in enumerate(runs) for _ in run], [x for run in runs for x in run])
+    assert sorted((r["list"], r["a"]) for r in rows if r["list"] is not None) == [(0, x) for x in sorted({x for run in runs for x in run})]
+
+
+@pytest.mark.parametrize("run, n, percent", [(bbit_minhash.near_copies, 2, 80), (ngram_join.linked, 4, 85)])
+def test_links_inside_long_lists(spark, run, n, percent):
+    """Texts that drift: far ones are linked only through those between them, and some not at all."""
+    rnd, rows = random.Random(8), []
+    w = [f"w{k}" for k in range(150)]
+    for i in range(260):
+        for _ in range(rnd.choice([0, 1, 1, 2, 9]) if i % 40 else 12):
+            w[rnd.randrange(150)] = f"z{i}x{rnd.randrange(9)}"
+        rows.append((rnd.randrange(10) * 1000 + i, " ".join(w)))
+    want = _components(rows, n, percent)
+    for block in (ngram_join.BLOCK, 2000):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in run(documents(spark, rows), block=block).collect()} == want
+    assert 1 < len({c for _, c in want.values()}) < 100
+
+
 def test_rows_without_id_link(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(7, text), (None, text + " more"), (None, text + " more"), (None, "alone again"), (9, "x " + text), (None, None), (3, "")]

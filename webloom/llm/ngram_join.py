@@ -20,6 +20,8 @@ their documents with it, but not with all that share one: chance would chain the
 only documents of such a list that are outside its largest component are compared with the others, DOCS by
 DOCS in a product of their whole rows that gives only links between components: none of these is lost, while
 pairs inside a component are never made.
+A block's long lists are found first: where documents of one list meet again in short runs, only neighbours are
+paired, as all other links between them come from the list.
 
 Order: the shingles that are found several times in slices of the input are counted over the whole input;
 the FREQUENT most frequent are broadcast (8 bytes each). The order changes the work, never the result.
@@ -239,60 +241,84 @@ def _product(percent: int):
                     stars.append(np.stack([np.full(m, d[p]), d[ok], np.full(m, z[p]), z[ok], np.ones(m, np.int64)]))
                 lo = hi
 
-        def pair_up(h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> None:
-            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            length = np.diff(np.r_[start, len(h)])
+        def spans(z: np.ndarray) -> tuple[np.ndarray, list]:
+            """Sizes ascend: a document may be similar to those after it, up to `end`. Also where long lists begin and end."""
+            end = np.searchsorted(percent * z, 100 * z, side="right")
+            many = end - np.arange(len(z)) > ALL
+            cover = np.zeros(len(z) + 1, np.int64)
+            np.add.at(cover, np.flatnonzero(many), 1)
+            np.add.at(cover, end[many], -1)
+            edge = np.flatnonzero(np.diff(np.r_[0, np.cumsum(cover) > 0, 0])).tolist()
+            return end, [*zip(edge[::2], edge[1::2])]
+
+        def long_lists(start: np.ndarray, length: np.ndarray, doc: np.ndarray, size: np.ndarray) -> None:
+            for s, k in zip(start[length > ALL].tolist(), length[length > ALL].tolist()):
+                d, z = doc[s : s + k], size[s : s + k].astype(np.int64)
+                for lo, hi in spans(z)[1]:
+                    with_pivots(d[lo:hi], z[lo:hi])
+                    keep(d[lo:hi], z[lo:hi])
+                    add_up(stars, True, PAIRS)
+
+        def pair_up(start: np.ndarray, length: np.ndarray, doc: np.ndarray, size: np.ndarray, own: np.ndarray) -> None:
+            """Pairs outside long lists. own: each entry's list, which sees to its links: of its documents only neighbours are paired."""
+            size = size.astype(np.int64)
+
+            def pairs(x: np.ndarray, y: np.ndarray) -> None:
+                ok = (doc[x] != doc[y]) & ((own[x] != own[y]) | (y == x + 1))
+                if ok.any():
+                    x, y = x[ok], y[ok]
+                    found.append(np.stack([doc[x], doc[y], size[x], size[y], np.ones(len(x), np.int64)]))
+
             for k in np.unique(length):
-                if k < 2:
-                    continue
                 at = start[length == k]
                 if k <= ALL:
                     for i in range(k - 1):
                         for j in range(i + 1, k):
-                            ok = (100 * size[at + i] >= percent * size[at + j]) & (doc[at + i] != doc[at + j])
-                            x, y = at[ok] + i, at[ok] + j
-                            if len(x):
-                                found.append(np.stack([doc[x], doc[y], size[x], size[y], np.ones(len(x), np.int64)]))
+                            ok = 100 * size[at + i] >= percent * size[at + j]
+                            pairs(at[ok] + i, at[ok] + j)
                         add_up(found, False, PAIRS)
                     continue
                 for s in at:
-                    d, z = doc[s : s + k], size[s : s + k]
-                    # Sizes ascend: a document may be similar to those after it, up to `end`.
-                    end = np.searchsorted(percent * z, 100 * z, side="right")
-                    many = end - np.arange(k) > ALL
-                    cover = np.zeros(k + 1, np.int64)
-                    np.add.at(cover, np.flatnonzero(many), 1)
-                    np.add.at(cover, end[many], -1)
-                    edge = np.flatnonzero(np.diff(np.r_[0, np.cumsum(cover) > 0, 0]))
+                    end, runs = spans(size[s : s + k])
                     # Pairs outside the runs, also of one document of a run and one after it.
                     begin = np.arange(1, k + 1)
-                    for lo, hi in zip(edge[::2], edge[1::2]):
+                    for lo, hi in runs:
                         begin[lo:hi] = hi
                     made = np.maximum(end - begin, 0)
                     x = np.repeat(np.arange(k), made)
                     y = begin[x] + np.arange(len(x)) - np.repeat(np.cumsum(made) - made, made)
-                    ok = d[x] != d[y]
-                    if ok.any():
-                        x, y = x[ok], y[ok]
-                        found.append(np.stack([d[x], d[y], z[x], z[y], np.ones(len(x), np.int64)]))
-                        add_up(found, False, PAIRS)
-                    for lo, hi in zip(edge[::2], edge[1::2]):
-                        with_pivots(d[lo:hi], z[lo:hi])
-                        keep(d[lo:hi], z[lo:hi])
-                        add_up(stars, True, PAIRS)
+                    pairs(s + x, s + y)
+                    add_up(found, False, PAIRS)
 
-        part = table.column("part").to_numpy()
+        # All long lists of the block come first.
+        part, parts = table.column("part").to_numpy(), []
         for k in np.unique(part):
-            entries = _shared(table.filter(pa.array(part == k)))
-            if len(entries[0]):
-                pair_up(*entries)
+            h, doc, size = _shared(table.filter(pa.array(part == k)))
+            if len(h):
+                start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                parts.append((start, np.diff(np.r_[start, len(h)]), doc, size.astype(np.uint32)))
+                long_lists(*parts[-1])
+        lists: dict[int, dict[int, int]] = {}  # by their smallest documents
+        for group in groups.values():
+            lists.setdefault(min(group), {}).update(group)
+        least_of = {at: min(group) for at, group in groups.items()}
+        listed = np.array(sorted(home), np.int64)
+        of_list = np.array([least_of[home[x]] for x in listed.tolist()], np.int64)
+        groups.clear()
+        home.clear()
+        for start, length, doc, size in parts:
+            own = -1 - np.arange(len(doc))
+            if len(listed):
+                at = np.minimum(np.searchsorted(listed, doc), len(listed) - 1)
+                own = np.where(listed[at] == doc, of_list[at], own)
+            pair_up(start, length, doc, size, own)
         for rows, star in ((found, False), (stars, True)):
             if rows:
                 summed[star] = 0
                 add_up(rows, star)
-        for group in groups.values():
+        for least, group in lists.items():
             m = len(group)
-            out.append(pa.table([pa.array(list(group), pa.int64()), pa.nulls(m, pa.int64()), pa.array(list(group.values()), pa.int64()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_())), pa.array([min(group)] * m, pa.int64())], schema=_PAIRS))
+            out.append(pa.table([pa.array(list(group), pa.int64()), pa.nulls(m, pa.int64()), pa.array(list(group.values()), pa.int64()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_())), pa.array([least] * m, pa.int64())], schema=_PAIRS))
         return pa.concat_tables(out) if out else _PAIRS.empty_table()
 
     def run(table: pa.Table) -> pa.Table:
